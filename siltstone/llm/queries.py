@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import conversations
+from siltstone.llm import contamination, conversations, packing, spam
 from siltstone.session import table
 
 
@@ -23,8 +23,32 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("session_id", "part_no", "n_turns", flat.alias("dialogue"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with the container of 2,048 tokens each goes to."""
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation items and the documents that hold twelve consecutive words of their passage."""
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in each document the leaked passages stand."""
+    return contamination.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of keywords, links or tags instead of sentences."""
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_conversations": p1_conversations,
+    "p7_packed": p7_packed,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p9_found": p9_found,
 }
 ORACLES: dict[str, str] = {}
