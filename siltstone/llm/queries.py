@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import contamination, conversations, packing, spam
+from siltstone.llm import contamination, conversations, neardup, packing, spam, splitting
 from siltstone.session import table
 
 
@@ -23,6 +23,40 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("session_id", "part_no", "n_turns", flat.alias("dialogue"))
 
 
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = table(spark, sf_dir, "article_zones").select(F.col("slug").alias("key"), F.col("observed").alias("text")).where("slug is not null and observed is not null")
+    slugs = table(spark, sf_dir, "articles").select(F.col("slug").alias("key")).distinct()
+    return zones.join(slugs, "key", "left_semi")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of articles whose observed texts are nearly the same."""
+    return neardup.similar_pairs(_observed(spark, sf_dir)).select(F.col("key_a").alias("slug_a"), F.col("key_b").alias("slug_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that nearly equal articles form: one row per article with its class, links and group."""
+    return neardup.similar_groups(_observed(spark, sf_dir)).withColumnRenamed("key", "slug")
+
+
+def _splittable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "daily_chunks").select(F.lit("daily_chunks").alias("source_table"), F.col("chunk_no").alias("row_id"), splitting.body(F.col("text"), False).alias("body"))
+    sources = table(spark, sf_dir, "source_documents").select(
+        F.lit("source_documents").alias("source_table"), F.col("source_id").alias("row_id"), splitting.body(F.col("content"), True).alias("body")
+    )
+    return chunks.unionByName(sources)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that had to be split: those that came out in more than one piece."""
+    return splitting.pieces(_splittable(spark, sf_dir)).where("piece_no = 0 and n_pieces > 1").select("source_table", "row_id")
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of the oversized rows."""
+    return splitting.pieces(_splittable(spark, sf_dir))
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with the container of 2,048 tokens each goes to."""
     return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
@@ -46,6 +80,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_conversations": p1_conversations,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_packed": p7_packed,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
