@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import contamination, conversations, neardup, packing, spam, splitting
+from siltstone.llm import contamination, conversations, neardup, packing, pairs, pii, spam, splitting
 from siltstone.session import table
 
+#: The key of the demonstration queries; real runs pass their own.
+PII_KEY = "demonstration"
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of each whole conversation with its place in it."""
@@ -23,6 +26,33 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("session_id", "part_no", "n_turns", flat.alias("dialogue"))
 
 
+def _spoken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "session_turns").select(F.lit("session_turns").alias("source_table"), F.col("turn_id").alias("row_id"), "text")
+    history = table(spark, sf_dir, "whisper_history").select(F.lit("whisper_history").alias("source_table"), F.col("entry_id").alias("row_id"), F.col("transcript").alias("text"))
+    return turns.unionByName(history)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct find of personal information in each row of text."""
+    found = pii.finds(_spoken_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
+    return found.select("source_table", "row_id", "kind", "surface").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that held personal information, with typed placeholders in its place."""
+    return pii.redact(_spoken_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"), key=PII_KEY)
+
+
+def p3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with surrogates of the same kind and format instead."""
+    return pii.redact(_spoken_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"), key=PII_KEY, realistic=True)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose prompt is no usable answer, with the kind of the defect."""
+    return pairs.defects(table(spark, sf_dir, "whisper_history"))
+
+
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = table(spark, sf_dir, "article_zones").select(F.col("slug").alias("key"), F.col("observed").alias("text")).where("slug is not null and observed is not null")
     slugs = table(spark, sf_dir, "articles").select(F.col("slug").alias("key")).distinct()
@@ -80,6 +110,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_conversations": p1_conversations,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
+    "p3_surrogates": p3_surrogates,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
