@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import instants
+from siltstone.plans import instants, text
 
-MODULES = (instants,)
+MODULES = (instants, text)
 
 
 def queries() -> dict:
