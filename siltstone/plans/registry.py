@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import instants, text
+from siltstone.plans import instants, search, text
 
-MODULES = (instants, text)
+MODULES = (instants, text, search)
 
 
 def queries() -> dict:
