@@ -137,7 +137,7 @@ def _prefix_rows(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
             flat = lists.flatten()
             freq, gram = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False)
             end = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))
-            out: list[tuple[np.ndarray, str, int, np.ndarray, bytes, np.ndarray]] = []
+            out: list[tuple[np.ndarray, int, int, np.ndarray, bytes, np.ndarray]] = []
             start = 0
             for key, stop in zip(ids, end.tolist(), strict=True):
                 f, g = freq[start:stop], gram[start:stop]
@@ -159,7 +159,7 @@ def _prefix_rows(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(token, pa.int64()),
-                    pa.array(spread([x[1] for x in out]), pa.string()),
+                    pa.array(spread([x[1] for x in out]), pa.int64()),
                     pa.array(spread([x[2] for x in out]), pa.int32()),
                     pa.array(np.concatenate([x[3] for x in out]) if out else [], pa.bool_()),
                     pa.array(spread([x[4] for x in out]), pa.binary()),
@@ -174,7 +174,7 @@ def _prefix_rows(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def _group_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Candidate pairs of each group (token, block pair); rows come clustered by group, side 0 before side 1."""
 
-    def close(held: list[tuple]) -> tuple[list[str], list[str]]:
+    def close(held: list[tuple]) -> tuple[list[int], list[int]]:
         sides = [[r for r in held if r[3] != 1], [r for r in held if r[3] != 0]]
         same = all(r[3] == 2 for r in held)  # 2: the block meets itself
         trees, data = [], []
@@ -182,7 +182,7 @@ def _group_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
             rows = sorted(rows, key=lambda r: (r[5], r[7]))
             maps = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), BITS // 64)
             trees.append(_tree(maps, np.array([r[5] for r in rows], np.int64)))
-            data.append((np.array([r[4] for r in rows], object), np.array([r[5] for r in rows]), np.array([r[6] for r in rows])))
+            data.append((np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows]), np.array([r[6] for r in rows])))
         if same:
             trees, data = trees * 2, data * 2
         if not all(len(d[0]) for d in data):
@@ -207,10 +207,10 @@ def _group_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         right += b
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["id_a", "id_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["id_a", "id_b"])
         if len(held) > 1:
             a, b = close(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id_a", "id_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id_a", "id_b"])
 
     return pairs
 
@@ -249,12 +249,12 @@ def _block_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs that the trees cannot rule out; holds every pair above the threshold.
 
-    ``sets``: id string (unique), grams array<bigint> of distinct hashes.
+    ``sets``: id bigint (unique), grams array<bigint> of distinct hashes.
     """
     each = sets.select("id", F.explode("grams").alias("gram"))
     freq = each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1")
     weighed = each.join(freq, "gram", "left").groupBy("id").agg(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "gram")).alias("grams"))
-    rows = weighed.select("id", "grams").mapInArrow(_prefix_rows(threshold), "token bigint, id string, n int, short boolean, bitmap binary, freq bigint")
+    rows = weighed.select("id", "grams").mapInArrow(_prefix_rows(threshold), "token bigint, id bigint, n int, short boolean, bitmap binary, freq bigint")
     rows = materialize(rows)
     cols = ["token", "one", "two", "side", "id", "n", "short", "bitmap"]
     small = rows.where(F.col("freq") <= block).select("token", F.lit(0).cast("bigint").alias("one"), F.lit(0).cast("bigint").alias("two"), F.lit(2).alias("side"), "id", "n", "short", "bitmap")
@@ -270,7 +270,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     alone = hot.select("token", F.col("block").alias("one"), F.col("block").alias("two"), F.lit(2).alias("side"), "id", "n", "short", "bitmap")
     grouped = small.unionByName(alone).unionByName(side(0, "one")).unionByName(side(1, "two")).select(cols)
     grouped = grouped.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two")
-    return grouped.mapInArrow(_group_pairs(threshold), "id_a string, id_b string").distinct()
+    return grouped.mapInArrow(_group_pairs(threshold), "id_a bigint, id_b bigint").distinct()
 
 
 def similar_classes(texts: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -284,12 +284,14 @@ def similar_classes(texts: DataFrame, threshold: float = THRESHOLD, width: int =
     named = materialize(grams.select("key", name.alias("id"), "grams"))
     members = named.select("key", "id").distinct()
     sets = named.groupBy("id").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets)
-    pairs = candidates(sets, threshold)
-    a, b = sets.select(F.col("id").alias("id_a"), F.col("grams").alias("grams_a")), sets.select(F.col("id").alias("id_b"), F.col("grams").alias("grams_b"))
+    # the candidate search moves 8-byte numbers of the classes instead of their names
+    sets = materialize(sets.withColumn("number", F.xxhash64("id")))
+    pairs = candidates(sets.select(F.col("number").alias("id"), "grams"), threshold)
+    a = sets.select(F.col("number").alias("number_a"), F.col("id").alias("id_a"), F.col("grams").alias("grams_a"))
+    b = sets.select(F.col("number").alias("number_b"), F.col("id").alias("id_b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     similarity = both / (F.size("grams_a") + F.size("grams_b") - both)
-    links = pairs.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    links = pairs.toDF("number_a", "number_b").join(a, "number_a").join(b, "number_b").select("id_a", "id_b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     return members, links
 
 
