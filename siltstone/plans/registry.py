@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import instants, search, text
+from siltstone.plans import analytics, graphs, instants, search, text
 
-MODULES = (instants, text, search)
+MODULES = (instants, text, search, analytics, graphs)
 
 
 def queries() -> dict:
