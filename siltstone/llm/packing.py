@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words whose count is remembered by a task before it starts over; has no effect on results.
@@ -239,6 +241,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Data
     spark = sizes.sparkSession
     items = sizes.select("doc_id", F.col("n_tokens"), F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / capacity).alias("full"))
     items = items.withColumn("item", (F.col("n_tokens") - F.col("full") * capacity).cast("int")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    items = materialize(items)  # counted once, read for the histogram and for the containers
     # at most capacity + 1 sizes x salts rows, whatever the corpus holds
     counts = items.groupBy("item", "salt").agg(F.count("*").alias("n"), F.sum("full").alias("n_full")).orderBy("item", "salt").collect()
     histogram: dict[int, int] = {}
