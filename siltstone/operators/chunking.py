@@ -58,3 +58,27 @@ def line_windows(df: DataFrame, text: str, size: int, overlap: int) -> DataFrame
     first = F.col("_part") * (size - overlap) + 1
     out = out.withColumn("first_line", first).withColumn("last_line", F.least(first + size - 1, F.size("_lines")))
     return out.withColumn("window", F.array_join(F.slice("_lines", first, F.lit(size)), "\n")).drop("_lines", "_part")
+
+
+def query_pieces(text: str, size: int = 900, most: int = 12) -> list[str]:
+    """At most ``most`` pieces of up to ``size`` characters, cut at the last heading or blank line past the half."""
+    out, at = [], 0
+    while at < len(text) and len(out) < most:
+        head = text[at : at + size]
+        if at + size < len(text):
+            cut = max(head.rfind("\n#"), head.rfind("\n\n"))
+            if cut >= size // 2:
+                head = head[:cut]
+        if head.strip():
+            out.append(head.strip())
+        at += max(len(head), 1)
+    return out
+
+
+def query_chunks(df: DataFrame, key: str, text: str, size: int = 900, most: int = 12) -> DataFrame:
+    """(key, part, piece): data-dependent cuts, so one Arrow pass; null and blank texts give none."""
+    @F.pandas_udf("array<string>")
+    def cut(s):  # noqa: ANN001, ANN202
+        return s.map(lambda t: query_pieces(t, size, most) if t else [])
+
+    return df.select(key, F.posexplode(cut(F.col(text))).alias("part", "piece"))

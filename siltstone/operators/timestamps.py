@@ -192,19 +192,22 @@ def lookup_utc(local: Column, intervals: Column) -> Column:
 def to_instant(df: DataFrame, value: str, host_zone: str | None = None, out: str = "utc_us") -> DataFrame:
     """``df`` with the bigint column ``out``: the instant that ``value`` names, null if it names none.
 
-    ``host_zone``: the column of the zone used where a value names none (UTC if omitted);
+    ``df`` may hold columns of any names.  ``host_zone``: the column of the zone used where a value names none (UTC if omitted);
     a null or unknown host zone gives null for such values.  Rows are kept one to one; a
     column called ``out`` is replaced, helper columns are prefixed and dropped.
     """
     # broadcast: bounded by the time-zone database (zones x years), independent of the data
     buckets = F.broadcast(interval_buckets(df.sparkSession))
-    parsed = parse_local(df, value, host_zone)
-    year = F.year(F.date_from_unix_date(F.floor(F.col("_ts_local") / 86_400_000_000).cast("int")))
-    joined = parsed.withColumn("_ts_year", year).join(
-        buckets.select(F.col("zone_key").alias("_ts_zone_key"), F.col("zone_year").alias("_ts_zone_year"), F.col("intervals").alias("_ts_intervals")),
-        (F.col("_ts_zone") == F.col("_ts_zone_key")) & (F.col("_ts_year") == F.col("_ts_zone_year")),
+    p = "_ts_"
+    while any(c.startswith(p) for c in df.columns):
+        p = "_" + p
+    parsed = parse_local(df, value, host_zone, p)
+    year = F.year(F.date_from_unix_date(F.floor(F.col(f"{p}local") / 86_400_000_000).cast("int")))
+    joined = parsed.withColumn(f"{p}year", year).join(
+        buckets.select(F.col("zone_key").alias(f"{p}zone_key"), F.col("zone_year").alias(f"{p}zone_year"), F.col("intervals").alias(f"{p}intervals")),
+        (F.col(f"{p}zone") == F.col(f"{p}zone_key")) & (F.col(f"{p}year") == F.col(f"{p}zone_year")),
         "left",
     )
-    found = F.coalesce(F.col("_ts_utc"), lookup_utc(F.col("_ts_local"), F.col("_ts_intervals")))
-    helpers = [c for c in joined.columns if c.startswith("_ts_")]
+    found = F.coalesce(F.col(f"{p}utc"), lookup_utc(F.col(f"{p}local"), F.col(f"{p}intervals")))
+    helpers = [c for c in joined.columns if c.startswith(p)]
     return joined.withColumn(out, found).drop(*helpers)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import analytics, graphs, instants, search, text
+from siltstone.plans import analytics, catalog, graphs, instants, quality, search, text
 
-MODULES = (instants, text, search, analytics, graphs)
+MODULES = (instants, text, search, analytics, graphs, quality, catalog)
 
 
 def queries() -> dict:
