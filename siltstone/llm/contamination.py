@@ -164,6 +164,8 @@ def _search_shard(known: _Phrases | SimpleNamespace, shard: list[tuple[int, str,
     n_items = known.start[phrase + 1] - known.start[phrase]
     item = known.items[np.repeat(known.start[phrase] - np.concatenate([[0], np.cumsum(n_items)[:-1]]), n_items) + np.arange(n_items.sum())]
     doc, word = np.repeat(doc, n_items), np.repeat(word, n_items)
+    if not len(doc):
+        return []
     order = np.lexsort((word, item, doc))
     doc, item, word = doc[order], item[order], word[order]
     new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + known.least)]

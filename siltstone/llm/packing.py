@@ -134,15 +134,13 @@ def _dominating(open_: _Open, size: int, room: int) -> tuple[int, ...] | None:
     if not open_.sizes or open_.sizes[0] > room:
         return ()
     best = open_.at_most(room)
-    smallest = open_.sizes[0]
-    second = smallest if open_.count[smallest] > 1 else (open_.sizes[1] if len(open_.sizes) > 1 else None)
-    if best == room or second is None or smallest + second > room:
+    least = [x for x in open_.sizes[:3] for _ in range(min(3, open_.count[x]))][:3]  # the smallest open items
+    if best == room or len(least) < 2 or least[0] + least[1] > room:
         return (best,)
-    third = smallest if open_.count[smallest] > 2 else (second if second > smallest and open_.count[second] > 1 else open_.sizes[2] if len(open_.sizes) > 2 else room)
-    if smallest + second + third <= room:
+    if len(least) == 3 and sum(least) <= room:
         return None
     # at most two others fit: the largest single partner wins if it is no smaller than any pair
-    fitting = open_.sizes[: bisect.bisect_right(open_.sizes, room - smallest)]
+    fitting = open_.sizes[: bisect.bisect_right(open_.sizes, room - least[0])]
     lo, hi, most = 0, len(fitting) - 1, 0
     while lo <= hi:
         total = fitting[lo] + fitting[hi]
