@@ -89,7 +89,7 @@ def match_fetches(calls: DataFrame, routes: DataFrame) -> DataFrame:
 _DECL = re.compile(r"^[ \t]*(?:(?:abstract|final|readonly|export|default|async)\s+)*(class|interface|trait|enum|function)\s+(\w+)", re.M)
 _METHOD = re.compile(r"^[ \t]*(?:(?:public|protected|private|static|abstract|final)\s+)+function\s+(\w+)", re.M)
 _TAG = re.compile(r"(?:(TODO|FIXME|HACK|NOTE|WHY|IMPORTANT|XXX)\b|(@deprecated)\b)[:\s]*(.*)")
-_ATTRIBUTE = re.compile(r"#\[Route\(\s*['\"]([^'\"]*)['\"]([^\]]*)\)\]", re.S)
+_ATTRIBUTE = re.compile(r"#\[Route\(\s*['\"]([^'\"]*)['\"](.*?)\)\]", re.S)
 _BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|#(?!\[)[^\n]*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", re.S)
 
 

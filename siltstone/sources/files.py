@@ -75,7 +75,7 @@ def _text_of(value: Column) -> Column:
     """A content that is a string, or the text blocks of an array joined by line ends."""
     blocks = F.try_variant_get(value, "$", "array<struct<type: string, text: string>>")
     joined = F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n")
-    return F.coalesce(F.try_variant_get(value, "$", "string"), joined)
+    return F.coalesce(joined, F.try_variant_get(value, "$", "string"))  # as a string, an array would be its JSON
 
 
 def transcript_lines(lines: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def agent_sessions(lines: DataFrame, dialect: str) -> DataFrame:
     v = lines.withColumn("v", F.try_parse_json("value")).where("v is not null")
     get = lambda k: F.nullif(F.try_variant_get("v", d[k], "string"), F.lit(""))
     texts = F.try_variant_get("v", d["content"], "array<struct<text: string>>")
-    body = F.coalesce(F.try_variant_get("v", d["content"], "string"), F.array_join(F.transform(texts, lambda b: b["text"]), "\n"))
+    body = F.coalesce(F.array_join(F.transform(texts, lambda b: b["text"]), "\n"), F.try_variant_get("v", d["content"], "string"))
     role = get("role")
     is_turn = F.try_variant_get("v", d["where"], "string").isin(*d["kinds"]) & role.isin("user", "assistant") & (F.trim(body) != "")
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("line_no")))

@@ -28,9 +28,9 @@ class GenerationTable:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def current(self) -> str | None:
-        if not self._fs().exists(self._path("_current")):
+        if not self._fs().exists(self._path("CURRENT")):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def read(self) -> DataFrame | None:
         name = self.current()
@@ -39,12 +39,12 @@ class GenerationTable:
     def _swap(self, df: DataFrame) -> None:
         name = f"gen-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        fs, fresh = self._fs(), self._path("_pending")
+        fs, fresh = self._fs(), self._path("PENDING")
         out = fs.create(fresh, True)
         out.write(bytearray(name.encode()))
         out.close()
-        fs.delete(self._path("_current"), True)
-        if not fs.rename(fresh, self._path("_current")):
+        fs.delete(self._path("CURRENT"), True)
+        if not fs.rename(fresh, self._path("CURRENT")):
             raise OSError("the pointer could not be moved")
 
     def upsert(self, rows: DataFrame) -> None:
