@@ -84,7 +84,7 @@ _ADDRESS = re.compile(
     rf")"
 )
 _ADDRESS_HINT = ("treet", "TREET", " St", "Lane", "LANE", " Ln", "venue", "VENUE", "Ave", "AVE", "Road", "ROAD", " Rd", "Drive", "DRIVE", "Court", "Square", "Terrace", "Crescent", "oulevard", "Blvd", "Way", "Close", "ue ", "RUE ", "lace ", "hemin ", "llée ", "uai ", "alle ", "CALLE ", "venida ", "laza ", "aseo ", "tra", "STRA", "tr. ", "weg ", "WEG ", "Weg ", "llee ", "LLEE ", "latz ", "LATZ ", "asse ", "ASSE ", "fer ", "amm ", "ing ")
-_ADDRESS_TRIGGER = re.compile(r"\d [A-Zr]|[a-zA-Zß.] \d{1,4}(?!\d)")
+_ADDRESS_TRIGGER = re.compile(r"\d[a-zA-Z]?,? [A-Za-z]|[a-zA-Zß.,] \d{1,4}(?!\d)")
 
 #: Letters that do not fall apart into a base letter and an accent.
 _LETTERS = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ı": "i", "þ": "th", "Þ": "TH"}
@@ -220,10 +220,10 @@ def surrogate(surface: str, kind: str, entity: str, key: bytes, names: tuple[lis
         if not any(c.isdigit() for c in surface):
             words = list(_WORD_DIGITS)[:10]
             return re.sub(r"[A-Za-z]+", lambda m: words[int(fresh.pop())], surface)
-        letters = [chr(65 + below(26)) for _ in range(6)]
+        letter = lambda c: "ABCD"[below(4)] if c in "ABCDabcd" else "EFGHJKLMNPRSTWXYZ"[below(17)]  # noqa: E731  # check letters stay in their range
         head = re.match(r"\+\d{1,3}|00\d{2}|0", surface) if kind == "phone" else None
         start = head.end() if head else 0
-        return surface[:start] + re.sub(r"\d|[A-Za-z]", lambda m: fresh.pop() if m.group().isdigit() else _cased(m.group() * 2, letters.pop()), surface[start:])
+        return surface[:start] + re.sub(r"\d|[A-Za-z]", lambda m: fresh.pop() if m.group().isdigit() else _cased(m.group() * 2, letter(m.group())), surface[start:])
     if kind == "email":
         syllables = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu".split()
         return re.sub(r"(?<!\w)(?!(?:at|dot|underscore|dash|plus)(?!\w))\w+", lambda m: _cased(m.group(), "".join(syllables[below(20)] for _ in range(max(2, min(4, len(m.group()) // 2))))), surface[: _tail(surface)], flags=re.I) + surface[_tail(surface) :]

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 
 #: Content words per stretch, and the share of different ones below which it only repeats keywords.
 STRETCH, REPEATS_BELOW = 120, 0.30
+#: Share of function words from which repetition is that of sentences, not of keywords.
+FEW_FUNCTION_WORDS = 0.15
 
 #: Function words of the languages here, which sentences need and keyword lists lack.
 FUNCTION_WORDS = frozenset(
@@ -85,7 +87,7 @@ def judge(text: str | None, least_words: int = 8) -> tuple[bool, float, float, f
     if not text:
         return False, 0.0, 0.0, 0.0, 0
     other: Counter = Counter()
-    in_sentences, fenced, content = 0, False, []
+    in_sentences, fenced, content, spoken = 0, False, [], 0
     for line in _FRONTMATTER.sub("", text, count=1).splitlines():
         if _FENCE.match(line):
             fenced = not fenced
@@ -97,6 +99,7 @@ def judge(text: str | None, least_words: int = 8) -> tuple[bool, float, float, f
                 continue
             shape, words, sentence, fresh = unit_shape(unit)
             content += fresh
+            spoken += words
             if sentence:
                 in_sentences += words
             elif words:
@@ -111,7 +114,8 @@ def judge(text: str | None, least_words: int = 8) -> tuple[bool, float, float, f
         stretch = content[i : i + STRETCH]
         if len(stretch) >= 24 and len(set(stretch)) < REPEATS_BELOW * len(stretch):
             repeated += len(stretch)
-    stuffed = repeated / len(content) if content else 0.0
+    # entries that repeat whole sentences keep their function words; stuffed keywords have few
+    stuffed = repeated / len(content) if content and len(content) > (1 - FEW_FUNCTION_WORDS) * spoken else 0.0
     said = in_sentences / total
     spam = (rest >= least_words and said <= 0.4 and few >= 0.5 and (rest >= 24 or said == 0)) or (len(content) >= 24 and stuffed > 0.5)
     return spam, said, few, stuffed, total
