@@ -123,4 +123,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_spans": p8_spans,
     "p9_found": p9_found,
 }
-ORACLES: dict[str, str] = {}
+_TRIMMED = "regexp_replace(regexp_replace({0}, '\\A[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+\\z', '')"
+_GRAMS = "select distinct {key}, array_to_string(w[i : i + {more}], ' ') g from {rows}, unnest(range(1, len(w) - {more} + 1)) u(i)"
+_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_SEEN = "regexp_replace({0}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
+ORACLES: dict[str, str] = {
+    "p5_found": f"""with z as (select distinct slug, {_WORDS.format('observed')} w from article_zones where observed is not null and slug in (select slug from articles)),
+ g as ({_GRAMS.format(key='slug, w', more=2, rows='z')}), n as (select slug, w, count(*) n from g group by 1, 2),
+ c as (select a.slug s1, a.w w1, b.slug s2, b.w w2, count(*) c from g a join g b using (g) where a.slug < b.slug group by 1, 2, 3, 4)
+ select distinct s1 slug_a, s2 slug_b from c join n a on a.slug = s1 and a.w = w1 join n b on b.slug = s2 and b.w = w2 where c >= 0.5 * (a.n + b.n - c)""",
+    "p6_found": f"""select 'daily_chunks' source_table, chunk_no row_id from daily_chunks where length({_TRIMMED.format('text')}) > 6000
+ union all select 'source_documents', source_id from source_documents where length({_TRIMMED.format("regexp_replace(content, '(?s)\\A\\s*---[ \\t]*\\r?\\n(?:.*?\\r?\\n)?---[ \\t]*(?:\\r?\\n|\\z)', '')")}) > 6000""",
+    "p8_found": f"""with d as (select doc_id, {_WORDS.format(_SEEN.format('text'))} w from documents where text is not null), p as (select item_id, {_WORDS.format(_SEEN.format('passage'))} w from benchmark_items where passage is not null),
+ a as ({_GRAMS.format(key='doc_id', more=11, rows='d')}), b as ({_GRAMS.format(key='item_id', more=11, rows='p')})
+ select distinct item_id, doc_id from a join b using (g)""",
+}
