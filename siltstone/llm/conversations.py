@@ -38,7 +38,7 @@ SEGMENT = 2048
 
 #: Spellings of the speakers, apart from case and blank space around them.
 USER_ROLES = ("user", "human", "you", "me", "customer", "prompt")
-ASSISTANT_ROLES = ("assistant", "agent", "ai", "bot", "model", "chatbot", "gpt", "claude")
+ASSISTANT_ROLES = ("assistant", "agent", "ai", "bot", "model", "chatbot")
 OTHER_ROLES = ("tool", "tool_result", "tool_use", "tool_call", "function", "function_call", "system", "developer", "environment")
 
 #: A client's own notices that stand where a reply is missing.
