@@ -54,7 +54,8 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFra
     """
     split = r"(?U)\W+"
     n = names.select(F.lower("name").alias("name")).where(F.length("name") >= 4).distinct().withColumn("word", F.split("name", split)[0])
-    words = texts.select(key, F.lower(F.col(text)).alias("_low")).withColumn("word", F.explode(F.array_distinct(F.split("_low", split))))
+    words = texts.select(key, F.explode(F.array_distinct(F.split(F.lower(F.col(text)), split))).alias("word"))
+    met = words.join(n, "word").groupBy(key).agg(F.collect_set("name").alias("_names"))  # the texts stay out of this shuffle
     pattern = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("name", r"([.^$*+?()\[\]{}|\\-])", r"\\$1"), F.lit(r"\b"))
-    met = words.join(n, "word").where(F.regexp_like("_low", pattern))
-    return met.select(key, "name", F.regexp_instr(F.col("_low"), pattern).cast("bigint").alias("position"))
+    near = texts.select(key, F.lower(F.col(text)).alias("_low")).join(met, key).select(key, "_low", F.explode("_names").alias("name"))
+    return near.where(F.regexp_like("_low", pattern)).select(key, "name", F.regexp_instr(F.col("_low"), pattern).cast("bigint").alias("position"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
+from siltstone.session import materialize
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 QUERY_BLOCK = 4096
@@ -95,12 +96,6 @@ def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
     Queries go to the tasks in blocks of bounded size; each task multiplies matrices and
     keeps only its own k best per query before the final choice.
     """
-    blocks: list[list[tuple[int, list[float]]]] = [[]]
-    for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        if len(blocks[-1]) >= block:
-            blocks.append([])
-        blocks[-1].append((r[0], r[1]))
-
     def one(part: list[tuple[int, list[float]]]) -> DataFrame:
         ids = np.array([i for i, _ in part], np.int64)
         matrix = np.array([v for _, v in part], np.float64).reshape(len(part), -1)
@@ -128,10 +123,64 @@ def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
 
         return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(scan, "query_key bigint, key bigint, cosine double")
 
-    found = reduce(DataFrame.unionByName, [one(p) for p in blocks]).withColumn("cosine", F.round("cosine", 6))
+    results, held = [], []
+    for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:  # a full block is searched and let go before the next is read
+            results.append(materialize(one(held)))
+            held = []
+    if held or not results:
+        results.append(one(held))
+    found = reduce(DataFrame.unionByName, results).withColumn("cosine", F.round("cosine", 6))
     return found if k is None else top(found, "query_key", "key", k, "cosine")
 
 
+def fit_cells(rows: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Unit centroids of a coarse index, fitted on ``sample`` rows chosen by a hash of their key."""
+    picked = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
+    x = np.array([r[0] for r in picked], np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+    centroids = x[: min(cells, len(x))].copy()
+    for _ in range(rounds):
+        nearest = (x @ centroids.T).argmax(1)
+        for c in range(len(centroids)):
+            if (nearest == c).any():
+                mean = x[nearest == c].mean(0)
+                centroids[c] = mean / max(np.linalg.norm(mean), 1e-10)
+    return centroids
+
+
+def cell_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, centroids: np.ndarray, probes: int, parts: int = 8) -> DataFrame:
+    """(query_key, key, cosine, rank): the k nearest within the ``probes`` cells nearest to each query.
+
+    Every row is indexed, in its nearest cell; queries go to several cells.  Both meet per
+    (cell, part): rows of a cell are spread over ``parts`` by a hash and queries go to all
+    of them, so a cell that holds a third of the rows is not one group, and each task
+    streams its rows past the queries of its cell.
+    """
+    c = centroids
+
+    def cells(many: int):  # noqa: ANN202
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :many]
+                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.reshape(-1).astype(np.int32))], names=["key", "v", "cell"])
+
+        return assign
+
+    schema = "key bigint, v array<float>, cell int"
+    here = lambda d, n: d.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null").mapInArrow(cells(n), schema)
+    indexed = here(rows, 1).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    asked = here(queries, probes).withColumnsRenamed({"key": "query_key", "v": "q"}).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = indexed.join(asked, ["cell", "part"]).where("key <> query_key")
+    scored = met.select("query_key", "key", F.round(1 - cosine_distance(F.col("v"), F.col("q")), 6).alias("cosine"))
+    return top(scored, "query_key", "key", k, "cosine")
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine of two arrays, guarded against zero norms."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

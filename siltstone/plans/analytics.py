@@ -94,7 +94,8 @@ def j13_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j20_branch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as branches that touch files of the same community (brand): pairs with the number shared.
 
-    Each branch is first reduced to its distinct communities, so a pair meets once per community.
+    Branches are a small stated set; each is first reduced to its distinct communities, so a
+    pair meets once per community whatever the number of files.
     """
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     b = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("branch"), F.col("p_brand").alias("community")).distinct()

@@ -94,6 +94,13 @@ def l02_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_key", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
 
 
+def l02_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a coarse index: 16 cells fitted on a bounded sample, 12 of them probed."""
+    e = table(spark, sf_dir, "embeddings")
+    cells = ranking.fit_cells(e, "vec_id", "embedding", 16)
+    return ranking.cell_search(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), 5, cells, 12).select("query_key", "key", "cosine", F.col("rank").cast("bigint").alias("rank"))
+
+
 def j10_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors at a cosine of 0.35 and above to those whose id is divisible by 20."""
     e = table(spark, sf_dir, "embeddings")
@@ -148,7 +155,7 @@ def q11_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(known, "slug", "left").select("slug", "title", F.when(F.col("here").isNull(), "not_found").alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (q01_bm25, q01_bm25_filtered, q02_text_cosine, q03_hybrid, q04_linked, q05_daily, q06_exact, q07_exact_first, q10_multi, l02_knn, j10_similar_vectors, w11_best_window, w12_best_zone, q13_benchmark, a19_by_type, q11_lookups)}
+QUERIES = {f.__name__: f for f in (q01_bm25, q01_bm25_filtered, q02_text_cosine, q03_hybrid, q04_linked, q05_daily, q06_exact, q07_exact_first, q10_multi, l02_knn, l02_ann, j10_similar_vectors, w11_best_window, w12_best_zone, q13_benchmark, a19_by_type, q11_lookups)}
 
 
 def _tok(column: str) -> str:

@@ -154,10 +154,12 @@ def p15_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p18_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "session_turns").where("source_file <> 'unassigned/import.jsonl'")
+    """Each transcript file flattened to ``role: text`` lines, in parts of 2,048 lines, so that no file is one group."""
+    t = table(spark, sf_dir, "session_turns")
     line = F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), F.coalesce("text", F.lit("")))
-    g = t.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("line_no", "turn_id", line.alias("l")))).alias("x"))
-    return g.select("source_file", F.md5(F.array_join(F.transform("x", lambda r: r["l"]), "\n")).alias("flat_md5"))
+    part = F.floor(F.coalesce("line_no", F.lit(0)) / 2048).cast("bigint")
+    g = t.groupBy("source_file", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_no", "turn_id", line.alias("l")))).alias("x"))
+    return g.select("source_file", "part", F.md5(F.array_join(F.transform("x", lambda r: r["l"]), "\n")).alias("flat_md5"))
 
 
 def p22_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +201,7 @@ ORACLES = {
     "p08_truth": f"select doc_id, length({SQL_TRUTH}) truth_chars from {_D}",
     "p11_zone_corpus": "with a as (select slug, title, coalesce(confidence, 0.5) confidence, coalesce(quarantined, false) quarantined from articles qualify row_number() over (partition by slug order by article_id desc) = 1), e as (select zone_id, slug, 'observed' zone, observed body from article_zones union all select zone_id, slug, 'synthesized', synthesized from article_zones) select zone_id, zone, length(concat_ws(' ', title, body)) index_chars, round(confidence, 6) confidence, quarantined from e join a using (slug) where body is not null and trim(body) <> ''",
     "p14_contexts": f"select doc_id, substr(text, s, p - s + 11 + 80) context from (select doc_id, text, instr(text, 'retry queue') p, greatest(instr(text, 'retry queue') - 80, 1) s from {_D}) where p > 0",
-    "p18_flatten": "select source_file, md5(string_agg(coalesce(role, 'unknown') || ': ' || coalesce(text, ''), chr(10) order by line_no nulls first, turn_id)) flat_md5 from session_turns where source_file <> 'unassigned/import.jsonl' group by 1",
+    "p18_flatten": "select source_file, coalesce(line_no, 0) // 2048 part, md5(string_agg(coalesce(role, 'unknown') || ': ' || coalesce(text, ''), chr(10) order by line_no nulls first, turn_id)) flat_md5 from session_turns group by 1, 2",
     "p22_truncated": f"select doc_id, length(k) kept_chars, len(string_split(k, chr(10) || '## ')) - 1 shown, len(string_split(text, chr(10) || '## ')) - 1 total from (select doc_id, text, case when length(text) <= 2000 then text when contains(substr(text, 1, 2000), chr(10) || '## ') then regexp_extract(substr(text, 1, 2000), '(?s)\\A(.*)\\n## ', 1) else substr(text, 1, 2000) end k from {_D})",
     "p03_word_windows": f"select doc_id, i part, md5(array_to_string(w[i * 120 + 1 : i * 120 + 150], ' ')) window_md5 from (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') w from {_D}), unnest(range(0, case when len(w) = 0 then 0 when len(w) <= 150 then 1 else ceil((len(w) - 150) / 120.0)::int + 1 end)) u(i)",
     "p04_line_windows": f"select doc_id, i * 120 + 1 first_line, least(i * 120 + 150, len(l)) last_line from (select doc_id, {_LINES} l from {_D}), unnest(range(0, case when len(l) <= 150 then 1 else ceil((len(l) - 150) / 120.0)::int + 1 end)) u(i)",

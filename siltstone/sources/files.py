@@ -91,7 +91,7 @@ def transcript_lines(lines: DataFrame) -> DataFrame:
     return rows.where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line_no, value): numbered lines of each file; a file is read by one task, line by line."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return whole.where("trim(value) <> ''").withColumn("line_no", F.col("line_no") + 1)

@@ -218,3 +218,32 @@ def test_inheritance(spark):
     parents = spark.createDataFrame([("C", "B"), ("B", "A"), ("L", "L2"), ("L2", "L")], "cls string, parent string")
     got = {(r["cls"], r["method"]): r["target"] for r in graph.resolve_inherited(calls, methods, parents).collect()}
     assert got == {("C", "m"): "A", ("C", "n"): "C", ("L", "m"): "L"}
+
+
+def test_coarse_index_recall(spark, small):
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    exact = {(r["query_key"], r["key"]) for r in ranking.vector_search(e, "vec_id", "embedding", q, k=5).collect()}
+    near = {(r["query_key"], r["key"]) for r in ranking.cell_search(e, "vec_id", "embedding", q, 5, ranking.fit_cells(e, "vec_id", "embedding", 16), 12).collect()}
+    assert len(exact & near) >= 0.9 * len(exact) > 0
+
+
+def test_mentions(spark):
+    t = spark.createDataFrame([(1, "see the Lint Suite (old) now"), (2, None), (3, "linting")], "k int, t string")
+    n = spark.createDataFrame([("lint suite",), ("Lint",), ("old",), (None,)], "name string")
+    assert {(r["k"], r["name"], r["position"]) for r in joins.mentions(t, "k", "t", n).collect()} == {(1, "lint suite", 9), (1, "lint", 9)}
+
+
+def test_search_entry(spark):
+    from siltstone.operators.search import search
+
+    docs = spark.createDataFrame([(1, "retry queue"), (2, "retry lock"), (3, "other words"), (4, None)], "d int, t string")
+    q = spark.createDataFrame([(7, "retry queue")], "q int, s string")
+    for mode in ("lexical", "vector", "hybrid"):
+        hits = search(docs, "d", "t", q, "q", "s", 2, mode).orderBy("rank").collect()
+        assert [h["d"] for h in hits] == [1, 2], mode
+    assert [h["d"] for h in search(docs, "d", "t", q, "q", "s", 2, "lexical", docs.where("d = 2")).collect()] == [2]
+    with pytest.raises(ValueError):
+        search(docs, "d", "t", q, "q", "s", 2, "odd")
+    with pytest.raises(ValueError):
+        search(docs, "d", "t", q, "q", "s", 0)

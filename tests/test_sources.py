@@ -201,3 +201,35 @@ def test_throttle_and_batch_sink(spark, tmp_path):
 def test_queue(spark):
     jobs = spark.createDataFrame([(1, 100, 0, 0, "x"), (2, 50, 990, 0, "x"), (3, 10, 0, 5, "x"), (4, None, 0, 0, "x"), (5, 1, 0, 0, None)], "job_id int, created_at bigint, spawned_at bigint, attempts int, context string")
     assert {r["job_id"]: r["state"] for r in pipelines.lease_queue(jobs, 1000).collect()} == {1: "ready", 2: "leased", 3: "exhausted", 4: "corrupt", 5: "corrupt"}
+
+
+def test_benchmark_questions(spark, tmp_path):
+    from siltstone.sources import benchmark
+
+    good = {"question_id": "q1", "question": "who?", "question_type": "t", "haystack_session_ids": ["s1", "s2", "s1"], "haystack_sessions": [[{"role": "user", "content": "a"}], [{"role": None, "content": " "}], [{"role": "user", "content": "a"}]], "answer_session_ids": ["s1"]}
+    (tmp_path / "b.json").write_text(json.dumps([good]))
+    q, h = benchmark.questions(spark, str(tmp_path / "b.json"))
+    assert [r["gold"] for r in q.collect()] == [["s1"]] and {(r["session_id"], r["text"]) for r in h.collect()} == {("s1", "user: a"), ("s2", "unknown:  ")}
+    for change in ({"answer_session_ids": []}, {"answer_session_ids": ["zz"]}, {"question": " "}, {"haystack_session_ids": ["s1"]}):
+        (tmp_path / "bad.json").write_text(json.dumps([good | change]))
+        with pytest.raises(Exception, match="not sound"):
+            benchmark.questions(spark, str(tmp_path / "bad.json"))[0].collect()
+
+
+def test_canaries(spark):
+    from siltstone.sources import benchmark
+
+    checks = benchmark.canaries(spark, [{"id": "a", "question": "q", "must_contain": ["Blue"], "must_not_contain": ["red"]}, {"id": "b", "question": "q", "must_contain": ["x"]}])
+    got = {r["id"]: (r["passed"], r["missing"]) for r in benchmark.check_answers(spark.createDataFrame([("a", "it is BLUE")], "id string, answer string"), checks).collect()}
+    assert got == {"a": (True, []), "b": (False, ["x"])}
+    with pytest.raises(ValueError):
+        benchmark.canaries(spark, [{"id": "a"}])
+
+
+def test_backfill(spark, tmp_path):
+    from siltstone.sources import benchmark
+
+    (tmp_path / "s1.jsonl").write_text(json.dumps({"role": "user", "content": "hi"}))
+    assert benchmark.backfill(spark, str(tmp_path), ["s1"]).count() == 1 == benchmark.backfill(spark, str(tmp_path)).count()
+    with pytest.raises(FileNotFoundError):
+        benchmark.backfill(spark, str(tmp_path), ["s1", "lost"])
