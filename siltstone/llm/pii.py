@@ -241,6 +241,10 @@ def surrogate(surface: str, kind: str, entity: str, key: bytes, names: tuple[lis
 
     def swap(m: re.Match) -> str:
         word = m.group()
+        if attempt >= 2 and kinds.get(fold(word)) == "family":  # the lexicon has too few: a made-up family name
+            stems, ends = "bar dol fen gar hol kel lin mor nor pel ral sel tor ul var wen".split(), "berg by dal feld gren holm land lund rud stad vik wald".split()
+            made = (stems[below(16)] + stems[below(16)] + ends[below(12)]).capitalize()
+            return _cased(word, made if word.isascii() else made + "ø")
         if len(word) == 1:
             return _cased(word * 2, chr(65 + below(26)))
         pool = given if kinds.get(fold(word)) == "given" else family
@@ -332,14 +336,16 @@ def surrogates(found: DataFrame, lexicon: DataFrame, key: str, rounds: int = 6)
 def redact(texts: DataFrame, lexicon: DataFrame, key: str, realistic: bool = False) -> DataFrame:
     """(source_table, row_id, n_finds, redacted) of the texts that hold anything.
 
+    A row is named by its table and id; rows repeated under one id are equal.
     Placeholders read ``<KIND:code>``, the code being the same wherever the entity stands;
     ``realistic`` puts the surrogates instead.  All other text stays as it is.
     """
     found = materialize(finds(texts, lexicon))
     known = surrogates(found, lexicon, key)
     stand_in = F.col("surrogate") if realistic else F.concat(F.lit("<"), F.upper("kind"), F.lit(":"), F.col("code"), F.lit(">"))
-    each = found.join(known, ["kind", "entity"]).groupBy("source_table", "row_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", stand_in.alias("stand_in")))).alias("spans"))
-    joined = texts.select("source_table", "row_id", "text").join(each, ["source_table", "row_id"])
+    each = found.join(known, ["kind", "entity"]).groupBy("source_table", "row_id").agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", stand_in.alias("stand_in")))).alias("spans"))
+    each = each.toDF("_table", "_row", "spans")
+    joined = texts.select("source_table", "row_id", "text").join(each, F.col("source_table").eqNullSafe(F.col("_table")) & F.col("row_id").eqNullSafe(F.col("_row")))
     # the text up to each find and its stand-in, one after the other
     built = F.aggregate(
         "spans",
