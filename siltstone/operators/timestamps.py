@@ -71,17 +71,32 @@ def zone_intervals(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> pa.Table:
     return pa.table({"zone_key": names, "utc_start": np.concatenate(starts), "utc_end": np.concatenate(ends), "off": np.concatenate(offsets)})
 
 
+@lru_cache(maxsize=4)
+def _bucket_table(first: int, last: int) -> pa.Table:
+    flat = zone_intervals(first, last)
+    zones = flat["zone_key"].to_numpy(zero_copy_only=False)
+    start, end, off = (flat[c].to_numpy() for c in ("utc_start", "utc_end", "off"))
+    years = np.arange(first, last + 1)
+    edge = np.array([np.datetime64(f"{y}-01-01", "s").astype(np.int64) for y in range(first - 1, last + 3)])
+    head = np.flatnonzero(np.r_[True, zones[1:] != zones[:-1]])
+    keys, counts, members = [], [], []
+    for a, b in zip(head, np.r_[head[1:], len(zones)], strict=True):
+        # the intervals that touch the year or its neighbours stand together
+        lo = a + np.searchsorted(end[a:b], edge[:-3], side="right")
+        hi = a + np.searchsorted(start[a:b], edge[3:], side="left")
+        n = hi - lo
+        keys += [zones[a]] * len(years)
+        counts.append(n)
+        members.append(np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+    at = np.concatenate(members)
+    structs = pa.StructArray.from_arrays([pa.array(start[at] + off[at]), pa.array(end[at] + off[at]), pa.array(off[at])], ["lo", "hi", "off"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)), structs)
+    return pa.table({"zone_key": keys, "zone_year": pa.array(np.tile(years, len(head)).astype(np.int32)), "intervals": lists})
+
+
 def interval_buckets(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
     """One row per (zone, year): the intervals in local time that touch the year or its neighbours, in order."""
-    flat = spark.createDataFrame(zone_intervals(first, last))
-    year = lambda s: F.year(F.date_from_unix_date(F.floor(s / 86400).cast("int")))
-    years = F.sequence(F.greatest(F.lit(first), year(F.col("utc_start")) - 1), F.least(F.lit(last), year(F.col("utc_end")) + 1))
-    local = F.struct((F.col("utc_start") + F.col("off")).alias("lo"), (F.col("utc_end") + F.col("off")).alias("hi"), "off")
-    return (
-        flat.select("zone_key", local.alias("interval"), F.explode(years).alias("zone_year"))
-        .groupBy("zone_key", "zone_year")
-        .agg(F.array_sort(F.collect_list("interval")).alias("intervals"))
-    )
+    return spark.createDataFrame(_bucket_table(first, last))
 
 
 # --- parsing ---------------------------------------------------------------------------------
