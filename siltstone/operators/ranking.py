@@ -25,10 +25,15 @@ K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 QUERY_BLOCK = 4096
 
 
-def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, dl): how often each token stands in each text, and the text's tokens."""
+def terms(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, dl, token): every token of every text, with how many the text has."""
     t = corpus.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token")).groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
+    return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
+
+
+def query_terms(queries: DataFrame, query: str, query_text: str) -> DataFrame:
+    """(query, token, qtf)."""
+    return queries.select(query, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
 
 
 def corpus_statistics(corpus: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
@@ -58,11 +63,12 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str,
     may follow that must not change the corpus statistics.
     """
     idf, total = corpus_statistics(corpus, text)
-    q = queries.select(query, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
+    q = query_terms(queries, query, query_text)
     weighed = q.join(idf, "token")
-    wanted = weighed.select("token").distinct()
-    # the postings are cut to the queries' tokens before anything is shuffled with them
-    hits = postings(corpus, key, text).join(wanted, "token", "left_semi").join(weighed, "token").join(F.broadcast(total))  # one row
+    # terms are cut to the queries' tokens in the scan, before anything is shuffled with them
+    met = terms(corpus, key, text).join(q.select("token").distinct(), "token", "left_semi")
+    tf = met.groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
+    hits = tf.join(weighed, "token").join(F.broadcast(total))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
     return scored if k is None else top(scored, query, key, k)
@@ -70,10 +76,12 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str,
 
 def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int) -> DataFrame:
     """(query, key, score, rank) by the cosine of token counts: a sparse vector leg made from text alone."""
-    p = postings(corpus, key, text).withColumn("norm", F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key))))
-    q = queries.select(query, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
-    q = q.withColumn("qnorm", F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).over(Window.partitionBy(query))))
-    scored = p.join(q, "token").groupBy(query, key).agg(F.round(F.sum(F.col("tf") * F.col("qtf")) / (F.max("norm") * F.max("qnorm")), 6).alias("score"))
+    q = query_terms(queries, query, query_text)
+    p = terms(corpus, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    norms = p.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
+    dots = p.join(q, "token").groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
+    scored = dots.join(norms, key).join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return top(scored, query, key, k)
 
 
