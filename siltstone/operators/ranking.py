@@ -27,7 +27,7 @@ QUERY_BLOCK = 4096
 
 def terms(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """(key, dl, token): every token of every text, with how many the text has."""
-    t = corpus.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = corpus.select(key, tokens(F.col(text)).alias("t"))
     return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
 
 
@@ -41,9 +41,14 @@ def corpus_statistics(corpus: DataFrame, text: str) -> tuple[DataFrame, DataFram
 
     A negative idf is floored at EPSILON times the mean idf over the whole vocabulary.
     """
-    t = corpus.select(tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    total = t.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    df = t.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    t = corpus.select(tokens(F.col(text)).alias("t"))
+    # the texts are counted as one more token, the empty one, so a single pass gives both
+    whole = F.filter(F.array(F.struct(F.lit("").alias("token"), F.size("t").cast("bigint").alias("dl"))), lambda x: x["dl"] > 0)
+    each = F.concat(whole, F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.lit(0).cast("bigint").alias("dl"))))
+    counted = t.select(F.explode(each).alias("e")).groupBy("e.token").agg(F.count("*").alias("df"), F.sum("e.dl").alias("dl"))
+    counted = materialize(counted)  # the vocabulary is used four times below, the texts are read for it once
+    total = counted.where("token = ''").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    df = counted.where("token <> ''").select("token", "df")
     raw = df.join(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))  # one row

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import chunking
-from siltstone.session import table
+from siltstone.session import spread, table
 
 #: DuckDB twins of the expressions that several oracles share.
 SQL_TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
@@ -20,7 +20,7 @@ SLUG = "regexp_replace(path, '\\.md$', '')"
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a text; the path without suffix is the slug that links use."""
-    return table(spark, sf_dir, "documents").where("text is not null").withColumn("slug", F.regexp_replace("path", r"\.md$", ""))
+    return spread(table(spark, sf_dir, "documents").where("text is not null")).withColumn("slug", F.regexp_replace("path", r"\.md$", ""))
 
 
 def field_sql(key: str) -> str:
