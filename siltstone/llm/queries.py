@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import contamination, conversations, neardup, packing, pairs, pii, spam, splitting
-from siltstone.session import table
+from siltstone.session import spread, table
 
 #: The key of the demonstration queries; real runs pass their own.
 PII_KEY = "demonstration"
@@ -26,10 +26,14 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("session_id", "part_no", "n_turns", flat.alias("dialogue"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _spoken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "session_turns").select(F.lit("session_turns").alias("source_table"), F.col("turn_id").alias("row_id"), "text")
     history = table(spark, sf_dir, "whisper_history").select(F.lit("whisper_history").alias("source_table"), F.col("entry_id").alias("row_id"), F.col("transcript").alias("text"))
-    return turns.unionByName(history)
+    return spread(turns.unionByName(history))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,22 +93,22 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with the container of 2,048 tokens each goes to."""
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+    return packing.pack(packing.token_counts(_documents(spark, sf_dir)))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation items and the documents that hold twelve consecutive words of their passage."""
-    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+    return contamination.leaked_items(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark_items"))
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where in each document the leaked passages stand."""
-    return contamination.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items"))
+    return contamination.leaked_spans(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of keywords, links or tags instead of sentences."""
-    return spam.spam_pages(table(spark, sf_dir, "documents"))
+    return spam.spam_pages(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
