@@ -10,7 +10,7 @@ from siltstone.functions import text as T
 from siltstone.operators import graph, lint, ranking, selection
 from siltstone.operators.search import search
 from siltstone.plans.analytics import a10_hotspots, a11_cochange, m01_priority
-from siltstone.plans.graphs import topic_edges
+from siltstone.plans.graphs import page_edges
 from siltstone.plans.search import _DOCS, _QS, _RANK, bm25_sql, cosine_sql
 from siltstone.plans.text import SQL_LINKS, docs
 from siltstone.session import table
@@ -38,10 +38,11 @@ def f11_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g03_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of the topics around a seed, in order of distance and id, until 20,000 characters are used."""
+    """Documents around a seed, in order of distance and id, until 20,000 characters are used."""
     seeds = spark.createDataFrame([("concepts/lint-suite",)], "seed string")
-    near = graph.neighbours(topic_edges(spark, sf_dir), seeds, 1)
-    d = docs(spark, sf_dir).select("doc_id", F.regexp_replace("slug", r"-\d+$", "").alias("node"), F.length("text").alias("chars"))
+    # a step between topics is up to three here: topic, page, topic, page
+    near = graph.neighbours(page_edges(spark, sf_dir), seeds, 3)
+    d = docs(spark, sf_dir).select("doc_id", F.coalesce("slug", F.concat(F.lit("doc/"), "doc_id")).alias("node"), F.length("text").alias("chars"))
     j = d.join(near, "node")
     # each document costs at least the separator, so only the first 20,001 can matter
     order = Window.partitionBy("seed").orderBy("depth", "doc_id")
@@ -51,7 +52,7 @@ def g03_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The communities' sizes and hubs, largest first."""
-    return graph.communities(topic_edges(spark, sf_dir)).select("community_id", "hub", "size").distinct()
+    return graph.communities(page_edges(spark, sf_dir)).select("community_id", "hub", "size").distinct()
 
 
 def g16_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:

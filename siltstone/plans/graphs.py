@@ -1,7 +1,14 @@
-"""Graph queries over the topics of the corpus and the links between them."""
+"""Graph queries over the pages of the corpus, their topics and the links between them.
+
+Queries whose SQL keeps to the topics under ``concepts/`` come twice: as that SQL says, and
+as ``..._pages`` over the links of every page.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +18,26 @@ from siltstone.plans.text import SQL_LINKS, docs
 from siltstone.session import table
 
 
+Edges = Callable[[SparkSession, str], DataFrame]
+
+
 def topic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic -> linked topic, where a topic is a slug without its number."""
     e = docs(spark, sf_dir).select(F.regexp_replace("slug", r"-\d+$", "").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("dst"))
     return e.where("src is not null and src like 'concepts/%' and src <> dst").distinct()
 
 
+def page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page -> its link targets, and every topic (a slug without its number) -> its pages.
+
+    Membership goes on where links end, as they name topics.  A page without a path goes by its id.
+    """
+    d = docs(spark, sf_dir).select(F.coalesce("slug", F.concat(F.lit("doc/"), "doc_id")).alias("page"), "slug", "text")
+    links = d.select(F.col("page").alias("src"), F.explode(T.wikilinks(F.col("text"))).alias("dst"))
+    parts = d.select(F.regexp_replace("slug", r"-\d+$", "").alias("src"), F.col("page").alias("dst")).where("src <> dst")
+    return links.unionByName(parts).distinct()
+
+
 def _seeds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("concepts/lint-suite",), ("concepts/retry-queue",)], "seed string")
 
@@ -31,36 +52,36 @@ def g01_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(part("edge:wikilink", links)).unionByName(part("edge:contains", d.where("source is not null")))
 
 
-def g02_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.neighbours(topic_edges(spark, sf_dir), _seeds(spark), 2).select("seed", "node", F.col("depth").cast("bigint").alias("depth"))
+def g02_neighbours(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    return graph.neighbours(edges(spark, sf_dir), _seeds(spark), 2).select("seed", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
-def g04_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.shortest_path(topic_edges(spark, sf_dir), "concepts/lint-suite", "concepts/retry-queue")
+def g04_path(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    p = graph.shortest_path(edges(spark, sf_dir), "concepts/lint-suite", "concepts/retry-queue")
     return p.agg(F.max("step").cast("bigint").alias("steps"))
 
 
-def g05_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g05_trace(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
     roots = spark.createDataFrame([("concepts/lint-suite",)], "root string")
-    t = graph.trace(topic_edges(spark, sf_dir), roots, 2)
+    t = graph.trace(edges(spark, sf_dir), roots, 2)
     return t.select(F.array_join("path", ">").alias("path"), "leaf")
 
 
-def g06_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reach(topic_edges(spark, sf_dir), _seeds(spark), 6, reverse=True).select("seed", "node", F.col("depth").cast("bigint").alias("depth"))
+def g06_callers(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    return graph.reach(edges(spark, sf_dir), _seeds(spark), 6, reverse=True).select("seed", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
-def g07_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.strong_components(topic_edges(spark, sf_dir))
+def g07_cycles(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    return graph.strong_components(edges(spark, sf_dir))
 
 
 def g08_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.communities(topic_edges(spark, sf_dir))
+    return graph.communities(page_edges(spark, sf_dir))
 
 
-def g09_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g09_signature(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
     """A key of the graph's state, independent of order and partitioning: counts and sums of hashes."""
-    e = topic_edges(spark, sf_dir)
+    e = edges(spark, sf_dir)
     h = F.conv(F.substring(F.md5(F.concat_ws(">", "src", "dst")), 1, 8), 16, 10).cast("bigint")
     return e.agg(F.count("*").alias("edges"), F.sum(h).cast("double").alias("signature"))
 
@@ -73,17 +94,17 @@ def g11_merge_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(shared, "path", "left").groupBy("branch").agg(F.count("*").alias("files"), F.countDistinct("p_brand").alias("communities"), F.count("c").alias("conflicts"))
 
 
-def g13_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def g13_impact(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
     """Topics that reach the seeds, with a risk of 1 / depth times the weight of how often they are linked."""
-    e = topic_edges(spark, sf_dir)
+    e = edges(spark, sf_dir)
     back = graph.reach(e, _seeds(spark), 3, reverse=True)
     heat = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("heat"))
     r = back.join(heat, "node", "left").groupBy("node").agg(F.round(F.sum(F.coalesce("heat", F.lit(1)) / F.greatest("depth", F.lit(1))), 2).alias("risk"))
     return r
 
 
-def g15_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = topic_edges(spark, sf_dir)
+def g15_degrees(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    e = edges(spark, sf_dir)
     o, i = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree")), e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
     return o.join(i, "node", "full_outer").select("node", F.coalesce("out_degree", F.lit(0)).alias("out_degree"), F.coalesce("in_degree", F.lit(0)).alias("in_degree"))
 
@@ -98,6 +119,7 @@ def j16_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "gj" and k[1:3].isdigit()}
+QUERIES |= {f"{f.__name__}_pages": partial(f, edges=page_edges) for f in (g02_neighbours, g04_path, g05_trace, g06_callers, g07_cycles, g09_signature, g13_impact, g15_degrees)}
 _D = "documents where text is not null"
 _E = f"e as (select distinct src, dst from (select regexp_replace(regexp_replace(path, '\\.md$', ''), '-[0-9]+$', '') src, unnest({SQL_LINKS}) dst from {_D}) where src like 'concepts/%' and src <> dst)"
 _S = "s as (select unnest(['concepts/lint-suite', 'concepts/retry-queue']) seed)"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import lint
-from siltstone.plans.graphs import topic_edges
+from siltstone.plans.graphs import Edges, page_edges, topic_edges
 from siltstone.plans.text import SQL_BODY, SQL_LINKS, docs, field_sql
 from siltstone.session import table
 from siltstone.sources import sinks
@@ -25,8 +27,8 @@ def j26_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lint.best_matches(wanted, table(spark, sf_dir, "articles").where("slug is not null").select("slug"), 0.9)
 
 
-def k12_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = topic_edges(spark, sf_dir)
+def k12_graphml(spark: SparkSession, sf_dir: str, edges: Edges = topic_edges) -> DataFrame:
+    e = edges(spark, sf_dir)
     nodes = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return sinks.graphml(nodes, e).select(F.col("seq").cast("bigint").alias("seq"), "line")
 
@@ -52,6 +54,7 @@ def r05_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (lint_totals, j26_fuzzy, k12_graphml, k02_versions, r04_sessions, r05_queue)}
+QUERIES["k12_graphml_pages"] = partial(k12_graphml, edges=page_edges)
 _D = "documents where text is not null and path is not null"
 _SLUG = "regexp_replace(path, '\\.md$', '')"
 _L = f"(select path, {_SLUG} slug, unnest({SQL_LINKS}) target from {_D})"
