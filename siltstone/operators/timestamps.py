@@ -17,12 +17,16 @@ null instant; finer digits than microseconds are cut off.
 
 from __future__ import annotations
 
+import datetime as dt
+import importlib.resources
+import io
+import pathlib
 import zoneinfo
 from functools import lru_cache
+from struct import pack, unpack
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,34 +44,69 @@ MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oc
 FIRST_YEAR, LAST_YEAR = 1970, 2100
 
 
+def _listed(zone: str) -> tuple[np.ndarray, np.ndarray, str]:
+    """(changes, offsets before, between and after them, rule from then on) as the zone's file says, in seconds."""
+    places = [pathlib.Path(root, zone) for root in zoneinfo.TZPATH]
+    data = next((p.read_bytes() for p in places if p.is_file()), None)
+    if data is None:
+        data = importlib.resources.files("tzdata").joinpath("zoneinfo", zone).read_bytes()
+    width, at = 4, 0
+    isut, isstd, leap, times, types, chars = unpack(">6l", data[20:44])
+    if data[4:5] >= b"2":  # the block of 64 bits follows that of 32
+        width, at = 8, 44 + times * 5 + types * 6 + chars + leap * 8 + isstd + isut
+        isut, isstd, leap, times, types, chars = unpack(">6l", data[at + 20 : at + 44])
+    at += 44
+    changes = np.frombuffer(data, f">i{width}", times, at).astype(np.int64)
+    kinds = np.frombuffer(data, "u1", times, at + times * width)
+    at += times * (width + 1)
+    off = np.array([unpack(">l", data[at + 6 * i : at + 6 * i + 4])[0] for i in range(types)], np.int64)
+    end = at + types * 6 + chars + leap * (width + 4) + isstd + isut
+    return changes, np.r_[off[:1], off[kinds]], data[end:].strip().decode() if width == 8 else ""
+
+
+@lru_cache(maxsize=512)
+def _ruled(rule: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(changes, offsets after them) of a yearly rule from ``lo`` to ``hi``; its periods last far longer than eight days."""
+    if "," not in rule:
+        return np.array([], np.int64), np.array([], np.int64)
+    head = lambda types: b"TZif2" + bytes(15) + pack(">6l", 0, 0, 0, 0, types, types)
+    zone = zoneinfo.ZoneInfo.from_file(io.BytesIO(head(1) + bytes(7) + head(1) + bytes(7) + f"\n{rule}\n".encode()))
+    epoch = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+    offset = lambda t: int((epoch + dt.timedelta(seconds=int(t))).astimezone(zone).utcoffset().total_seconds())
+    samples = np.append(np.arange(lo, hi, 8 * 86400), hi)
+    at = np.array([offset(t) for t in samples])
+    changes = []
+    for i in np.flatnonzero(at[1:] != at[:-1]):
+        a, b = samples[i], samples[i + 1]
+        while b - a > 1:
+            m = (a + b) // 2
+            a, b = (m, b) if offset(m) == at[i] else (a, m)
+        changes.append(b)
+    return np.array(changes, np.int64), at[1:][at[1:] != at[:-1]]
+
+
 @lru_cache(maxsize=4)
 def zone_intervals(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> pa.Table:
     """(zone_key, utc_start, utc_end, off), in seconds, for every zone of the database.
 
-    Offsets are sampled every eight days and all changes are then located by bisection at once.
+    Changes come from the zone's file, which lists them one by one up to where a yearly rule takes over.
     """
     epoch = lambda y: int(np.datetime64(f"{y}-01-01", "s").astype(np.int64))
     lo, hi = epoch(first - 1), epoch(last + 2)
-    samples = np.append(np.arange(lo, hi, 8 * 86400, dtype=np.int64), hi)
     names, starts, ends, offsets = [], [], [], []
     for zone in sorted(zoneinfo.available_timezones()):
         if zone in ("localtime", "Factory") or zone.startswith(("posix/", "right/")):
             continue
-
-        def offset(seconds: np.ndarray, zone: str = zone) -> np.ndarray:
-            stamps = pa.array(seconds, pa.timestamp("s", tz=zone))
-            return pc.local_timestamp(stamps).cast(pa.int64()).to_numpy() - seconds
-
-        at = offset(samples)
-        change = np.flatnonzero(at[1:] != at[:-1])
-        a, b, old = samples[change], samples[change + 1], at[change]
-        while len(a) and (b - a).max() > 1:
-            m = (a + b) // 2
-            same = offset(m) == old
-            a, b = np.where(same, m, a), np.where(same, b, m)
-        cuts = np.concatenate([[lo], b, [hi]])
+        listed, off, rule = _listed(zone)
+        ruled, after = _ruled(rule, lo, hi)
+        later = ruled > (listed[-1] if len(listed) else lo)
+        at, off = np.r_[listed, ruled[later]], np.r_[off, after[later]]
+        a, b = np.searchsorted(at, lo, side="right"), np.searchsorted(at, hi)
+        at, off = at[a:b], off[a : b + 1]
+        moved = off[1:] != off[:-1]
+        cuts = np.r_[lo, at[moved], hi]
         names += [zone.lower()] * (len(cuts) - 1)
-        starts.append(cuts[:-1]), ends.append(cuts[1:]), offsets.append(np.concatenate([old, at[-1:]]))
+        starts.append(cuts[:-1]), ends.append(cuts[1:]), offsets.append(np.r_[off[:1], off[1:][moved]])
     return pa.table({"zone_key": names, "utc_start": np.concatenate(starts), "utc_end": np.concatenate(ends), "off": np.concatenate(offsets)})
 
 

@@ -76,3 +76,10 @@ def test_every_hour_around_changes(spark):
 
 def test_empty_table(spark):
     assert to_instant(spark.createDataFrame([], "value string, host_tz string"), "value", "host_tz").collect() == []
+
+
+def test_short_interval_of_the_zone_database(spark):
+    """Gaza has an interval of six days, 2040-10-20 to 2040-10-26."""
+    rows = [(f"2040-10-{d} 12:00:00", z) for d in range(18, 31) for z in ("Asia/Gaza", "Asia/Hebron")]
+    for r in to_instant(spark.createDataFrame(rows, "value string, host_tz string"), "value", "host_tz").collect():
+        assert r["utc_us"] == us(2040, 10, int(r["value"][8:10]), 12, zone=ZoneInfo(r["host_tz"])), r
