@@ -8,7 +8,9 @@ one bucket per (zone, year): two matching intervals mean the local time is ambig
 before the change is used), one gives the offset directly.
 
 The interval table depends on the time-zone database only, never on the data: its
-size is bounded by zones x years, and it is joined by broadcast for that reason.
+size is bounded by zones x years, and it is joined by broadcast for that reason.  One
+bucket holds all changes before FIRST_YEAR; a later year than LAST_YEAR is looked up in
+one of the last 28 with the same calendar, as only yearly rules are left by then.
 
 Defined results for odd input: a null, blank, unparsable or impossible value (31
 November, hour 27, all zeros) gives a null instant; an unknown zone name gives a
@@ -41,7 +43,9 @@ ABBREVIATIONS = {
 #: Month names by their first three letters.
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+FIRST_YEAR, LAST_YEAR = 1970, 2128
+#: Seconds of a time before any change in the database (1800).
+EARLIEST = -5_364_662_400
 
 
 def _listed(zone: str) -> tuple[np.ndarray, np.ndarray, str]:
@@ -99,12 +103,12 @@ def zone_intervals(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> pa.Table:
             continue
         listed, off, rule = _listed(zone)
         ruled, after = _ruled(rule, lo, hi)
-        later = ruled > (listed[-1] if len(listed) else lo)
+        later = ruled > (listed[-1] if len(listed) else EARLIEST)
         at, off = np.r_[listed, ruled[later]], np.r_[off, after[later]]
-        a, b = np.searchsorted(at, lo, side="right"), np.searchsorted(at, hi)
+        a, b = np.searchsorted(at, EARLIEST, side="right"), np.searchsorted(at, hi)
         at, off = at[a:b], off[a : b + 1]
         moved = off[1:] != off[:-1]
-        cuts = np.r_[lo, at[moved], hi]
+        cuts = np.r_[EARLIEST, at[moved], hi]
         names += [zone.lower()] * (len(cuts) - 1)
         starts.append(cuts[:-1]), ends.append(cuts[1:]), offsets.append(np.r_[off[:1], off[1:][moved]])
     return pa.table({"zone_key": names, "utc_start": np.concatenate(starts), "utc_end": np.concatenate(ends), "off": np.concatenate(offsets)})
@@ -115,14 +119,15 @@ def _bucket_table(first: int, last: int) -> pa.Table:
     flat = zone_intervals(first, last)
     zones = flat["zone_key"].to_numpy(zero_copy_only=False)
     start, end, off = (flat[c].to_numpy() for c in ("utc_start", "utc_end", "off"))
-    years = np.arange(first, last + 1)
-    edge = np.array([np.datetime64(f"{y}-01-01", "s").astype(np.int64) for y in range(first - 1, last + 3)])
+    years = np.arange(first - 1, last + 1)
+    edge = np.array([np.datetime64(f"{y}-01-01", "s").astype(np.int64) for y in range(first - 2, last + 3)])
     head = np.flatnonzero(np.r_[True, zones[1:] != zones[:-1]])
     keys, counts, members = [], [], []
     for a, b in zip(head, np.r_[head[1:], len(zones)], strict=True):
         # the intervals that touch the year or its neighbours stand together
         lo = a + np.searchsorted(end[a:b], edge[:-3], side="right")
         hi = a + np.searchsorted(start[a:b], edge[3:], side="left")
+        lo[0] = a  # the first bucket holds all before
         n = hi - lo
         keys += [zones[a]] * len(years)
         counts.append(n)
@@ -134,7 +139,10 @@ def _bucket_table(first: int, last: int) -> pa.Table:
 
 
 def interval_buckets(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """One row per (zone, year): the intervals in local time that touch the year or its neighbours, in order."""
+    """One row per (zone, year): the intervals in local time that touch the year or its neighbours, in order.
+
+    The year before the first stands for all earlier ones.
+    """
     return spark.createDataFrame(_bucket_table(first, last))
 
 
@@ -240,7 +248,19 @@ def lookup_utc(local: Column, intervals: Column) -> Column:
     before = F.filter(intervals, lambda x: x["hi"] <= second)
     most = F.array_max(F.transform(hits, lambda x: x["off"]))  # the largest offset gives the earlier instant
     last = F.element_at(before, -1)["off"]
-    return local - F.when(F.size(hits) > 0, most).when(F.size(before) > 0, last).cast("bigint") * 1_000_000
+    first = F.try_element_at(intervals, F.lit(1))["off"]  # before any change
+    return local - F.when(F.size(hits) > 0, most).when(F.size(before) > 0, last).otherwise(first).cast("bigint") * 1_000_000
+
+
+def _bucket_time(local: Column) -> Column:
+    """The wall-clock time itself, or beyond LAST_YEAR the same time of a bucketed year with the same calendar."""
+    day = lambda y: np.datetime64(f"{y}-01-01", "D").astype(int)
+    like = {(int(day(y)) % 7, int(day(y + 1) - day(y)) == 366): int(day(y)) for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    starts = F.array(*[F.lit(like[w, leap]) for w in range(7) for leap in (False, True)])
+    date = F.date_from_unix_date(F.floor(local / 86_400_000_000).cast("int"))
+    start, end = (F.unix_date(F.make_date(F.year(date) + n, F.lit(1), F.lit(1))) for n in (0, 1))
+    shift = F.get(starts, start % 7 * 2 + (end - start - 365)) - start
+    return F.when(F.year(date) > LAST_YEAR, local + shift.cast("bigint") * 86_400_000_000).otherwise(local)
 
 
 def to_instant(df: DataFrame, value: str, host_zone: str | None = None, out: str = "utc_us") -> DataFrame:
@@ -256,12 +276,14 @@ def to_instant(df: DataFrame, value: str, host_zone: str | None = None, out: str
     while any(c.startswith(p) for c in df.columns):
         p = "_" + p
     parsed = parse_local(df, value, host_zone, p)
-    year = F.year(F.date_from_unix_date(F.floor(F.col(f"{p}local") / 86_400_000_000).cast("int")))
-    joined = parsed.withColumn(f"{p}year", year).join(
+    year = F.year(F.date_from_unix_date(F.floor(F.col(f"{p}near") / 86_400_000_000).cast("int")))
+    parsed = parsed.withColumn(f"{p}near", _bucket_time(F.col(f"{p}local")))
+    joined = parsed.withColumn(f"{p}year", F.greatest(year, F.when(year.isNotNull(), F.lit(FIRST_YEAR - 1)))).join(
         buckets.select(F.col("zone_key").alias(f"{p}zone_key"), F.col("zone_year").alias(f"{p}zone_year"), F.col("intervals").alias(f"{p}intervals")),
         (F.col(f"{p}zone") == F.col(f"{p}zone_key")) & (F.col(f"{p}year") == F.col(f"{p}zone_year")),
         "left",
     )
-    found = F.coalesce(F.col(f"{p}utc"), lookup_utc(F.col(f"{p}local"), F.col(f"{p}intervals")))
+    looked_up = lookup_utc(F.col(f"{p}near"), F.col(f"{p}intervals")) + F.col(f"{p}local") - F.col(f"{p}near")
+    found = F.coalesce(F.col(f"{p}utc"), looked_up)
     helpers = [c for c in joined.columns if c.startswith(p)]
     return joined.withColumn(out, found).drop(*helpers)

@@ -83,3 +83,14 @@ def test_short_interval_of_the_zone_database(spark):
     rows = [(f"2040-10-{d} 12:00:00", z) for d in range(18, 31) for z in ("Asia/Gaza", "Asia/Hebron")]
     for r in to_instant(spark.createDataFrame(rows, "value string, host_tz string"), "value", "host_tz").collect():
         assert r["utc_us"] == us(2040, 10, int(r["value"][8:10]), 12, zone=ZoneInfo(r["host_tz"])), r
+
+
+def test_years_outside_the_buckets(spark):
+    years = (1700, 1883, 1900, 1945, 1968, 1969, 1970, 2100, 2101, 2128, 2129, 2150, 2200, 2399, 2400, 9998)
+    rows = [(f"{y}-{m:02d}-{d} 16:00:00", z) for y in years for m in (1, 3, 7, 10, 12) for d in (13, 31) for z in ("America/Los_Angeles", "Europe/Berlin", "Australia/Sydney")]
+    got = to_instant(spark.createDataFrame(rows, "value string, host_tz string"), "value", "host_tz").collect()
+    epoch = dt.datetime(1970, 1, 1, tzinfo=UTC)
+    for r in got:
+        local = dt.datetime.strptime(r["value"], "%Y-%m-%d %H:%M:%S").replace(tzinfo=ZoneInfo(r["host_tz"]))
+        assert r["utc_us"] == int((local.astimezone(UTC) - epoch).total_seconds()) * 1_000_000, r
+    assert len(got) == len(rows) and {r["utc_us"] for r in got if r["value"] == "1969-12-31 16:00:00" and "Los" in r["host_tz"]} == {0}
