@@ -18,7 +18,7 @@ from siltstone.sources.sinks import replace_partitions
 
 
 def debounce(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """Changes (ts, kind, path) coalesced per kind until it was quiet: (kind, first, last, paths).
+    """Changes (ts, kind, path) coalesced per kind until it was quiet: (kind, first, last, n_changes, n_paths, paths).
 
     A change exactly at the gap still joins its session.
     """
@@ -26,7 +26,7 @@ def debounce(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 secon
     if t.isStreaming:
         t = t.withWatermark("ts", late)
     g = t.groupBy(F.session_window("ts", quiet).alias("w"), "kind")
-    return g.agg(F.count("*").alias("n_changes"), F.approx_count_distinct("path").alias("n_paths")).select("kind", F.col("w.start").alias("first"), (F.col("w.end") - F.expr(f"interval {quiet}")).alias("last"), "n_changes", "n_paths")
+    return g.agg(F.count("*").alias("n_changes"), F.sort_array(F.collect_set("path")).alias("paths")).select("kind", F.col("w.start").alias("first"), (F.col("w.end") - F.expr(f"interval {quiet}")).alias("last"), "n_changes", F.size("paths").cast("bigint").alias("n_paths"), "paths")
 
 
 def throttle(flushes: DataFrame, key: str, window: str = "60 seconds") -> DataFrame:

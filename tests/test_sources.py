@@ -178,6 +178,12 @@ def test_debounce_stream(spark, tmp_path):
     assert pipelines.debounce(src).count() == 3
 
 
+def test_debounce_keeps_every_path(spark):
+    rows = [(f"2024-01-01 00:00:00.{i % 1000:03d}", "article", f"p{i % 3000:04d}") for i in range(6000)]
+    r = pipelines.debounce(spark.createDataFrame(rows, "ts string, kind string, path string")).first()
+    assert r["n_changes"] == 6000 and r["n_paths"] == 3000 and r["paths"] == [f"p{i:04d}" for i in range(3000)]
+
+
 def test_cursor_stream(spark, tmp_path):
     schema = "session_id string, ordinal bigint, text string"
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
