@@ -79,15 +79,18 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str,
     return scored if k is None else top(scored, query, key, k)
 
 
-def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int) -> DataFrame:
-    """(query, key, score, rank) by the cosine of token counts: a sparse vector leg made from text alone."""
+def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int | None) -> DataFrame:
+    """(query, key, score, rank) by the cosine of token counts: a sparse vector leg made from text alone.
+
+    Without ``k`` every hit comes out, unranked.
+    """
     q = query_terms(queries, query, query_text)
     p = terms(corpus, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"))
     norms = p.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     dots = p.join(q, "token").groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
     scored = dots.join(norms, key).join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    return top(scored, query, key, k)
+    return scored if k is None else top(scored, query, key, k)
 
 
 def fuse(streams: DataFrame, query: str, key: str, k: int, rrf_k: int = RRF_K) -> DataFrame:

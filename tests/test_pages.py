@@ -75,3 +75,12 @@ def test_communities_and_bundle_hold_every_page(spark, corpus):
     near = set(steps(edges | {(b, a) for a, b in edges}, TOPICS[0], 3))
     ids = {i for i in range(24) if (f"{TOPICS[i % 5]}-{i}" if i < 20 else f"doc/{i}") in near}
     assert {r[0] for r in rows(spark, "g03_bundle", folder)} == ids
+
+
+def test_windows_of_a_long_document_leave_room_for_others(spark, tmp_path):
+    """One document has more matching windows than a cut of 120 would hold."""
+    rows = [(0, "daily/long.md", "retry queue " * 9000)] + [(i, f"qa/p-{i}.md", "one retry among " + "other words " * 20) for i in range(1, 12)]
+    spark.createDataFrame(rows, "doc_id long, path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "retry queue", "type", "x")], "item_id long, question string, question_type string, passage string").write.parquet(str(tmp_path / "benchmark_items.parquet"))
+    got = registry.queries()["w11_best_window"](spark, str(tmp_path)).collect()
+    assert len(got) == 10 and sorted(r["doc_id"] for r in got) == list(range(10))
