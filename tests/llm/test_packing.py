@@ -71,6 +71,37 @@ def test_plans_are_close_to_the_optimum():
     assert best <= used <= best * 1.03
 
 
+def best_fit_decreasing(sizes, capacity):
+    rooms = []
+    for s in sorted(sizes, reverse=True):
+        fitting = [r for r in rooms if r >= s]
+        room = min(fitting) if fitting else capacity
+        if fitting:
+            rooms.remove(room)
+        rooms.append(room - s)
+    return len(rooms)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60))
+def test_plans_are_never_worse_than_best_fit(sizes):
+    histogram = {s: sizes.count(s) for s in sizes}
+    best = best_fit_decreasing(sizes, 60)
+    assert sum(k for _, k in P.plan(histogram, 60)) <= best
+    assert sum(k for _, k in P._fill(histogram, 60, False)) == best  # bulk steps are those of single items
+
+
+def test_the_reduction_saves_containers():
+    """Instances where dominance beats best fit alone; it is never used where it does not."""
+    rng, saved = random.Random(8), 0
+    for _ in range(1000):
+        sizes = [rng.randrange(8, 40) for _ in range(rng.randrange(4, 40))]
+        histogram = {s: sizes.count(s) for s in sizes}
+        counts = [sum(k for _, k in P._fill(histogram, 60, r)) for r in (True, False)]
+        saved += max(0, counts[1] - counts[0])
+    assert saved > 0
+
+
 def test_bulk_counts_are_quick():
     rng = random.Random(6)
     histogram = {s: rng.randrange(1, 10**6) for s in range(1, 2049)}
@@ -88,7 +119,7 @@ def test_pack(spark):
     rng = random.Random(7)
     sizes = [(i, rng.choice([0, 1, 5, 5, 5, 12, 20, 21, 47, 60])) for i in range(400)] + [(1000, 0), (1001, 20)]
     df = spark.createDataFrame([(d, n, "x", 1) for d, n in sizes], "doc_id bigint, n_tokens bigint, item string, salt int")
-    rows = P.pack(df, 20, salts=3).collect()
+    rows = P.pack(df, 20, group=50).collect()
     filled, pieces = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append((r["piece_no"], r["first_token"], r["n_tokens"]))
@@ -101,6 +132,8 @@ def test_pack(spark):
         assert all(a[1] + a[2] == b[1] for a, b in zip(p, p[1:], strict=False))
     assert len(filled) <= sum(n for _, n in sizes) / 20 * 1.1
     assert P.pack(df.limit(0), 20).collect() == []
+    odd = spark.createDataFrame([(None, 5), (None, None), (2**60 + 1, 25)], "doc_id bigint, n_tokens bigint")
+    assert sorted((r["doc_id"] or 0, r["piece_no"], r["n_tokens"]) for r in P.pack(odd, 20).collect()) == [(0, 0, 0), (0, 0, 5), (2**60 + 1, 0, 20), (2**60 + 1, 1, 5)]
 
 
 @needs_vocabulary
