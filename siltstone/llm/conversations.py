@@ -1,19 +1,22 @@
 """Conversations rebuilt from message rows.
 
-Method: every session is a reply graph.  A node is one line of a transcript file; it
-hangs on the line before it, and the files of a session follow each other by their
-earliest timestamp.  Kahn's algorithm orders the graph: a node is released once its
-predecessor has been, ties are broken by timestamp.  A line whose predecessor never
-came, and two texts that claim the same line (each would have to precede the other),
-are never released; such leftover nodes mark the session as broken.  Role
-alternation and completeness are checked on the order that results.
-
-Scale: Kahn's algorithm does not see single lines.  Lines are first contracted to
-*segments* of ``SEGMENT`` lines of one file, keyed by (session, file, segment), so a
-session that holds a third of all rows is spread over many groups, none larger than
-``SEGMENT`` rows.  Only one small row per segment goes on to the ordering step, which
-streams through sessions one at a time.  Copies of a row collapse in the map-side
-half of the first aggregation, and texts travel as two 64-bit hashes only.
+Method: every session is a reply graph.  A node is one text of one line of a transcript
+file; it hangs on the line before it, and the files of a session follow each other by
+their earliest timestamp.  Kahn's algorithm orders the graph: a node is released once
+its predecessors have been, ties are broken by timestamp.  A line whose predecessor
+never came is never released, nor are two texts that claim the same line, as each would
+have to precede the other: they are a cycle.  Such leftover nodes, and nothing else,
+mark the session's order as broken.  Role alternation and completeness are checked on
+the order that results.
+
+Scale: the graph is ordered in two steps.  Lines are grouped into *segments* of
+``SEGMENT`` lines of one file, keyed by (session, file, segment), so a session that
+holds a third of all rows is spread over many groups, none larger than ``SEGMENT``
+lines (of texts that claim one line two are kept, which is a cycle already).  Kahn's
+algorithm runs inside each segment and then over the segments, of which only one small
+row each goes on to the second step, which streams through sessions one at a time.
+Copies of a row collapse in the map-side half of the first aggregation, and texts travel
+as two 64-bit hashes only.
 
 Defined results for odd input: rows without a usable session id belong to no
 session; a null or non-positive line number breaks its session; a null file name is
@@ -25,9 +28,12 @@ timestamp comes last; ties go by file name; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,12 +54,12 @@ NOTICE_WORDS = (
     r"|rate.?limit\w*|overloaded|server busy|gave up|try again"
 )
 NOTICES = (
-    rf"(?i)^[\[(<{{*]+[^\n]{{0,80}}?\b(?:{NOTICE_WORDS})\b[^\n]{{0,80}}[\])>}}*]+\.?$",
-    r"(?i)^(?:api |upstream |internal |server |network |fatal |client )*error(?: \d{3})?\s*[:(\-][^\n]{0,160}$",
-    r"(?i)^gave up (?:waiting )?(?:after|on) [^\n]{0,60}$",
-    r"(?i)^(?:the )?(?:request|reply|response|answer|stream|connection|session) (?:was |has been |is )?(?:cancell?ed|interrupted|aborted|stopped|lost|empty|dropped|timed out|closed|ended)[^\n]{0,80}$",
+    rf"(?i)^[\[(<{{*]+[^\n]*?\b(?:{NOTICE_WORDS})\b[^\n]*[\])>}}*]+\.?$",
+    r"(?i)^(?:api |upstream |internal |server |network |fatal |client )*error(?: \d{3})?\s*[:(\-][^\n]*$",
+    r"(?i)^gave up (?:waiting )?(?:after|on) [^\n]*$",
+    r"(?i)^(?:the )?(?:request|reply|response|answer|stream|connection|session) (?:was |has been |is )?(?:cancell?ed|interrupted|aborted|stopped|lost|empty|dropped|timed out|closed|ended)\b[^\n]*$",
     r"(?i)^(?:nothing to answer(?: here)?|no (?:reply|response|answer|output)(?: (?:was )?(?:given|received|available|needed|requested|required))?)\.?$",
-    r"(?i)^(?:timed out|timeout|cancell?ed|interrupted|aborted)(?: (?:after|by|while)[^\n]{0,60})?\.?$",
+    r"(?i)^(?:timed out|timeout|cancell?ed|interrupted|aborted)(?: (?:after|by|while)[^\n]*)?\.?$",
 )
 
 _UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -78,12 +84,12 @@ def role_class(role: Column) -> Column:
 
 
 def is_notice(text: Column) -> Column:
-    """Whether an assistant's text is only a client's notice of failure, interruption or absence."""
+    """Whether an assistant's text, of whatever length, is only a client's notice of failure, interruption or absence."""
     flat = F.regexp_replace(text, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")
     hit = F.lit(False)
     for pattern in NOTICES:
         hit = hit | flat.rlike(pattern)
-    return (F.length(flat) < 200) & hit
+    return hit
 
 
 def row_micros(ts: Column) -> Column:
@@ -119,19 +125,90 @@ def segments(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     lines = distinct.groupBy("sid", "file", seg.alias("seg"), "line").agg(
         F.min("us").alias("us"), F.min("first").alias("first"), F.max("nameless").alias("nameless"), F.count("*").alias("texts")
     )
-    turn = F.struct("line", F.col("first.turn_id").alias("turn_id"), F.col("first.kind").alias("kind"))
+    node = F.struct("line", F.col("first.turn_id").alias("turn_id"), F.col("first.kind").alias("kind"), F.least("texts", F.lit(2)).cast("int").alias("texts"))
     return lines.groupBy("sid", "file", "seg").agg(
         F.min("us").alias("us"),
         F.max("nameless").alias("nameless"),
-        (F.max("texts") > 1).alias("conflict"),
-        F.count("*").alias("n_lines"),
-        F.min("line").alias("first_line"),
-        F.max("line").alias("last_line"),
         # at most `segment` lines: distinct line numbers of one segment
-        F.array_sort(F.collect_list(F.when(F.col("first.kind") > 0, turn))).alias("turns"),
+        F.array_sort(F.collect_list(node)).alias("lines"),
     )
 
 
+def topological(indegree: list[int], followers: list[list[int]], tie: list) -> list[int]:
+    """Kahn's algorithm: the nodes that can be ordered, least ``tie`` first among those released; the others are left over."""
+    waiting = list(indegree)
+    ready = [(tie[x], x) for x, n in enumerate(waiting) if n == 0]
+    heapq.heapify(ready)
+    order = []
+    while ready:
+        _, x = heapq.heappop(ready)
+        order.append(x)
+        for y in followers[x]:
+            waiting[y] -= 1
+            if waiting[y] == 0:
+                heapq.heappush(ready, (tie[y], y))
+    return order
+
+
+def line_graph(lines: list[int | None], texts: list[int], first: int | None) -> tuple[list[int], list[list[int]], list[int]]:
+    """(indegree, followers, line index) of the texts of one segment's lines, which ``first`` opens.
+
+    Each text waits for all texts of the line before; texts of one line wait for each other.
+    The first line waits for nothing here: the segment as a whole waits for the one before.
+    """
+    at = {n: k for k, n in enumerate(lines)}
+    owner = [k for k, n in enumerate(texts) for _ in range(n)]
+    nodes: list[list[int]] = [[] for _ in lines]
+    for x, k in enumerate(owner):
+        nodes[k].append(x)
+    indegree, followers = [0] * len(owner), [[] for _ in owner]
+    for x, k in enumerate(owner):
+        before = at.get(lines[k] - 1) if lines[k] is not None else None
+        if before is not None:
+            for y in nodes[before]:
+                followers[y].append(x)
+                indegree[x] += 1
+        elif first is None or lines[k] != first:
+            indegree[x] += 1  # waits for a line that is not there
+        for y in nodes[k]:
+            if y != x:
+                followers[y].append(x)
+                indegree[x] += 1
+    return indegree, followers, owner
+
+
+_NODES = "sid string, file string, seg bigint, us bigint, bad boolean, whole boolean, n int, head int, tail int, inner boolean"
+
+
+def _contract(segment: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Orders the lines of each segment; gives what the step over segments has to know of it.
+
+    bad: a text is left over or its speaker is unknown; whole: it holds all lines that a
+    segment can; n, head, tail, inner: its turns in the order found, the kinds of the first and last,
+    and whether every user's turn but the last has its reply next.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sids, files, segs, us, nameless, lists = batch.columns
+            flat, ends = lists.flatten(), np.cumsum(np.asarray(lists.value_lengths())).tolist()
+            line, kind, texts = (flat.field(k).to_pylist() for k in (0, 2, 3))
+            out, start = [], 0
+            for end, seg, unknown in zip(ends, segs.to_pylist(), nameless.to_pylist(), strict=True):
+                indegree, followers, owner = line_graph(line[start:end], texts[start:end], seg * segment + 1 if seg >= 0 else None)
+                order = topological(indegree, followers, owner)
+                turns = [k for x in order if (k := kind[start + owner[x]])]
+                whole = len(owner) == segment and len(order) == len(owner)
+                inner = all(a != 1 or b == 2 for a, b in pairwise(turns))
+                out.append((bool(unknown) or len(order) < len(owner), whole, len(turns), turns[0] if turns else None, turns[-1] if turns else None, inner))
+                start = end
+            types = (pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([sids, files, segs, us, *made], names=["sid", "file", "seg", "us", "bad", "whole", "n", "head", "tail", "inner"])
+
+    return scan
+
+
 def _kahn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Orders the segments of each session; the input is clustered and sorted by session.
 
@@ -148,25 +225,16 @@ def _kahn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, file, _, us, *_ in nodes:
             if us is not None:
                 first_us[file] = min(us, first_us.get(file, us))
-        by_key = {(x[1], x[2]): x for x in nodes}
-        indegree = {(f, s): int(s > 0) for f, s in by_key}
-        rank = lambda f, s: (first_us.get(f, float("inf")), f, s)
-        ready = [rank(f, s) for (f, s), n in indegree.items() if n == 0]
-        heapq.heapify(ready)
-        order = []
-        while ready:
-            _, file, seg = heapq.heappop(ready)
-            node = by_key[file, seg]
-            order.append(node)
-            follower = (file, seg + 1)
-            if node[5] and follower in indegree:  # only a whole segment releases the next one
-                indegree[follower] -= 1
-                if indegree[follower] == 0:
-                    heapq.heappush(ready, rank(*follower))
+        at = {(x[1], x[2]): k for k, x in enumerate(nodes)}
+        followers: list[list[int]] = [[] for _ in nodes]
+        for (file, seg), k in at.items():
+            if nodes[k][5] and (file, seg + 1) in at:  # only a whole segment releases the next one
+                followers[k].append(at[file, seg + 1])
+        order = topological([int(x[2] > 0) for x in nodes], followers, [(first_us.get(x[1], float("inf")), x[1], x[2]) for x in nodes])
         if len(order) < len(nodes):  # leftover nodes
             return []
         out, offset, before = [], 0, 0
-        for _, file, seg, _, _, _, n, head, tail, inner in order:
+        for _, file, seg, _, _, _, n, head, tail, inner in (nodes[k] for k in order):
             if n:
                 if not inner or (offset == 0 and head != 1) or (before == 1 and head != 2):
                     return []
@@ -198,28 +266,11 @@ def rebuild(turns: DataFrame, sessions: DataFrame, segment: int = SEGMENT) -> Da
     an assistant's real reply.
     """
     segs = materialize(segments(turns, segment))
-    t = F.col("turns")
-    kinds = F.transform(t, lambda x: x["kind"])
-    pairs = F.zip_with(F.slice(kinds, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(kinds, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: (a != 1) | (b == 2))
-    end = F.col("seg") * segment
-    # a segment is sound if its own lines have no gap, whole if it is also full
-    sound = (F.col("seg") >= 0) & (F.col("first_line") == end + 1) & (F.col("last_line") - F.col("first_line") + 1 == F.col("n_lines"))
-    nodes = segs.select(
-        "sid",
-        "file",
-        "seg",
-        "us",
-        (F.col("nameless") | F.col("conflict") | ~F.coalesce(sound, F.lit(False))).alias("bad"),
-        (F.col("n_lines") == segment).alias("whole"),
-        F.size(t).alias("n"),
-        F.when(F.size(t) > 0, kinds[0]).alias("head"),
-        F.when(F.size(t) > 0, F.element_at(kinds, -1)).alias("tail"),
-        F.when(F.size(t) > 1, F.forall(pairs, lambda x: x)).otherwise(True).alias("inner"),
-    )
+    nodes = segs.mapInArrow(_contract(segment), _NODES)
     known = sessions.select(bare_session_id(F.col("session_id")).alias("sid")).where("sid is not null").distinct()
     nodes = nodes.join(known, "sid", "left_semi").repartition("sid").sortWithinPartitions("sid", "file", "seg")
     kept = nodes.mapInPandas(_kahn, "sid string, file string, seg bigint, offset bigint")
-    placed = segs.select("sid", "file", "seg", "turns").join(kept, ["sid", "file", "seg"])
+    placed = segs.select("sid", "file", "seg", F.filter("lines", lambda x: x["kind"] > 0).alias("turns")).join(kept, ["sid", "file", "seg"])
     return placed.select("sid", "offset", F.posexplode("turns").alias("k", "turn")).select(
         F.col("sid").alias("session_id"), (F.col("offset") + F.col("k") + 1).cast("int").alias("turn_pos"), F.col("turn.turn_id").alias("turn_id")
     )

@@ -62,6 +62,20 @@ BROKEN = {
 }
 
 
+BROKEN["long notice"] = lambda s: [*talk(3, s), (9, s, "f", 4, None, "assistant", "[request cancelled " + "by the client " * 300 + "]")]
+BROKEN["long error"] = lambda s: [*talk(3, s), (9, s, "f", 4, None, "assistant", "API Error: 529 " + "overloaded, " * 300)]
+
+
+def test_topological_order_and_leftovers():
+    # 0 -> 1 -> 3, 2 -> 3; ties by the key
+    assert C.topological([0, 1, 0, 2], [[1], [3], [3], []], [5, 1, 2, 0]) == [2, 0, 1, 3]
+    # 1 and 2 wait for each other, 3 waits for them
+    assert C.topological([0, 2, 2, 1], [[1, 2], [2, 3], [1], []], [0, 0, 0, 0]) == [0]
+    indegree, followers, owner = C.line_graph([1, 2, 3, 5], [1, 2, 1, 1], 1)
+    left = set(range(5)) - set(C.topological(indegree, followers, owner))
+    assert left == {1, 2, 3, 4} and [owner[x] for x in sorted(left)] == [1, 1, 2, 3]  # two texts of line 2, what follows, the gap
+
+
 @pytest.mark.parametrize("why", BROKEN)
 def test_broken_sessions_are_left_out(spark, why):
     s, good = ID.format(5), ID.format(6)
