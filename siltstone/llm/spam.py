@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 STRETCH, REPEATS_BELOW = 120, 0.4
 #: Words of a unit looked at together, and the share of pairs of neighbours that come twice in them from which
 #: a page repeats phrases within its units.
-WINDOW, TWICE = 24, 0.03
+WINDOW, TWICE = 24, 0.045
 #: Words that a unit without a closing mark needs to be a sentence.
 LONG = 8
 
