@@ -43,7 +43,7 @@ def test_pairs_against_brute_force(spark, seed):
 @pytest.mark.parametrize("block", [2, 5, 4096])
 def test_blocks_lose_no_candidate(spark, block):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(3, 70))]
-    sets = spark.createDataFrame([(i, t) for i, t in rows], "id bigint, text string").select("id", N.sequences(N.F.col("text")).alias("grams")).where("size(grams) > 0")
+    sets = N.text_sets(spark.createDataFrame([(i, t) for i, t in rows], "key bigint, text string")).select(N.F.col("key").alias("id"), "grams")
     sets = sets.dropDuplicates(["grams"])
     have = {r["id"] for r in sets.collect()}
     got = {tuple(sorted(r)) for r in N.candidates(sets, 0.5, block).collect()}
@@ -87,13 +87,45 @@ def test_traversal_keeps_all_pairs_over_the_threshold():
     for i, j in enumerate(order):
         for x in sets[j]:
             maps[i, (x * 7919 % N.BITS) // 64] |= np.uint64(1 << (x * 7919 % N.BITS % 64))
-    tree = N._tree(maps, sizes[order].astype(np.int64))
+    n = sizes[order].astype(np.int64)
+    tree = N._tree(N._Level(maps, maps, n, n, n))
     a, b = N.dual_traversal(tree, tree, 0.5, True)
     got = {tuple(sorted((int(order[i]), int(order[j])))) for i, j in zip(a, b, strict=True)}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
     assert want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_a_hot_token_that_few_are_alike_by_makes_no_pairs():
+    """A block of texts that share a stretch too short for the threshold ends at the root of its tree."""
+    n = np.full(50_000, 110, np.int64)
+    maps = np.random.default_rng(1).integers(0, 2**63, (len(n), N.WORDS)).astype(np.uint64)
+    tree = N._tree(N._Level(maps, maps, n, np.full(len(n), 60), np.full(len(n), 60)))
+    looked = []
+    possible = N._Level.possible
+    try:
+        N._Level.possible = lambda self, a, other, b, t: looked.append(len(a)) or possible(self, a, other, b, t)
+        a, b = N.dual_traversal(tree, tree, 0.5, True)
+    finally:
+        N._Level.possible = possible
+    assert len(a) == 0 and sum(looked) == 1
+
+
+def test_hot_groups_copy_no_row_for_blocks_that_cannot_meet(spark):
+    """Texts of one template and own words: every block is ruled out by its summary."""
+    rng = random.Random(9)
+    template = " ".join(f"t{i}" for i in range(60))
+    rows = [(f"k{i}", template + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(70))) for i in range(300)]
+    rows += [("x", template + " " + "alike " * 3), ("y", template + " other")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    sets = N.text_sets(df).select(N.F.col("number").alias("id"), "grams")
+    assert N.candidates(sets, 0.5, 16).count() <= 1 and {tuple(r) for r in N.similar_pairs(df).collect()} == {("x", "y")} == brute(rows)
+
+
+def test_words():
+    assert N.sequences("Ein-zwei_drei, VIER").tolist() == N.sequences("ein zwei drei vier").tolist() and len(N.sequences("a b c a b c a b c")) == 3
+    assert len(N.sequences(None)) == len(N.sequences("a b")) == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "key string, text string")
     assert N.similar_pairs(df).collect() == [] and N.similar_groups(df).collect() == []
