@@ -43,7 +43,7 @@ from siltstone.session import materialize
 
 WIDTH, THRESHOLD = 3, 0.5
 #: Bits of a text's bitmap; they travel as whole numbers of 64 bits.
-BITS = 256
+BITS = 512
 WORDS = BITS // 64
 LEAF, FANOUT, BLOCK = 32, 8, 4096
 #: Groups up to this size are trees of one leaf level and are traversed together.
