@@ -1,92 +1,199 @@
 """Quality checks over a corpus as one table of issues, and fixers that rewrite text.
 
-Checks are a registry of functions (pages) -> issues; ``report`` is their union.  Pages
-have path, slug, text (null texts are no pages).  Issues: severity, check, file, detail.
+Checks are a registry of functions ``Corpus`` -> issues; ``report`` is their union.
+Issues: severity, check, file, detail, argument (what a fixer has to know).  A check
+whose tables the corpus does not hold gives no issues.  Pages without a text are no pages.
+
+Fixers are pure functions text -> text, registered by check; ``apply_fixes`` runs them
+over a table of pages.  All are idempotent: a second run changes nothing.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import scoring as S
 from siltstone.functions import text as T
+from siltstone.operators import joins
 
-#: Allowed kinds of memories and relations of links.
-MEMORY_TYPES = ("fact", "event", "decision", "preference", "discovery", "advice", "habit", "goal")
-RELATIONS = ("depends_on", "contradicts", "supersedes", "refines", "part_of", "caused_by", "related", "example_of")
-CHECKS: dict[str, Callable[[DataFrame], DataFrame]] = {}
-FIXERS: dict[str, Callable[..., Column]] = {}
+#: The kinds of memories and the relations of links.
+MEMORY_TYPES = ("fact", "event", "discovery", "preference", "advice", "decision", "tension", "hypothesis")
+RELATIONS = ("depends_on", "implements", "conflicts_with", "supersedes", "related_to", "blocks", "corroborates", "refutes")
+#: Beginnings of file names and the kind they tell.
+TYPE_PREFIXES = {
+    "feedback_": "preference", "feedback-": "preference", "decision_": "decision", "decision-": "decision",
+    "discovery_": "discovery", "discovery-": "discovery", "event_": "event", "event-": "event",
+}
+#: Heading, bullet and comments that fixers write.
+RELATED, BACKLINK = "### Related Concepts", "- [[{}]] - Auto-added backlink"
+BROKEN_LINK, BROKEN_ANCHOR = "<!-- BROKEN-LINK: {} -->", "<!-- BROKEN-SRC: {} -->"
+LEAST_WORDS, OLD_DAYS, FUZZY = 200, 90, 0.9
 
 
-def check(name: str, severity: str):  # noqa: ANN201
-    """Registers a check that gives (file, detail)."""
+@dataclass(frozen=True)
+class Corpus:
+    """What the checks look at; everything but the pages may be left out."""
 
-    def add(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-        CHECKS[name] = lambda pages: f(pages).select(F.lit(severity).alias("severity"), F.lit(name).alias("check"), "file", "detail")
-        return f
+    pages: DataFrame  #: path, slug, text
+    files: DataFrame | None = None  #: path: the files that anchors may name, of all roots
+    logs: DataFrame | None = None  #: name, hash: the logs there are
+    compiled: DataFrame | None = None  #: name, hash: the logs as last compiled
+    declared: DataFrame | None = None  #: key: the source files that are declared
+    ingested: DataFrame | None = None  #: key: the source files that were ingested
+    indexed: DataFrame | None = None  #: slug: the articles that have vectors
+    similar: DataFrame | None = None  #: slug_a, slug_b, cosine: vectors that are alike
+    accesses: DataFrame | None = None  #: slug, n
+    today: str = "1970-01-01"
+
+
+CHECKS: dict[str, Callable[[Corpus], DataFrame | None]] = {}
+
+
+def check(f: Callable[[Corpus], DataFrame | None]) -> Callable[[Corpus], DataFrame | None]:
+    """Registers a check; it gives (severity, check, file, detail, argument) or None."""
+    CHECKS[f.__name__] = f
+    return f
 
-    return add
+
+def _issues(rows: DataFrame, severity: str | Column, name: str | Column, file: str, detail: Column, argument: Column | None = None) -> DataFrame:
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return rows.select(
+        as_column(severity).alias("severity"), as_column(name).alias("check"), F.col(file).alias("file"), detail.cast("string").alias("detail"), (F.lit(None) if argument is None else argument).cast("string").alias("argument")
+    )
 
 
 def _links(pages: DataFrame) -> DataFrame:
     return pages.select("path", "slug", F.explode(T.wikilinks(F.col("text"))).alias("target"))
 
 
-@check("broken_link", "error")
-def broken_links(pages: DataFrame) -> DataFrame:
-    live = _links(pages).where(F.col("target").rlike("^(?:concepts|connections|qa)/"))
-    known = pages.select(F.col("slug").alias("target")).distinct()
-    return live.join(known, "target", "left_anti").select(F.col("path").alias("file"), F.col("target").alias("detail"))
+def _wiki(target: str = "target") -> Column:
+    return F.col(target).rlike("^(?:concepts|connections|qa)/")
+
+
+@check
+def broken_link(c: Corpus) -> DataFrame:
+    known = c.pages.select(F.col("slug").alias("target")).distinct()
+    return _issues(_links(c.pages).where(_wiki()).join(known, "target", "left_anti"), "error", "broken_link", "path", F.col("target"), F.col("target"))
+
+
+@check
+def orphan_page(c: Corpus) -> DataFrame:
+    linked = _links(c.pages).select(F.col("target").alias("slug")).distinct()
+    return _issues(c.pages.join(linked, "slug", "left_anti"), "warning", "orphan_page", "path", F.col("slug"))
+
 
+@check
+def orphan_source(c: Corpus) -> DataFrame | None:
+    if c.logs is None or c.compiled is None:
+        return None
+    return _issues(c.logs.join(c.compiled.select("name"), "name", "left_anti"), "warning", "orphan_source", "name", F.col("name"))
 
-@check("orphan_page", "warning")
-def orphans(pages: DataFrame) -> DataFrame:
-    return pages.join(_links(pages).select(F.col("target").alias("slug")).distinct(), "slug", "left_anti").select(F.col("path").alias("file"), F.col("slug").alias("detail"))
 
+@check
+def orphan_source_file(c: Corpus) -> DataFrame | None:
+    if c.declared is None or c.ingested is None:
+        return None
+    return _issues(c.declared.join(c.ingested.select("key"), "key", "left_anti"), "warning", "orphan_source_file", "key", F.col("key"))
 
-@check("sparse_article", "suggestion")
-def sparse(pages: DataFrame) -> DataFrame:
+
+@check
+def stale_article(c: Corpus) -> DataFrame | None:
+    if c.logs is None or c.compiled is None:
+        return None
+    both = c.logs.join(c.compiled.select("name", F.col("hash").alias("compiled_hash")), "name").where(~F.col("hash").eqNullSafe(F.col("compiled_hash")))
+    return _issues(both, "warning", "stale_article", "name", F.col("name"), F.col("name"))
+
+
+@check
+def missing_backlink(c: Corpus) -> DataFrame:
+    e = _links(c.pages).where(_wiki()).select("path", F.col("slug").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
+    known = c.pages.select(F.col("slug").alias("dst")).distinct()
+    back = _links(c.pages).select(F.col("target").alias("src"), F.col("slug").alias("dst")).distinct()
+    found = e.join(known, "dst", "left_semi").join(back, ["src", "dst"], "left_anti")
+    return _issues(found, "suggestion", "missing_backlink", "path", F.col("dst"), F.concat_ws(" ", "src", "dst"))
+
+
+@check
+def sparse_article(c: Corpus) -> DataFrame:
     n = T.word_count(F.col("text"))
-    return pages.where(n < 200).select(F.col("path").alias("file"), n.cast("string").alias("detail"))
+    return _issues(c.pages.where(n < LEAST_WORDS), "suggestion", "sparse_article", "path", n)
+
+
+@check
+def source_anchor(c: Corpus) -> DataFrame | None:
+    """Anchors that no root holds, and pages without any."""
+    anchors = c.pages.select("path", T.source_anchors(F.col("text")).alias("anchors"))
+    out = _issues(anchors.where(F.size("anchors") == 0), "suggestion", "missing_source_anchor", "path", F.lit("no anchors"))
+    if c.files is None:
+        return out
+    each = anchors.select(F.col("path").alias("page"), F.explode("anchors").alias("path")).join(c.files.select("path").distinct(), "path", "left_anti")
+    return out.unionByName(_issues(each, "error", "broken_source_anchor", "page", F.col("path"), F.col("path")))
 
 
-@check("memory_type", "error")
-def memory_types(pages: DataFrame) -> DataFrame:
-    kind = T.field(T.frontmatter(F.col("text")), "type")
-    return pages.where(kind.isNotNull() & ~kind.isin(*MEMORY_TYPES)).select(F.col("path").alias("file"), kind.alias("detail"))
+@check
+def wikilink_relation(c: Corpus) -> DataFrame:
+    r = c.pages.select("path", F.explode(T.typed_wikilinks(F.col("text"))).alias("l")).where("l.relation is not null")
+    return _issues(r.where(~F.col("l.relation").isin(*RELATIONS)), "error", "invalid_wikilink_relation", "path", F.concat(F.lit("[["), "l.target", F.lit("]]{"), "l.relation", F.lit("}")))
 
 
-@check("link_relation", "error")
-def link_relations(pages: DataFrame) -> DataFrame:
-    r = pages.select("path", F.explode(T.typed_wikilinks(F.col("text"))).alias("l")).where("l.relation is not null")
-    return r.where(~F.col("l.relation").isin(*RELATIONS)).select(F.col("path").alias("file"), F.col("l.relation").alias("detail"))
+@check
+def memory_type(c: Corpus) -> DataFrame:
+    rows = c.pages.select("path", T.field(T.frontmatter(F.col("text")), "type").alias("kind")).where(F.col("kind").isNull() | ~F.col("kind").isin(*MEMORY_TYPES))
+    missing = F.col("kind").isNull()
+    return _issues(rows, F.when(missing, "suggestion").otherwise("error"), F.when(missing, "missing_memory_type").otherwise("invalid_memory_type"), "path", F.coalesce("kind", F.lit("no type")))
 
 
-@check("source_anchor", "error")
-def anchors(pages: DataFrame) -> DataFrame:
-    a = pages.select("path", F.explode(T.source_anchors(F.col("text"))).alias("detail"))
-    return a.join(pages.select(F.col("path").alias("detail")).distinct(), "detail", "left_anti").select(F.col("path").alias("file"), "detail")
+@check
+def near_duplicate(c: Corpus, identical: float = 0.97) -> DataFrame | None:
+    if c.similar is None:
+        return None
+    return _issues(c.similar, F.when(F.col("cosine") >= identical, "error").otherwise("warning"), "near_duplicate", "slug_a", F.concat(F.col("slug_b"), F.format_string(" (cosine %.3f)", "cosine")))
 
 
-@check("missing_backlink", "suggestion")
-def missing_backlinks(pages: DataFrame) -> DataFrame:
-    e = _links(pages).select("path", F.col("slug").alias("src"), F.col("target").alias("dst")).where("src <> dst").distinct()
-    known = pages.select(F.col("slug").alias("dst")).distinct()
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    return e.join(known, "dst", "left_semi").join(back, ["src", "dst"], "left_anti").select(F.col("path").alias("file"), F.col("dst").alias("detail"))
+@check
+def stale_vector(c: Corpus) -> DataFrame | None:
+    if c.indexed is None:
+        return None
+    return _issues(c.indexed.select("slug").distinct().join(c.pages.select("slug").distinct(), "slug", "left_anti"), "warning", "stale_vector", "slug", F.col("slug"))
 
 
-@check("low_confidence", "suggestion")
-def low_confidence(pages: DataFrame) -> DataFrame:
-    c = T.field(T.frontmatter(F.col("text")), "confidence").try_cast("double")
-    return pages.where(c < 0.2).select(F.col("path").alias("file"), F.format_string("%.2f", c).alias("detail"))
+@check
+def low_priority(c: Corpus) -> DataFrame | None:
+    """Pages that are old, never looked up and not pinned, with the score they would get."""
+    if c.accesses is None:
+        return None
+    fm = T.frontmatter(F.col("text"))
+    day = F.coalesce(*[F.try_to_date(F.when(T.field(fm, k).rlike(r"^\d{4}-\d{2}-\d{2}$"), T.field(fm, k)), "yyyy-MM-dd") for k in ("updated", "created")])
+    today = F.lit(c.today).cast("date")
+    pages = c.pages.where(~F.coalesce(F.lower(T.field(fm, "pinned")) == "true", F.lit(False))).select("path", "slug", day.alias("day"))
+    pages = pages.where(F.datediff(today, "day") > OLD_DAYS).join(c.accesses.where("n > 0").select("slug"), "slug", "left_anti")
+    inbound = _links(c.pages).where("target not like 'daily/%'").groupBy(F.col("target").alias("slug")).agg(F.count("*").alias("links"))
+    scored = pages.join(inbound, "slug", "left")
+    score = S.priority(S.recency(F.col("day"), today), S.saturating(F.col("links"), 20), F.lit(0.0), F.lit(0.5), F.lit(None))
+    return _issues(scored, "suggestion", "low_priority_article", "path", F.format_string("%d days, %d links, score %.3f", F.datediff(today, "day"), F.coalesce("links", F.lit(0)), score))
 
 
-def report(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+def contradictions(replies: DataFrame) -> DataFrame:
+    """Issues out of a reviewer's replies (one text column, ``reply``): lines ``CONTRADICTION: [a] vs [b] - why``; others are skipped.
+
+    Slugs may stand in brackets, double brackets or back quotes, with or without ``.md``.
+    """
+    name = r"[\[`]*([\w./-]+?)(?:\.md)?[\]`]*"
+    line = rf"(?im)^\s*(?:[-*]\s*)?(CONTRADICTION|INCONSISTENCY)\s*:\s*{name}\s+(?:vs\.?|and|<->)\s+{name}\s*(?:[-–—:]\s*(.*))?$"
+    parts = F.arrays_zip(*[F.regexp_extract_all("reply", F.lit(line), F.lit(g)) for g in (1, 2, 3, 4)])
+    each = replies.where("reply is not null").select(F.explode(parts).alias("p"))
+    rows = each.select(F.concat(F.col("p.1"), F.lit(".md")).alias("file"), F.col("p.2").alias("other"), F.trim("p.3").alias("why"))
+    return _issues(rows, "warning", "contradiction", "file", F.concat_ws(" - ", "other", "why"), F.col("other"))
+
+
+def report(corpus: Corpus, names: list[str] | None = None) -> DataFrame:
     """All issues of the chosen checks; an unknown name raises."""
     chosen = names or list(CHECKS)
     unknown = [n for n in chosen if n not in CHECKS]
@@ -94,46 +201,167 @@ def report(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
         raise ValueError(f"unknown checks {unknown}; known are {sorted(CHECKS)}")
     out = None
     for n in chosen:
-        issues = CHECKS[n](pages)
-        out = issues if out is None else out.unionByName(issues)
+        issues = CHECKS[n](corpus)
+        if issues is not None:
+            out = issues if out is None else out.unionByName(issues)
+    if out is None:
+        raise ValueError(f"the corpus has no tables for {chosen}")
     return out
 
 
 # --- fixers --------------------------------------------------------------------------------
 
+FIXERS: dict[str, Callable[[str, str, str | None, str | None], str]] = {}
+
 
 def fixer(name: str):  # noqa: ANN201
-    def add(f: Callable[..., Column]) -> Callable[..., Column]:
+    """Registers a fixer: (path, text, argument, best match) -> text."""
+
+    def add(f: Callable[[str, str, str | None, str | None], str]) -> Callable[[str, str, str | None, str | None], str]:
         FIXERS[name] = f
         return f
 
     return add
 
 
-@fixer("memory_type")
-def fix_memory_type(text: Column, path: Column) -> Column:
-    """Sets the type from the file name's prefix (``decision-…``) when the one there is not allowed."""
-    name = F.regexp_extract(path, r"([a-z]+)-[^/]*\.md$", 1)
-    current = T.field(T.frontmatter(text), "type")
-    return F.when(current.isNotNull() & ~current.isin(*MEMORY_TYPES) & name.isin(*MEMORY_TYPES), F.regexp_replace(text, F.lit(r"(?m)^type:[^\n]*"), F.concat(F.lit("type: "), name))).otherwise(text)
+def wrap_bare(text: str, target: str, comment: str) -> str:
+    """``target`` put into the comment wherever it does not stand in one already."""
+    head = comment.split("{}")[0]
+    return re.sub(rf"(?<!{re.escape(head)}){re.escape(target)}", lambda m: comment.format(m.group()), text)
+
+
+def _repointed(text: str, mark: str, argument: str | None, best: str | None, comment: str) -> str:
+    old = mark.format(argument)
+    if not argument or old not in text or text.count(comment.split("{}")[0] + old) >= text.count(old):
+        return text
+    return text.replace(old, mark.format(best)) if best else wrap_bare(text, old, comment)
 
 
 @fixer("broken_link")
-def fix_broken_link(text: Column, target: Column, best: Column) -> Column:
-    """Points the link at ``best``, or puts it into a comment when there is none; comments are left alone."""
-    link = F.concat(F.lit("[["), target, F.lit("]]"))
-    wrapped = F.concat(F.lit("<!-- broken: "), link, F.lit(" -->"))
-    once = F.replace(F.replace(text, wrapped, link), link, wrapped)
-    return F.when(best.isNotNull(), F.replace(text, link, F.concat(F.lit("[["), best, F.lit("]]")))).otherwise(once)
+def fix_broken_link(path: str, text: str, argument: str | None, best: str | None) -> str:
+    """Points the link at the best match, or comments it out when there is none."""
+    return _repointed(text, "[[{}]]", argument, best, BROKEN_LINK)
+
+
+@fixer("broken_source_anchor")
+def fix_anchor(path: str, text: str, argument: str | None, best: str | None) -> str:
+    return _repointed(text, "[src:{}]", argument, best, BROKEN_ANCHOR)
+
+
+def _body_start(text: str) -> int:
+    end = text.find("---", 3) if text.startswith("---") else -1
+    return end + 3 if end >= 0 else 0
+
+
+def with_related(text: str, bullets: list[str]) -> str:
+    """The bullets under the related concepts; the section is made at the end of the truth if it is not there."""
+    if not bullets:
+        return text
+    lines = "\n".join(bullets)
+    if m := re.search(rf"^{re.escape(RELATED)}[ \t]*\n(?:[ \t]*\n)?((?:[ \t]*[-*] [^\n]*(?:\n|\Z))*)", text, re.M):
+        kept = m.group(1).rstrip("\n")
+        return text[: m.start(1)] + (kept + "\n" if kept else "") + lines + "\n" + text[m.end(1) :]
+    start = _body_start(text)
+    cut = re.search(r"^(?:---|## Timeline)[ \t]*$", text[start:], re.M)
+    section = f"{RELATED}\n\n{lines}\n"
+    if cut:
+        at = start + cut.start()
+        return f"{text[:at].rstrip()}\n\n{section}\n{text[at:]}"
+    return f"{text.rstrip()}\n\n{section}"
 
 
 @fixer("missing_backlink")
-def fix_backlink(text: Column, target: Column) -> Column:
-    """Adds the link under ``## Related Concepts``, making the section if needed; a link that is there stays single."""
-    item = F.concat(F.lit("- [["), target, F.lit("]]\n"))
-    has = F.contains(text, F.concat(F.lit("[["), target, F.lit("]]")))
-    there = text.rlike(r"(?m)^## Related Concepts[ \t]*$")
-    return F.when(has, text).when(there, F.regexp_replace(text, F.lit(r"(?m)^(## Related Concepts[ \t]*\n)"), F.concat(F.lit("$1"), item))).otherwise(F.concat(F.rtrim(text), F.lit("\n\n## Related Concepts\n"), item))
+def fix_backlink(path: str, text: str, argument: str | None, best: str | None) -> str:
+    """Links back to the page that links here; a link that is there stays single."""
+    return text if not argument or f"[[{argument}]]" in text else with_related(text, [BACKLINK.format(argument)])
+
+
+@fixer("missing_memory_type")
+def fix_memory_type(path: str, text: str, argument: str | None, best: str | None) -> str:
+    """Sets the type that the file's name tells, at the end of the frontmatter; a page with a type is left alone."""
+    name = path.rsplit("/", 1)[-1]
+    kind = next((k for p, k in TYPE_PREFIXES.items() if name.startswith(p)), None)
+    end = text.find("---", 3)
+    if kind is None or not text.startswith("---") or end < 0 or re.search(r"^type\s*:", text, re.M):
+        return text
+    return f"{text[:end]}type: {kind}\n{text[end:]}"
+
+
+def fix_stale(compiled: DataFrame, issues: DataFrame) -> DataFrame:
+    """(name, hash) with the hash of stale logs emptied, so that the next run takes them for new."""
+    stale = issues.where(F.col("check") == "stale_article").select(F.col("argument").alias("name"), F.lit(True).alias("stale")).distinct()
+    return compiled.join(stale, "name", "left").select("name", F.when(F.col("stale"), "").otherwise(F.col("hash")).alias("hash"))
+
+
+def apply_fixes(pages: DataFrame, issues: DataFrame, only: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """(path, text, fixed, attempted) of the pages that have an issue with a fixer.
+
+    Broken links look for the page most like them, broken anchors for the file.  ``only``
+    restricts the checks; those without a fixer are skipped.  The fixes of one page are
+    applied in one task, in order of check and argument: they all end up in its one text.
+    """
+    checks = [c for c in (only or FIXERS) if c in FIXERS]
+    chosen = issues.where(F.col("check").isin(*checks)).select("check", "file", "argument").distinct()
+    # a missing backlink is mended where the link leads, not where it was found
+    pair = F.split("argument", " ")
+    moved = chosen.where("check = 'missing_backlink'").select("check", pair[1].alias("slug"), pair[0].alias("argument")).join(pages.select("slug", F.col("path").alias("file")).distinct(), "slug").select("check", "file", "argument")
+    rest = chosen.where("check <> 'missing_backlink'")
+    link = best_matches(rest.where("check = 'broken_link'").select(F.col("argument").alias("target")), pages.select("slug"), FUZZY).select(F.lit("broken_link").alias("check"), F.col("target").alias("argument"), "best")
+    paths = (pages if files is None else files).select(F.col("path").alias("slug"))
+    anchor = best_matches(rest.where("check = 'broken_source_anchor'").select(F.col("argument").alias("target")), paths, FUZZY).select(F.lit("broken_source_anchor").alias("check"), F.col("target").alias("argument"), "best")
+    fixes = rest.join(link.unionByName(anchor), ["check", "argument"], "left").unionByName(moved.withColumn("best", F.lit(None).cast("string")))
+    grouped = fixes.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("check", "argument", "best"))).alias("fixes"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, counts, tried = batch.column(0).to_pylist(), [], [], []
+            for path, text, todo in zip(paths, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                fixed = 0
+                for f in todo:
+                    new = FIXERS[f["check"]](path, text, f["argument"], f["best"])
+                    fixed += new != text
+                    text = new
+                texts.append(text), counts.append(fixed), tried.append(len(todo))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(tried, pa.int64())], names=["path", "text", "fixed", "attempted"])
+
+    return pages.select("path", "text").join(grouped, "path").mapInArrow(scan, "path string, text string, fixed bigint, attempted bigint")
+
+
+def title_index(articles: DataFrame, least: int = 4) -> DataFrame:
+    """(name, slug): titles and aliases in lower case; of articles that share one the first (by ``seq``) has it.
+
+    ``articles``: seq, slug, title, aliases.
+    """
+    names = articles.select("seq", "slug", F.posexplode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("k", "name"))
+    names = names.select("seq", "k", "slug", F.lower(F.trim("name")).alias("name")).where(F.length("name") >= least)
+    return names.groupBy("name").agg(F.min_by("slug", F.struct("seq", "k")).alias("slug"))
+
+
+def add_related_links(text: str, slugs: list[str]) -> str:
+    """The text with links to those of the slugs that it does not link to yet."""
+    have = set(re.findall(T.WIKILINK, text))
+    return with_related(text, [f"- [[{s}]]" for s in slugs if s not in have])
+
+
+def crosslinked(pages: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, n_links, text) of the pages whose prose names articles that they do not link to, with the links added.
+
+    ``pages``: path, slug, text; ``index``: name, slug.  Links come in the order in which their names first stand.
+    """
+    prose = pages.select("path", T.prose_only(F.col("text")).alias("prose"))
+    found = joins.mentions(prose, "path", "prose", index.select("name")).join(index.withColumnRenamed("slug", "target"), "name")
+    first = found.groupBy("path", "target").agg(F.min("position").alias("at"))
+    own = pages.select("path", F.col("slug").alias("target"))
+    have = _links(pages).select("path", "target").distinct()
+    new = first.join(own, ["path", "target"], "left_anti").join(have, ["path", "target"], "left_anti")
+    # at most one entry per article named in the one page
+    slugs = new.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "target"))), lambda x: x["target"]).alias("slugs"))
+
+    @F.pandas_udf("string")
+    def linked(text, slugs):  # noqa: ANN001, ANN202
+        return text.combine(slugs, lambda t, s: add_related_links(t, list(s)))
+
+    return pages.join(slugs, "path").select("path", F.size("slugs").alias("n_links"), linked("text", "slugs").alias("text"))
 
 
 def best_matches(wanted: DataFrame, known: DataFrame, ratio: float = 0.9) -> DataFrame:
@@ -142,7 +370,8 @@ def best_matches(wanted: DataFrame, known: DataFrame, ratio: float = 0.9) -> Dat
     Candidates are those of nearly the same length with a word in common, met by an
     equi-join on words; ties go to the least slug.
     """
-    word = lambda c: F.explode(F.array_distinct(F.split(c, "[^a-z0-9]+")))
+    # the folder says nothing: nearly all share it
+    word = lambda c: F.explode(F.array_distinct(F.split(F.regexp_replace(c, "^[a-z]+/", ""), "[^a-z0-9]+")))
     a = wanted.select("target").distinct().withColumn("word", word("target")).where("length(word) > 2")
     b = known.select(F.col("slug").alias("best")).distinct().withColumn("word", word("best")).where("length(word) > 2")
     near = F.least(F.length("target"), F.length("best")) * 2 >= ratio * (F.length("target") + F.length("best"))

@@ -11,6 +11,7 @@ from siltstone.operators import graph, lint, ranking, selection
 from siltstone.operators.search import search
 from siltstone.plans.analytics import a10_hotspots, a11_cochange, m01_priority
 from siltstone.plans.graphs import page_edges
+from siltstone.plans.quality import corpus
 from siltstone.plans.search import _DOCS, _QS, _RANK, bm25_sql, cosine_sql
 from siltstone.plans.text import SQL_LINKS, docs
 from siltstone.session import table
@@ -85,8 +86,7 @@ def k11_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k14_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the report on quality, by severity."""
-    pages = docs(spark, sf_dir).where("path is not null").select("path", "slug", "text")
-    issues = lint.report(pages, ["broken_link", "memory_type", "low_confidence"])
+    issues = lint.report(corpus(spark, sf_dir))
     return issues.groupBy("severity", "check").agg(F.count("*").alias("n")).select(F.concat(F.lit("- **"), "severity", F.lit("** "), "check", F.lit(": "), F.col("n").cast("string")).alias("line"))
 
 

@@ -192,12 +192,97 @@ def test_communities(spark):
     assert {r["hub"] for r in star.collect()} == {"H"}
 
 
-def test_lint_fixers(spark):
-    assert one(spark, lint.fix_memory_type(F.lit("---\ntype: odd\n---\nx"), F.lit("a/decision-1.md"))) == "---\ntype: decision\n---\nx"
-    wrapped = one(spark, lint.fix_broken_link(F.lit("see [[a]]"), F.lit("a"), F.lit(None).cast("string")))
-    assert wrapped == "see <!-- broken: [[a]] -->" == one(spark, lint.fix_broken_link(F.lit(wrapped), F.lit("a"), F.lit(None).cast("string")))
-    linked = one(spark, lint.fix_backlink(F.lit("body"), F.lit("b")))
-    assert linked == "body\n\n## Related Concepts\n- [[b]]\n" == one(spark, lint.fix_backlink(F.lit(linked), F.lit("b")))
+def test_lint_fixers():
+    fix = lint.FIXERS
+    kind = fix["missing_memory_type"]
+    typed = kind("a/decision-1.md", "---\ntitle: x\n---\nbody", None, None)
+    assert typed == "---\ntitle: x\ntype: decision\n---\nbody" == kind("a/decision-1.md", typed, None, None)
+    assert kind("a/feedback_x.md", "---\n---\n", None, None) == "---\ntype: preference\n---\n"
+    for path, text in (("a/decision-1.md", "---\ntype: odd\n---\nx"), ("a/other-1.md", "---\n---\n"), ("a/event-1.md", "no block")):
+        assert kind(path, text, None, None) == text
+    for name, mark, comment in (("broken_link", "[[{}]]", lint.BROKEN_LINK), ("broken_source_anchor", "[src:{}]", lint.BROKEN_ANCHOR)):
+        old = mark.format("a")
+        wrapped = fix[name]("p", f"see {old} and {old}", "a", None)
+        assert wrapped == f"see {comment.format(old)} and {comment.format(old)}" == fix[name]("p", wrapped, "a", None)
+        half = fix[name]("p", f"{wrapped} then {old}", "a", None)
+        assert half == f"{wrapped} then {comment.format(old)}"
+        assert fix[name]("p", f"see {old}", "a", "b") == f"see {mark.format('b')}" and fix[name]("p", "see", "a", "b") == "see"
+    back = fix["missing_backlink"]
+    linked = back("p", "---\nt: 1\n---\n## Truth\n\nx\n\n---\n\n## Timeline\ny\n", "b", None)
+    assert linked == "---\nt: 1\n---\n## Truth\n\nx\n\n### Related Concepts\n\n- [[b]] - Auto-added backlink\n\n---\n\n## Timeline\ny\n" == back("p", linked, "b", None)
+    more = back("p", linked, "c", None)
+    assert "- [[b]] - Auto-added backlink\n- [[c]] - Auto-added backlink\n" in more
+    assert back("p", "body", "b", None) == "body\n\n### Related Concepts\n\n- [[b]] - Auto-added backlink\n"
+    assert lint.add_related_links("see [[a]]", ["a", "b", "c"]).endswith("### Related Concepts\n\n- [[b]]\n- [[c]]\n")
+
+
+PAGES = [
+    ("concepts/a.md", "concepts/a", "---\ntype: fact\nupdated: 2025-01-01\n---\n[[concepts/b]]{depends_on} [[concepts/bb]]{odd} [src:daily/x.md] [src:daily/gone.md]"),
+    ("concepts/b.md", "concepts/b", "---\ntype: odd\npinned: true\nupdated: 2020-01-01\n---\n" + "word " * 200),
+    ("concepts/decision-c.md", "concepts/decision-c", "---\ntitle: c\n---\n[[concepts/topic-one-lonh]] [[daily/z]]"),
+    ("concepts/topic-one-long.md", "concepts/topic-one-long", "[[concepts/a]] <!-- [[concepts/no]] -->"),
+]
+
+
+def lint_corpus(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return lint.Corpus(
+        pages=df(PAGES, "path string, slug string, text string"), files=df([("daily/x.md",)], "path string"),
+        logs=df([("l1", "h1"), ("l2", "h2"), ("l3", "h3")], "name string, hash string"), compiled=df([("l1", "h1"), ("l2", "old")], "name string, hash string"),
+        declared=df([("g/s1",), ("g/s2",)], "key string"), ingested=df([("g/s1",)], "key string"), indexed=df([("concepts/a",), ("concepts/old",), ("concepts/old",)], "slug string"),
+        similar=df([("a", "b", 0.99), ("a", "c", 0.9)], "slug_a string, slug_b string, cosine double"), accesses=df([("concepts/x", 3), ("concepts/a", 0)], "slug string, n bigint"), today="2026-01-01",
+    )
+
+
+ISSUES = {
+    ("error", "broken_link", "concepts/a.md", "concepts/bb"), ("error", "broken_link", "concepts/decision-c.md", "concepts/topic-one-lonh"),
+    ("warning", "orphan_page", "concepts/decision-c.md", "concepts/decision-c"), ("warning", "orphan_page", "concepts/topic-one-long.md", "concepts/topic-one-long"),
+    ("warning", "orphan_source", "l3", "l3"), ("warning", "orphan_source_file", "g/s2", "g/s2"), ("warning", "stale_article", "l2", "l2"),
+    ("suggestion", "missing_backlink", "concepts/a.md", "concepts/b"), ("suggestion", "missing_backlink", "concepts/topic-one-long.md", "concepts/a"),
+    ("suggestion", "sparse_article", "concepts/a.md", "4"), ("suggestion", "sparse_article", "concepts/decision-c.md", "2"), ("suggestion", "sparse_article", "concepts/topic-one-long.md", "4"),
+    ("suggestion", "missing_source_anchor", "concepts/b.md", "no anchors"), ("suggestion", "missing_source_anchor", "concepts/decision-c.md", "no anchors"), ("suggestion", "missing_source_anchor", "concepts/topic-one-long.md", "no anchors"),
+    ("error", "broken_source_anchor", "concepts/a.md", "daily/gone.md"), ("error", "invalid_wikilink_relation", "concepts/a.md", "[[concepts/bb]]{odd}"),
+    ("error", "invalid_memory_type", "concepts/b.md", "odd"), ("suggestion", "missing_memory_type", "concepts/decision-c.md", "no type"), ("suggestion", "missing_memory_type", "concepts/topic-one-long.md", "no type"),
+    ("error", "near_duplicate", "a", "b (cosine 0.990)"), ("warning", "near_duplicate", "a", "c (cosine 0.900)"), ("warning", "stale_vector", "concepts/old", "concepts/old"),
+}
+
+
+def test_all_checks(spark):
+    assert len(lint.CHECKS) == 13
+    got = {tuple(r)[:4] for r in lint.report(lint_corpus(spark)).collect()}
+    low = {g for g in got if g[1] == "low_priority_article"}
+    assert got - low == ISSUES and [(g[0], g[2]) for g in low] == [("suggestion", "concepts/a.md")] and "365 days, 1 links" in next(iter(low))[3]
+    with pytest.raises(ValueError):
+        lint.report(lint_corpus(spark), ["odd"])
+
+
+def test_fixes_over_a_table(spark):
+    c = lint_corpus(spark)
+    issues = lint.report(c)
+    fixed = {r["path"]: r for r in lint.apply_fixes(c.pages, issues, files=c.files).collect()}
+    a = fixed["concepts/a.md"]
+    assert (a["fixed"], a["attempted"]) == (3, 3)  # a link, an anchor, a backlink
+    assert "<!-- BROKEN-LINK: [[concepts/bb]] -->" in a["text"] and "<!-- BROKEN-SRC: [src:daily/gone.md] -->" in a["text"] and "- [[concepts/topic-one-long]] - Auto-added backlink" in a["text"]
+    assert "[[concepts/topic-one-long]]" in fixed["concepts/decision-c.md"]["text"] and "type: decision" in fixed["concepts/decision-c.md"]["text"]
+    pages = spark.createDataFrame([(p, s, fixed[p]["text"] if p in fixed else t) for p, s, t in PAGES], c.pages.schema)
+    again = lint.apply_fixes(pages, lint.report(lint.Corpus(pages, c.files)), files=c.files).collect()
+    assert sum(r["fixed"] for r in again) == 1  # the link put right in the first run misses its backlink now
+    assert {tuple(r) for r in lint.fix_stale(c.compiled, issues).collect()} == {("l1", "h1"), ("l2", "")}
+    assert lint.apply_fixes(c.pages, issues, ["sparse_article"]).collect() == []
+
+
+def test_contradictions_and_crosslinks(spark):
+    replies = spark.createDataFrame([("CONTRADICTION: [concepts/a] vs [[concepts/b.md]] - they differ\nnone",), (None,), ("- INCONSISTENCY: `concepts/c.md` and concepts/d",)], "reply string")
+    assert {(r["file"], r["argument"]) for r in lint.contradictions(replies).collect()} == {("concepts/a.md", "concepts/b"), ("concepts/c.md", "concepts/d")}
+    articles = spark.createDataFrame([(1, "concepts/lock", "Lock File", ["LF", "the lock"]), (2, "concepts/other", "lock file", None), (3, "concepts/map", "Community Map", None)], "seq int, slug string, title string, aliases array<string>")
+    index = lint.title_index(articles)
+    assert {tuple(r) for r in index.collect()} == {("lock file", "concepts/lock"), ("the lock", "concepts/lock"), ("community map", "concepts/map")}
+    pages = spark.createDataFrame([("p.md", "p", "a Community Map and the lock file"), ("q.md", "q", "[[concepts/map]] community map `lock file`"), ("concepts/lock.md", "concepts/lock", "the lock file")], "path string, slug string, text string")
+    got = {r["path"]: (r["n_links"], r["text"]) for r in lint.crosslinked(pages, index).collect()}
+    assert got == {"p.md": (2, "a Community Map and the lock file\n\n### Related Concepts\n\n- [[concepts/map]]\n- [[concepts/lock]]\n")}
+
+
+def test_masked_prose():
     text = "---\na\n---\nuse `x` and [[y]]\n"
     assert len(lint.mask_non_prose(text)) == len(text) and lint.mask_non_prose(text).split() == ["use", "and"]
 
