@@ -53,10 +53,23 @@ def prompt_classes(prompt: Column, cap: int = 3) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(prompt, F.lit(r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b"), F.lit(0))), 1, cap)
 
 
+#: The tags of comments that give reasons.
+RATIONALE_TAGS = ("WHY", "HACK", "NOTE", "TODO", "FIXME", "XXX", "BUG", "WARNING", "OPTIMIZE", "DEPRECATED")
+
+
 def rationale(text: Column) -> Column:
-    """Array of (tag, text) of comment tags: upper-case tags, and @deprecated in any case."""
-    z = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(r"(?://|#|\*)\s*(TODO|FIXME|HACK|NOTE|WHY|IMPORTANT|XXX|(?i:@deprecated))\b[: \t]*([^\n]*)"), F.lit(g)) for g in (1, 2)])
-    return F.transform(z, lambda r: F.struct(F.upper(F.replace(r["0"], F.lit("@"), F.lit(""))).alias("tag"), F.substring(F.trim(r["1"]), 1, 240).alias("text")))
+    """Array of (tag, text), one per commented line with a tag: upper-case tags anywhere in it, and @deprecated in any case first."""
+    comments = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)(?:^[ \t]*\*|//|/\*|(?:^|[ \t])#(?![\[\w]))([^\n]*)"), F.lit(1)), lambda line: F.trim(line) != "")
+    bare = rf"\b({'|'.join(RATIONALE_TAGS)})\b(.*)"
+
+    def tagged(line: Column) -> Column:
+        old = line.rlike(r"(?i)@deprecated\b")
+        tag = F.when(old, "DEPRECATED").otherwise(F.nullif(F.regexp_extract(line, bare, 1), F.lit("")))
+        rest = F.when(old, F.regexp_extract(line, r"(?i)@deprecated\b(.*)", 1)).otherwise(F.regexp_extract(line, bare, 2))
+        rest = F.regexp_replace(F.regexp_replace(rest, r"\*/\s*$", ""), r"^[ :\t-]+|\s+$", "")
+        return F.struct(tag.alias("tag"), F.substring(rest, 1, 240).alias("text"))
+
+    return F.filter(F.transform(comments, tagged), lambda r: r["tag"].isNotNull())
 
 
 def open_work(text: Column, heading: str = "Open Questions") -> Column:

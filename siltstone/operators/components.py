@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Rounds needed grow with the logarithm of the longest path.  Each round is written to
     the shared checkpoint folder, so lineage stays short and lost executors cost one
-    round.  No adjacency list is ever gathered in one place: minima are partial
+    round; a graph that does not settle in ``max_rounds`` raises.  No adjacency list is ever gathered in one place: minima are partial
     aggregates.  Loops and nulls are ignored; a node without an edge does not come out.
     """
     now = materialize(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct())
@@ -37,4 +37,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

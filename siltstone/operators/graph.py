@@ -8,6 +8,8 @@ an unknown seed reaches nothing, an empty edge table gives empty results.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,19 +107,20 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int = 12) -
     return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "step int, node string")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components of at least two nodes, and single nodes with a loop.
 
     Forward-backward colouring: colours (the greatest id that reaches a node) spread
     forward to a fixed point; what reaches a colour's root backwards inside its colour is
     one component.  Found components leave the graph and the rest goes round again, after
-    nodes without an edge in or out have been trimmed.
+    nodes without an edge in or out have been trimmed.  Every round finds a component,
+    so the rounds end by themselves.
     """
     all_edges = _clean(edges)
     loops = all_edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     e = materialize(all_edges.where("src <> dst"))
     done = None
-    for _ in range(max_rounds):
+    while True:
         size = e.count()
         while size:  # trim
             e = materialize(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
@@ -157,10 +160,11 @@ def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def communities(edges: DataFrame, min_size: int = 2, rounds: int = 20) -> DataFrame:
-    """(community_id, node, hub, size): communities by label propagation, deterministic.
+    """(community_id, node, hub, size, label): communities by label propagation, deterministic.
 
     Every node takes the label that most of its neighbours and itself hold; ties go to
-    the least label, so no seed is needed.  Loops are dropped; ids count from 0 by size,
+    the least label, so no seed is needed.  Labels of some graphs never settle; the state
+    after ``rounds`` is given then, with a warning.  Loops are dropped; ids count from 0 by size,
     largest first, then hub; the hub has the most neighbours, then the least name.
     """
     e = materialize(undirected(edges).where("src <> dst"))
@@ -174,11 +178,16 @@ def communities(edges: DataFrame, min_size: int = 2, rounds: int = 20) -> DataFr
         label = nxt
         if same:
             break
+    else:
+        warnings.warn(f"the labels did not settle in {rounds} rounds", stacklevel=2)
     degree = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    # the label of a community for readers: its three shortest names
+    short = Window.partitionBy("label").orderBy(F.length("node"), "node")
+    named = label.withColumn("n", F.row_number().over(short)).where("n <= 3").groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "node"))), lambda x: x["node"]), " / ").alias("name"))
     info = label.join(degree, "node").groupBy("label").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("degree")).alias("d"), "node")).alias("h")).where(F.col("size") >= min_size)
     w = Window.orderBy(F.desc("size"), "hub")  # one row per community
-    ids = info.select("label", "size", F.col("h.node").alias("hub")).withColumn("community_id", F.row_number().over(w) - 1)
-    return label.join(ids, "label").select("community_id", "node", "hub", "size")
+    ids = info.select("label", "size", F.col("h.node").alias("hub")).withColumn("community_id", F.row_number().over(w) - 1).join(named, "label")
+    return label.join(ids, "label").select("community_id", "node", "hub", "size", F.col("name").alias("label"))
 
 
 def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
@@ -192,7 +201,7 @@ def modularity(edges: DataFrame, member: DataFrame) -> DataFrame:
     return total.join(F.broadcast(square)).select(F.round(F.col("inside") / F.col("two_m") - F.col("sq") / (F.col("two_m") * F.col("two_m")), 6).alias("modularity"))  # one row
 
 
-def resolve_inherited(calls: DataFrame, methods: DataFrame, parents: DataFrame, max_depth: int = 20) -> DataFrame:
+def resolve_inherited(calls: DataFrame, methods: DataFrame, parents: DataFrame) -> DataFrame:
     """``calls`` (src, cls, method) with ``target``: the nearest ancestor class that has the method.
 
     A class of its own keeps the call, cycles of inheritance end, what nobody has stays as
@@ -200,13 +209,16 @@ def resolve_inherited(calls: DataFrame, methods: DataFrame, parents: DataFrame,
     """
     have = methods.select(F.col("cls").alias("up"), "method").distinct().withColumn("has", F.lit(True))
     open_ = calls.select("src", "cls", "method").distinct().withColumn("up", F.col("cls"))
-    out = None
-    for depth in range(max_depth):
+    out, tried = None, None
+    while True:
         met = materialize(open_.join(have, ["up", "method"], "left"))
         hit = met.where("has").select("src", "cls", "method", F.col("up").alias("target"))
         out = hit if out is None else out.unionByName(hit)
         rest = met.where("has is null").drop("has").join(parents.select(F.col("cls").alias("up"), F.col("parent")), "up")
         open_ = rest.select("src", "cls", "method", F.col("parent").alias("up")).distinct()
+        seen = met.select("src", "cls", "method", "up")
+        tried = seen if tried is None else tried.unionByName(seen)
+        open_ = materialize(open_.join(tried, ["src", "cls", "method", "up"], "left_anti"))
         if open_.isEmpty():
             break
     return calls.select("src", "cls", "method").distinct().join(out, ["src", "cls", "method"], "left").withColumn("target", F.coalesce("target", "cls"))

@@ -128,9 +128,14 @@ def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k:
                 cosine[ids[:, None] == keys[None, :]] = -2.0
                 if k is not None:
                     n = min(k, len(keys))
-                    col = np.argsort(-cosine, axis=1, kind="stable")[:, : n + 8]  # a few more, for ties
-                    row = np.repeat(np.arange(len(ids)), col.shape[1])
-                    col = col.reshape(-1)
+                    near = np.round(cosine, 6)
+                    row, col = np.nonzero(near >= -np.partition(-near, n - 1, axis=1)[:, n - 1 : n])
+                    # of equal scores the least keys, as the final choice has it
+                    order = np.lexsort((keys[col], -near[row, col], row))
+                    row, col = row[order], col[order]
+                    first = np.searchsorted(row, np.arange(len(ids)))
+                    keep = np.arange(len(row)) - first[row] < n + 1  # one more: the row itself may be among them
+                    row, col = row[keep], col[keep]
                 else:
                     row, col = np.nonzero(cosine >= threshold - 1e-9)
                 score = cosine[row, col]

@@ -36,15 +36,19 @@ def greedy_budget(items: DataFrame, key: str, score: str, size: str, budget: int
     return spark.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], f"{key} {kind}, place bigint")
 
 
-def prefix_budget(rows: DataFrame, group: str, position: str, size: str, budget: int, separator: int = 1) -> DataFrame:
-    """The rows of each group, in order, until the next would exceed the budget.
+def prefix_budget(rows: DataFrame, group: str, position: str, size: str, budget: int, separator: int = 1, block: int = 4096) -> DataFrame:
+    """The rows of each group, in order, until the next would exceed the budget, with ``used`` so far.
 
-    Every row costs at least the separator, so at most ``budget / separator`` rows of a group
-    can be in its prefix; positions count from 1 and later ones are dropped before the
-    running sum, which bounds the group whatever it holds.
+    Positions are whole numbers, one row each, with or without gaps.  What stands before
+    a block of ``block`` positions is a running sum over blocks, so only blocks that the
+    budget reaches are looked at row by row, each on its own, whatever the group holds.
     """
     if separator < 1:
         raise ValueError("the separator must cost at least 1")
-    near = rows.where(F.col(position) <= budget // separator + 1)
-    w = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return near.withColumn("used", F.sum(F.coalesce(F.col(size), F.lit(0)) + separator).over(w)).where(F.col("used") <= budget)
+    cost = F.coalesce(F.col(size), F.lit(0)) + separator
+    here = rows.withColumn("_block", F.floor(F.col(position) / block).cast("bigint"))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = here.groupBy(group, "_block").agg(F.sum(cost).alias("_cost")).withColumn("_before", F.coalesce(F.sum("_cost").over(before), F.lit(0))).where(F.col("_before") < budget)
+    w = Window.partitionBy(group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    near = here.join(blocks.drop("_cost"), [group, "_block"])
+    return near.withColumn("used", F.col("_before") + F.sum(cost).over(w)).where(F.col("used") <= budget).drop("_block", "_before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring as S
 from siltstone.functions import text as T
-from siltstone.operators import changes, joins, selection
+from siltstone.operators import changes, joins, lint, selection
 from siltstone.plans.text import SQL_LINKS, docs
 from siltstone.session import table
 
@@ -170,7 +170,7 @@ def a06_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a08_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles per type, zeros included, unknown kinds together."""
-    known = ("fact", "event", "decision", "preference", "discovery", "advice", "habit", "goal")
+    known = lint.MEMORY_TYPES
     kind = F.when(F.col("type").isin(*known), F.col("type")).otherwise("(none)")
     n = table(spark, sf_dir, "articles").groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
     return spark.createDataFrame([(k,) for k in (*known, "(none)")], "type string").join(n, "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"))
@@ -271,16 +271,6 @@ def a11_cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.withColumn("rank", r.cast("bigint")).where("rank <= 5")
 
 
-def a12_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by the first pattern of a list that they match."""
-    t = F.lower("transcript")
-    kinds = (("fix", r"\bfix\b|\bwrong\b"), ("rename", r"\brename\b"), ("move", r"\bmove\b"), ("feature", r"\badd\b|\bwant\b"), ("question", r"\bwhy\b|\bwhat\b"), ("summary", r"\bsummary\b"))
-    kind = None
-    for name, pattern in kinds:
-        kind = F.when(t.rlike(pattern), name) if kind is None else kind.when(t.rlike(pattern), name)
-    return table(spark, sf_dir, "whisper_history").where("transcript is not null").groupBy(kind.otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
-
-
 def a22_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files touched by at least two branches (suppliers)."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("path")).agg(F.countDistinct("l_suppkey").alias("branches")).where("branches >= 2")
@@ -341,7 +331,7 @@ ORACLES = {
     "a02_inbound": f"select target, count(*) links, count(distinct doc_id) documents from {_L} where target not like 'daily/%' group by 1",
     "a05_tools": "select event_type, count(*) n from events group by 1",
     "a06_days": "select strftime(ts, '%Y-%m-%d') \"day\", count(*) total, count(*) filter (event_type = 'error') errors, count(distinct user_id) sessions from events group by 1",
-    "a08_types": "with k as (select unnest(['fact', 'event', 'decision', 'preference', 'discovery', 'advice', 'habit', 'goal', '(none)']) t) select t \"type\", count(article_id) n from k left join articles on t = case when type in (select t from k) then type else '(none)' end group by 1",
+    "a08_types": "with k as (select unnest(['fact', 'event', 'discovery', 'preference', 'advice', 'decision', 'tension', 'hypothesis', '(none)']) t) select t \"type\", count(article_id) n from k left join articles on t = case when type in (select t from k) then type else '(none)' end group by 1",
     "a09_health": f"select count(*) articles, count(*) filter (quarantined) quarantined, count(*) filter (confidence is null) unsure, count(*) filter (confidence < 0.4) weak, round(avg(confidence) filter (confidence between 0 and 1), 6) mean_confidence, sum(coalesce(source_count, 0)) sources, count(distinct type) types from ({_NEWEST})",
     "a17_costs": "select op, count(*) n, round(sum(case when ts >= '2024-01-30' then value else 0 end), 4) \"today\", round(sum(case when ts >= '2024-01-24' then value else 0 end), 4) \"week\", round(sum(case when ts >= '2024-01-01' then value else 0 end), 4) \"month\", round(sum(value), 4) ever from (select *, case when event_type in ('purchase', 'signup') then 'write' when event_type = 'error' then 'error' else 'read' end op from events) group by rollup (op)",
     "a24_languages": "with k as (select unnest(['en', 'de', 'fr', 'es', 'it']) l) select l lang, count(doc_id) n from k left join documents on lang = l group by 1",
@@ -353,7 +343,6 @@ ORACLES = {
     "a16_feedback": f"with o as (select * from {_OUT} where outcome is not null), n as (select * from o qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 50), s as (select user_id, sum(case outcome when 'useful' then 1 when 'dead_end' then -1 else -2 end * pow(0.5, greatest((epoch_us(timestamp '{EVENTS_AS_OF}') - epoch_us(ts)) / 86400000000.0, 0) / 45)) net from n group by 1) select user_id, count(*) filter (outcome = 'useful') useful, count(*) filter (outcome = 'dead_end') dead_end, count(*) filter (outcome = 'corrected') corrected, arg_max(event_id, (ts, event_id)) last_event, round(1 / (1 + exp(-any_value(net) / 2)), 6) score from o join s using (user_id) group by 1",
     "a10_hotspots": f"with c as {_C}, o as (select path, author from (select path, author, count(*) n, min(age) newest from c group by 1, 2) qualify row_number() over (partition by path order by n desc, newest, author) = 1) select c.path, round(sum(exp(-age / 180.0)), 4) score, count(*) commits, count(*) filter (age <= 30) commits_30d, count(*) filter (age <= 90) commits_90d, round(sum(case when age <= 90 then added else 0 end), 4) lines_90d, count(distinct c.author) bus_factor, any_value(o.author) primary_owner from c join o on o.path = c.path group by 1",
     "a11_cochange": f"with c as {_C}, k as (select sha from c group by 1 having count(*) between 2 and 15), w as (select a.path, b.path partner, round(sum(exp(-a.age / 180.0)), 6) weight from c a join c b on a.sha = b.sha and a.path <> b.path where a.sha in (select sha from k) group by 1, 2 having round(sum(exp(-a.age / 180.0)), 6) >= 1) select *, row_number() over (partition by path order by weight desc, partner) rank from w qualify rank <= 5",
-    "a12_decisions": "select case when regexp_matches(lower(transcript), '\\bfix\\b|\\bwrong\\b') then 'fix' when regexp_matches(lower(transcript), '\\brename\\b') then 'rename' when regexp_matches(lower(transcript), '\\bmove\\b') then 'move' when regexp_matches(lower(transcript), '\\badd\\b|\\bwant\\b') then 'feature' when regexp_matches(lower(transcript), '\\bwhy\\b|\\bwhat\\b') then 'question' when regexp_matches(lower(transcript), '\\bsummary\\b') then 'summary' else 'other' end kind, count(*) n from whisper_history where transcript is not null group by 1",
     "a22_conflicts": "select l_partkey path, count(distinct l_suppkey) branches from lineitem group by 1 having count(distinct l_suppkey) >= 2",
     "r06_changes": f"with o as (select path, arg_min(h, doc_id) h from {_P} group by 1), n as (select path, arg_max(h, doc_id) h from {_P} where source is not null group by 1) select case when o.path is null then 'new' when n.path is null then 'removed' when o.h = n.h then 'same' else 'changed' end \"change\", count(*) n from o full join n on o.path = n.path group by 1",
     "r07_partition": f"with s as {_SD}, l as (select path, arg_max(h, source_id) h from s group by 1), f as (select path, arg_min(h, source_id) h from s where content is not null and frontmatter is not null group by 1), b as (select path, arg_max(h, source_id) h from s where mtime is null group by 1) select case when l.h = f.h then 'done' when l.h = b.h then 'exhausted' else 'selected' end state, count(*) n from l left join f using (path) left join b using (path) group by 1",

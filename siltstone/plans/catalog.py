@@ -31,12 +31,6 @@ def a25_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def a28_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comment tags over all source documents."""
-    t = table(spark, sf_dir, "source_documents").select(F.explode(E.rationale(F.concat(F.lit("// NOTE: "), F.col("path"), F.lit("\n"), F.coalesce("content", F.lit(""))))).alias("r"))
-    return t.groupBy("r.tag").agg(F.count("*").alias("n"))
-
-
 def a29_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each topic was put into a prompt's context."""
     h = table(spark, sf_dir, "whisper_history").where("mode = 'verbatim' and enhanced_prompt is not null")

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import events as E
 from siltstone.functions import text as T
 from siltstone.operators import graph, lint, ranking, selection
 from siltstone.operators.search import search
 from siltstone.plans.analytics import a10_hotspots, a11_cochange, m01_priority
 from siltstone.plans.graphs import page_edges
-from siltstone.plans.quality import corpus
+from siltstone.plans import quality
 from siltstone.plans.search import _DOCS, _QS, _RANK, bm25_sql, cosine_sql
 from siltstone.plans.text import SQL_LINKS, docs
 from siltstone.session import table
@@ -56,12 +55,6 @@ def g10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.communities(page_edges(spark, sf_dir)).select("community_id", "hub", "size").distinct()
 
 
-def g16_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged comments of code blocks and texts that hold a word."""
-    t = docs(spark, sf_dir).select("doc_id", F.explode(E.rationale(F.regexp_replace("text", "(?m)^By default ", "// NOTE: by default "))).alias("r"))
-    return t.where("r.tag = 'NOTE' and r.text like '%cache%'").select("doc_id", F.md5("r.text").alias("text_md5"))
-
-
 def j11_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents like a held-out passage: the five best per passage at 0.2 and above, each document once with its best."""
     hits = ranking.bag_cosine(docs(spark, sf_dir), "doc_id", "text", _items(spark, sf_dir), "item_id", "passage", 5).where("score >= 0.2")
@@ -86,7 +79,7 @@ def k11_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k14_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the report on quality, by severity."""
-    issues = lint.report(corpus(spark, sf_dir))
+    issues = lint.report(quality.corpus(spark, sf_dir))
     return issues.groupBy("severity", "check").agg(F.count("*").alias("n")).select(F.concat(F.lit("- **"), "severity", F.lit("** "), "check", F.lit(": "), F.col("n").cast("string")).alias("line"))
 
 
@@ -177,6 +170,7 @@ ORACLES = {
     "f10_prefix": f"select doc_id, path from {_D} and starts_with(path, 'concepts/retry-queue')",
     "f11_accessors": "select regexp_matches(name, '^(?:get|set|is|has|add|remove|merge|route)_') accessor, count(*) n from (select unnest(regexp_extract_all(transcript, '\\b([a-z]+_[a-z_]+)', 1)) name from whisper_history) group by 1",
     "j11_preflight": f"with {cosine_sql(_DOCS, 'select item_id qid, passage q from benchmark_items', 'hits')}, t as (select * from hits qualify {_RANK} <= 5) select id doc_id, max(score) score, count(*) passages from t where score >= 0.2 group by 1",
+    "k14_report": f"select '- **' || severity || '** ' || \"check\" || ': ' || n line from ({quality.ORACLES['lint_totals']})",
     "k16_pruned": "select zone_id from article_zones where slug in (select slug from articles where slug is not null)",
     "p25_citations": f"with {bm25_sql(_DOCS, _QS)} select qid item_id, 'c' || {_RANK} citation, id doc_id from hits qualify {_RANK} <= 4",
     "q08_code": f"with {cosine_sql('select source_id id, content body from source_documents where path like ' + chr(39) + '%/adr/%' + chr(39) + ' or path like ' + chr(39) + '%/notes/%' + chr(39), 'select * from (values (1, ' + chr(39) + 'retry queue lock file' + chr(39) + '), (2, ' + chr(39) + 'community map' + chr(39) + ')) v(qid, q)', 'hits')} select qid, id source_id, score, {_RANK} rank from hits qualify rank <= 5",

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 
-from siltstone.plans import analytics, catalog, extras, graphs, instants, quality, search, text
+from siltstone.plans import analytics, catalog, codebase, extras, graphs, instants, quality, search, text
 
-MODULES = (instants, text, search, analytics, graphs, quality, catalog, extras)
+MODULES = (instants, text, search, analytics, graphs, quality, catalog, extras, codebase)
 
 
 def _named(name: str) -> str:

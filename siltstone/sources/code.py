@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.events import RATIONALE_TAGS
+
 PHP_SYMBOL = r"\b(?:class|interface|trait|enum|function)\s+([A-Za-z_]\w*)"
 #: Kinds of files by their path, first match wins.
 PATH_KINDS = (
-    ("Controller", "controller"), ("Repository", "repository"), ("Entity", "entity"), ("Service", "service"), ("Form", "form"), ("Command", "command"),
-    ("EventListener", "listener"), ("EventSubscriber", "subscriber"), ("Security", "security"), ("Twig", "twig_extension"), ("Message", "message"),
-    ("Validator", "validator"), ("DataFixtures", "fixture"), ("Migrations", "migration"), ("Enum", "enum"), ("Exception", "exception"),
+    ("MessageHandler", "handler"), ("Message", "message"), ("Controller", "controller"), ("Service", "service"), ("Entity", "entity"), ("Repository", "repository"),
+    ("Command", "command"), ("EventSubscriber", "subscriber"), ("Form", "form"), ("Validator", "validator"), ("Enum", "enum"), ("DTO", "dto"),
+    ("Security", "security"), ("Twig", "twig_extension"), ("DataFixtures", "fixture"), ("Exception", "exception"),
 )
 
 
@@ -33,7 +35,7 @@ def php_nodes(files: DataFrame) -> DataFrame:
     cls = F.nullif(F.regexp_extract("text", r"(?m)^(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(\w+)", 1), F.lit(""))
     kind = None
     for part, name in PATH_KINDS:
-        here = F.col("path").contains(f"/{part}/")
+        here = F.replace("path", F.lit("\\"), F.lit("/")).contains(f"/{part}/")
         kind = F.when(here, name) if kind is None else kind.when(here, name)
     return files.where("text is not null").select("path", ns.alias("namespace"), cls.alias("class"), kind.otherwise("other").alias("type"), F.array_distinct(_all(r"(?m)^use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;")).alias("imports"))
 
@@ -61,12 +63,22 @@ def included_by(templates: DataFrame) -> DataFrame:
 
 
 def stimulus_controllers(scripts: DataFrame, templates: DataFrame) -> DataFrame:
-    """(name, file, used_in, state): used, orphan (in no template) or missing (no file)."""
+    """(name, file, used_in, state, values, targets, outlets): used, orphan (in no template) or missing (no file)."""
     name = F.replace(F.replace(F.regexp_extract("path", r"controllers/(.+?)_controller\.[jt]s$", 1), F.lit("/"), F.lit("--")), F.lit("_"), F.lit("-"))
-    have = scripts.select(name.alias("name"), F.col("path").alias("file")).where("name <> ''")
+    inside = lambda kind, ends: F.regexp_extract(F.coalesce("text", F.lit("")), rf"static\s+{kind}\s*=\s*{ends[0]}([^{ends[1]}]*){ends[1]}", 1)
+    keys = F.array_distinct(F.regexp_extract_all(inside("values", ("\\{", "\\}")), F.lit(r"(\w+)\s*:"), F.lit(1)))
+    quoted = lambda kind: F.array_distinct(F.regexp_extract_all(inside(kind, ("\\[", "\\]")), F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1)))
+    have = scripts.select(name.alias("name"), F.col("path").alias("file"), keys.alias("values"), quoted("targets").alias("targets"), quoted("outlets").alias("outlets")).where("name <> ''")
     use = templates.select("path", F.explode("controllers").alias("name")).groupBy("name").agg(F.countDistinct("path").alias("used_in"))
     state = F.when(F.col("file").isNull(), "missing").when(F.col("used_in").isNull(), "orphan").otherwise("used")
-    return have.join(use, "name", "full_outer").select("name", "file", F.coalesce("used_in", F.lit(0)).alias("used_in"), state.alias("state"))
+    return have.join(use, "name", "full_outer").select("name", "file", F.coalesce("used_in", F.lit(0)).alias("used_in"), state.alias("state"), "values", "targets", "outlets")
+
+
+def js_symbols(scripts: DataFrame) -> DataFrame:
+    """(symbol, path) of the functions and methods of JS files, named ``js:path::name``."""
+    pattern = r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:static\s+)?(?:async\s+)?(?:function\s+)?(?!(?:if|for|while|switch|catch|return|function)\b)(\w+)\s*\([^)\n]*\)\s*\{"
+    each = scripts.where("text is not null").select("path", F.explode(F.array_distinct(_all(pattern))).alias("name"))
+    return each.select(F.concat(F.lit("js:"), "path", F.lit("::"), "name").alias("symbol"), "path")
 
 
 def fetches(scripts: DataFrame) -> DataFrame:
@@ -88,7 +100,8 @@ def match_fetches(calls: DataFrame, routes: DataFrame) -> DataFrame:
 
 _DECL = re.compile(r"^[ \t]*(?:(?:abstract|final|readonly|export|default|async)\s+)*(class|interface|trait|enum|function)\s+(\w+)", re.M)
 _METHOD = re.compile(r"^[ \t]*(?:(?:public|protected|private|static|abstract|final)\s+)+function\s+(\w+)", re.M)
-_TAG = re.compile(r"(?:(TODO|FIXME|HACK|NOTE|WHY|IMPORTANT|XXX)\b|(@deprecated)\b)[:\s]*(.*)")
+_TAG = re.compile(rf"\b({'|'.join(RATIONALE_TAGS)})\b(.*)")
+_DEPRECATED = re.compile(r"@deprecated\b(.*)", re.I)
 _ATTRIBUTE = re.compile(r"#\[Route\(\s*['\"]([^'\"]*)['\"](.*?)\)\]", re.S)
 _BLANKED = re.compile(r"/\*.*?\*/|//[^\n]*|#(?!\[)[^\n]*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", re.S)
 
@@ -127,7 +140,8 @@ def parse_php(path: str, text: str) -> dict[str, list[tuple]]:
     for c in re.finditer(r"^(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(\w+)(?:[^{]*?\bextends\s+([\w\\]+))?", code, re.M):
         name, end = full("\\" + prefix + c.group(1)), _block_end(code, c.end())
         out["class"].append((name, full(c.group(2)) if c.group(2) else None, line(c.start()), line(end - 1)))
-        head = text[max(0, c.start() - 600) : c.start()]
+        # the attributes before the class, as far as the declaration or block before it
+        head = text[max(code.rfind(";", 0, c.start()), code.rfind("}", 0, c.start())) + 1 : c.start()]
         base = (m := list(_ATTRIBUTE.finditer(head))) and m[-1].group(1) or ""
         types = {m.group(2): full(m.group(1)) for m in re.finditer(r"([A-Z\\][\w\\]*)\s+\$(\w+)", code[c.start() : end])}
         for f in _METHOD.finditer(code, c.end(), end):
@@ -150,28 +164,31 @@ def parse_php(path: str, text: str) -> dict[str, list[tuple]]:
             for m in re.finditer(r"(?<!this)(?<!\w)\$(\w+)->(\w+)\s*\(", body):
                 if m.group(1) != "this" and m.group(1) in types:
                     out["edge"].append((symbol, f"{types[m.group(1)]}::{m.group(2)}", "call", 0.7, line(f.end() + m.start())))
-            before = text[max(c.end(), f.start() - 600) : f.start()]
-            attributes = [m for m in _ATTRIBUTE.finditer(before) if "function" not in before[m.end() :]]
+            # the attributes before the method, as far as the member before it
+            begin = max(c.end(), code.rfind(";", 0, f.start()) + 1, code.rfind("}", 0, f.start()) + 1)
+            attributes = list(_ATTRIBUTE.finditer(text[begin : f.start()]))
             for m in attributes:
                 methods = re.findall(r"['\"](GET|POST|PUT|PATCH|DELETE)['\"]", m.group(2)) or ["GET"]
                 template = re.search(r"render\(\s*['\"]([^'\"]+)['\"]", raw[:4096])
                 named = re.search(r"name:\s*['\"]([^'\"]+)['\"]", m.group(2))
-                out["route"].append((base.rstrip("/") + m.group(1), named.group(1) if named else None, ",".join(methods), symbol, template.group(1) if template else None))
+                out["route"].append(((base.rstrip("/") + "/" + m.group(1).lstrip("/")).rstrip("/") or "/", named.group(1) if named else None, ",".join(methods), symbol, template.group(1) if template else None))
     for i, raw_line in enumerate(text.splitlines(), 1):
-        comment = re.search(r"(?://|#(?!\[)|\*)\s*(.*)$", raw_line)
-        if comment and (m := _TAG.match(comment.group(1).strip())):
-            out["rationale"].append(((m.group(1) or "DEPRECATED"), m.group(3).strip()[:240], i))
+        if not (comment := re.search(r"(?://|#(?!\[)|/\*|^\s*\*)(.*)$", raw_line)):
+            continue
+        if m := _DEPRECATED.search(comment.group(1)) or _TAG.search(comment.group(1)):
+            tag, rest = (m.group(1), m.group(2)) if m.re is _TAG else ("DEPRECATED", m.group(1))
+            out["rationale"].append((tag, re.sub(r"\*/\s*$", "", rest).lstrip(" :\t-").strip()[:240], i))
     return out
 
 
-_CODE = "path string, kind string, a string, b string, c string, first_line int, last_line int, confidence double"
+_CODE = "path string, kind string, a string, b string, c string, d string, first_line int, last_line int, confidence double"
 
 
 def php_facts(files: DataFrame) -> DataFrame:
     """All facts of PHP files in one table: kind is symbol, edge, class, route or rationale.
 
     symbol: a id, b kind, c visibility; edge: a from, b to, c kind; class: a name, b parent;
-    route: a path, b action, c methods; rationale: a tag, b text.
+    route: a path, b action, c methods, d template; rationale: a tag, b text.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +196,14 @@ def php_facts(files: DataFrame) -> DataFrame:
             rows: list[tuple] = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = parse_php(path, text)
-                rows += [(path, "symbol", s, k, v, a, b, None) for s, a, b, k, v in f["symbol"]]
-                rows += [(path, "edge", s, t, k, at, at, sure) for s, t, k, sure, at in f["edge"]]
-                rows += [(path, "class", n, p, None, a, b, None) for n, p, a, b in f["class"]]
-                rows += [(path, "route", p, action, methods, None, None, None) for p, _, methods, action, _ in f["route"]]
-                rows += [(path, "rationale", tag, t, None, at, at, None) for tag, t, at in f["rationale"]]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            types = (pa.string(),) * 5 + (pa.int32(),) * 2 + (pa.float64(),)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "kind", "a", "b", "c", "first_line", "last_line", "confidence"])
+                rows += [(path, "symbol", s, k, v, None, a, b, None) for s, a, b, k, v in f["symbol"]]
+                rows += [(path, "edge", s, t, k, None, at, at, sure) for s, t, k, sure, at in f["edge"]]
+                rows += [(path, "class", n, p, None, None, a, b, None) for n, p, a, b in f["class"]]
+                rows += [(path, "route", p, action, methods, template, None, None, None) for p, _, methods, action, template in f["route"]]
+                rows += [(path, "rationale", tag, t, None, None, at, at, None) for tag, t, at in f["rationale"]]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            types = (pa.string(),) * 6 + (pa.int32(),) * 2 + (pa.float64(),)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "kind", "a", "b", "c", "d", "first_line", "last_line", "confidence"])
 
     return files.where("text is not null").select("path", "text").mapInArrow(scan, _CODE)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,9 +31,29 @@ def debounce(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 secon
 
 
 def throttle(flushes: DataFrame, key: str, window: str = "60 seconds") -> DataFrame:
-    """The first of each key's rows within the window of event time; later ones are dropped."""
+    """The first of each key's rows within the window of event time; later ones are dropped.
+
+    A row that is dropped opens no window.  A stream keeps its state per key; a batch cuts
+    each key's rows where the window from the last kept row ends, in order of time.
+    """
     t = flushes.withColumn("ts", F.col("ts").cast("timestamp"))
-    return t.withWatermark("ts", window).dropDuplicatesWithinWatermark([key]) if t.isStreaming else t.dropDuplicates([key])
+    if t.isStreaming:
+        return t.withWatermark("ts", window).dropDuplicatesWithinWatermark([key])
+    spark = flushes.sparkSession
+    width = spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {window})")).first()[0]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, until = None, 0  # rows stream by, clustered by key and in order of time
+        for batch in batches:
+            at = []
+            for i, (k, us) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if us is not None and (k != held or us >= until):
+                    at.append(i)
+                    held, until = k, us + width
+            yield batch.select(range(2, batch.num_columns)).take(pa.array(at, pa.int64()))
+
+    rows = t.select(F.col(key).alias("_key"), F.unix_micros("ts").alias("_us"), "*").where("_key is not null").repartition("_key").sortWithinPartitions("_key", "_us")
+    return rows.mapInArrow(keep, t.schema)
 
 
 def fresh_turns(turns: DataFrame) -> DataFrame:
