@@ -153,6 +153,100 @@ def test_generations(spark, tmp_path):
     assert t.read().count() == 2
 
 
+@pytest.mark.parametrize("step", ["create", "rename", "write"])
+def test_a_crash_between_the_steps_loses_nothing(spark, tmp_path, step, monkeypatch):
+    """A writer that dies at any step leaves readers the last generation, and the next writer goes on from it."""
+    mk = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    t = sinks.GenerationTable(spark, str(tmp_path / "t"), "k")
+    t.upsert(mk([("a", 1)]))
+    real = sinks.GenerationTable._fs
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == step:
+                raise RuntimeError("killed")
+            return getattr(self.fs, name)
+
+    dead = sinks.GenerationTable(spark, str(tmp_path / "t"), "k")
+    if step == "write":
+        monkeypatch.setattr(dead, "_point", lambda name: (_ for _ in ()).throw(RuntimeError("killed")))
+    else:
+        monkeypatch.setattr(dead, "_fs", lambda: Broken(real(dead)))
+    with pytest.raises(RuntimeError):
+        dead.upsert(mk([("b", 2)]))
+    assert {tuple(r) for r in t.read().collect()} == {("a", 1)}
+    t.upsert(mk([("c", 3)]))
+    t.upsert(mk([("d", 4)]))
+    assert {tuple(r) for r in t.read().collect()} == {("a", 1), ("c", 3), ("d", 4)} and len(t._pointers()) == 2
+
+
+def test_staged_replace(spark, tmp_path):
+    mk = lambda rows: spark.createDataFrame(rows, "k string, f string")
+    t = sinks.GenerationTable(spark, str(tmp_path / "t"), "k")
+    t.promote(t.stage(mk([("1", "a"), ("2", "a"), ("3", "b")])), "f")
+    staged = t.stage(mk([("4", "a")]))
+    assert t.read().count() == 3  # nobody sees a stage
+    t.promote(staged, "f")
+    assert {tuple(r) for r in t.read().collect()} == {("4", "a"), ("3", "b")}
+    with pytest.raises(ValueError):
+        t.promote(t.stage(mk([("3", "a")])), "f")  # a key of another file
+    t.rollback(t.stage(mk([("9", "z")])))
+    assert {tuple(r) for r in t.read().collect()} == {("4", "a"), ("3", "b")} and not list((tmp_path / "t").glob("staged-*"))
+
+
+def test_batches_events_and_logs(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def put(rows, folder=str(seen)):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "w").write(str(len(rows)))
+
+    assert sinks.upsert_batches(spark.range(1000).repartition(2), put) == 1000
+    sizes = [int(f.read_text()) for f in seen.iterdir()]
+    assert sum(sizes) == 1000 and max(sizes) == 256
+    e = spark.createDataFrame([("2024-01-01T10:00", "x"), ("2024-01-02T10:00", "y")], "ts string, tool string")
+    sinks.append_events(e, str(tmp_path / "e"))
+    sinks.append_events(e.limit(1), str(tmp_path / "e"))
+    assert spark.read.json(str(tmp_path / "e")).count() == 3
+    d = spark.createDataFrame([("h1", "a"), ("h1", "a"), ("h2", "b")], "name_hash string, text string")
+    assert [sinks.write_once(d, str(tmp_path / "d")) for _ in range(2)] == [2, 0]
+    logs, index = str(tmp_path / "logs"), str(tmp_path / "index")
+    chunk = lambda df: df.select("day", F.explode(F.split("text", "\n\n")).alias("chunk"))
+    bad = lambda df: df.select("day", F.raise_error(F.lit("no embedder")).cast("string").alias("chunk"))
+    entry = lambda day, text: spark.createDataFrame([(day, text)], "day string, text string")
+    assert sinks.append_logs(entry("2024-01-01", "one"), logs, index, chunk)
+    assert not sinks.append_logs(entry("2024-01-01", "two"), logs, index, bad)
+    assert sinks.append_logs(entry("2024-01-02", "three"), logs, index, chunk)  # and makes up for the day before
+    assert {(str(r["day"]), r["chunk"]) for r in spark.read.parquet(f"{index}/chunks").collect()} == {("2024-01-01", "one"), ("2024-01-01", "two"), ("2024-01-02", "three")}
+
+
+def test_reports(spark):
+    lines = lambda df: [r["line"] for r in df.collect()]
+    trace = spark.createDataFrame([(["a", "b", "a"], "cycle"), (["a", "c"], "end")], "path array<string>, leaf string")
+    got = lines(sinks.mermaid_trace(trace))
+    assert got[0] == "flowchart TD" and len(got) == 5 and sum("(cycle)" in x for x in got) == 1 and sum("-->" in x for x in got) == 3
+    impact = spark.createDataFrame([("route", "/x", 1.5, "A::m", 2), ("script", "js:y", None, "A::m", 3)], "kind string, name string, risk double, symbol string, depth int")
+    got = lines(sinks.mermaid_impact(impact))
+    assert len(got) == 3 and any("risk 1.5" in x and "-->|2|" in x for x in got) and any("-.->|3|" in x for x in got)
+    n, e = spark.createDataFrame([("a<",), ("b",)], "id string"), spark.createDataFrame([("a<", "b")], "src string, dst string")
+    assert json.loads("".join(lines(sinks.graph_json(n, e)))) == {"nodes": [{"id": "a<"}, {"id": "b"}, None], "edges": [{"from": "a<", "to": "b"}, None]}
+    assert "<td>a&lt;</td><td>b</td>" in "".join(lines(sinks.graph_html(n, e)))
+    schema = "id string, passed boolean, missing array<string>, forbidden array<string>, answer string, error string"
+    got = lines(sinks.canary_report(spark.createDataFrame([("a", True, [], [], "x", None), ("b", False, ["m"], ["f"], "l1\nl2", None), ("c", None, [], [], None, "down")], schema), "2024-01-01"))
+    assert got == ["# Canary Report - 2024-01-01", "**Total:** 3 canaries | Passed: 1 | Failed: 1 | Errored: 1", "## Errored Canaries", "- **c**: down", "## Failed Canaries", "### b\n\n**Missing substrings:** m\n\n**Forbidden substrings matched:** f\n\n> l1\n> l2", "## Passed Canaries", "- a"]
+    scores = spark.createDataFrame([("a", 0.9, 3, 0, 0, None), ("b", 0.1, 0, 1, 2, "x|y"), ("c", 0.5, 1, 1, 0, None)], "slug string, score double, useful bigint, dead_end bigint, corrected bigint, last_note string")
+    assert lines(sinks.lessons(scores)) == ["## Contested (1)", "| [[b]] | 0.10 | 2 | 1 | 0 | x\\|y |", "## Trusted (1)", "| [[a]] | 0.90 | 3 | 0 | 0 |"]
+    near = spark.createDataFrame([("a", None, 0.5), ("b", "B", 0.9), ("c", None, None)], "slug string, title string, similarity double")
+    assert lines(sinks.preflight_block(near)) == ["## Closest existing articles (possible duplicates)", "- `b` (similarity 0.90) - B", "- `a` (similarity 0.50)", "- `c` (similarity ?)"] and lines(sinks.preflight_block(near.limit(0))) == []
+    whole = sinks.whole_content(spark.createDataFrame([("idx",)], "text string"), spark.createDataFrame([("qa/a.md", "1"), ("concepts/z.md", "2"), ("daily/x.md", "3")], "path string, text string"))
+    assert [r["part"] for r in whole.collect()] == ["## INDEX\n\nidx", "## concepts/z.md\n\n2", "## qa/a.md\n\n1"]
+
+
 def test_partitions_and_state(spark, tmp_path):
     path = str(tmp_path / "p")
     sinks.replace_partitions(spark.createDataFrame([("a", 1), ("b", 1)], "f string, v int"), path, "f")
