@@ -1,14 +1,17 @@
 """Personal information in free text: found, and replaced by typed stand-ins.
 
 Method: surrogate generation.  Detected entities are brought to a canonical form
-(without case, accents and layout), so all spellings of one entity are one.  Each gets
-a keyed, type-consistent replacement that keeps the format it was written in: digits
-stay digits, capitals stay capitals, spelled-out addresses stay spelled out, names come
-from the lexicon with the same ending class and keep initials and double parts.  A
-collision check over all entities redraws any replacement that two different entities
-share or that is itself an entity found in the text, so distinctness and coreference
-survive.  In the redacted text the replacement stands as a placeholder of its kind
-that carries a keyed code, or, on request, as the surrogate itself.
+(without case, accents and layout, given names first), so all spellings of one entity are
+one; inside one text "A. Smith" is the one Anna Smith that the text names.  Each entity
+gets a keyed, type-consistent replacement, drawn word by word or digit by digit, and
+every surface is rendered from it in the format it was written in: digits stay digits,
+capitals stay capitals, spelled-out forms stay spelled out, initials are those of the new
+name, names come from the lexicon with the same ending class and script.  A collision
+check over all entities redraws any replacement that two different entities share or
+that is itself an entity found in the text, until none is left, so distinctness and
+coreference survive.  The lexicon does not tell the gender of a name; the ending class
+stands for it.  In the redacted text a placeholder of its kind that carries a keyed code
+stands in the find's place, or, on request, the surrogate itself.
 
 Scale: texts are scanned once, without a shuffle; only the finds (few and short) are
 shuffled.  The name lexicon is a stated small table with a checked size.
@@ -98,23 +101,27 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", plain) if not unicodedata.combining(c)).lower()
 
 
+_LETTERS_OF = r"(?:[^\W\d_][\u0300-\u036f]*)+"
+_FIRST_WORD = re.compile(_LETTERS_OF)
+_NAME_START = re.compile(r"(?<![\w@.'’-])[^\W\d_]")
+_GAP = re.compile(r"[ \t\xa0]+")
+_INITIALS = re.compile(r"(?:(?:[A-Za-z]\.-?)+[ \t\xa0]+)*", re.I)
+_LEADING = re.compile(r"(?:[A-Za-z]\.-?[ \t\xa0]*)+", re.I)
+_TRAILING = re.compile(r"(?:[ \t\xa0]+(?:[A-Za-z]\.-?)+(?!\w))*", re.I)
+_COMMA_INITIALS = re.compile(r",[ \t\xa0]+(?:[A-Za-z]\.-?)+(?!\w)", re.I)
+_GOES_ON = re.compile(r"[\w@]|-\w|\.\w")
+
+
 class Names:
-    """Finds a given name or initial with a family name, in either order, out of a lexicon."""
+    """Finds a given name or initial with a family name, in either order, out of a lexicon.
+
+    Forms are looked up by their first word, so the cost of a text does not grow with the lexicon.
+    """
 
     def __init__(self, given: list[str], family: list[str]) -> None:
         forms = lambda words: {w for x in words for w in (x.lower(), fold(x), unicodedata.normalize("NFD", x).lower())}
         self.given, self.family = forms(given), forms(family)
-        word = lambda s: "|".join(re.escape(w) for w in sorted(s, key=lambda w: (-len(w), w))) or r"(?!)"
-        g, f = word(self.given), word(self.family)
-        gap, initials = r"[ \t\xa0]+", r"(?:(?:[A-Za-z]\.-?)+[ \t\xa0]+)*"
-        double = rf"(?:{f})(?:-(?:{f}))?"
-        self.pattern = re.compile(
-            rf"(?<![\w@.'’-])(?:(?:{g})(?:-(?:{g}))?{gap}{initials}{double}(?![\w@]|-\w|\.\w)"
-            rf"|{double},?{gap}(?:(?:{g})(?![\w@]|-\w|\.\w)(?:{gap}(?:[A-Za-z]\.-?)+(?!\w))*)"
-            rf"|{double},{gap}(?:[A-Za-z]\.-?)+(?!\w)"
-            rf"|(?:[A-Za-z]\.-?[ \t\xa0]*)+{double}(?![\w@]|-\w|\.\w))",
-            re.I,
-        )
+        self.starts = tuple(self._by_first_word(s) for s in (self.given, self.family))
         try:
             import ahocorasick
 
@@ -126,12 +133,90 @@ class Names:
         except ImportError:
             self.hint = None
 
+    @staticmethod
+    def _by_first_word(forms: set[str]) -> dict[str, list[str]]:
+        out: dict[str, list[str]] = {}
+        for f in sorted(forms, key=lambda w: (-len(w), w)):
+            if m := _FIRST_WORD.match(f):
+                out.setdefault(m.group(), []).append(f)
+        return out
+
+    def _ends(self, low: str, at: int, part: int, twice: bool = True) -> list[int]:
+        """Where a form (0 given, 1 family) that begins at ``at`` may end, hyphenated pairs and longer forms first."""
+        m = _FIRST_WORD.match(low, at)
+        out: list[int] = []
+        for f in self.starts[part].get(m.group(), ()) if m else ():
+            if low.startswith(f, at):
+                end = at + len(f)
+                if twice and low.startswith("-", end):
+                    out += self._ends(low, end + 1, part, False)
+                out.append(end)
+        return out
+
+    def _match(self, text: str, low: str, at: int) -> int | None:
+        """Where a name that begins at ``at`` ends."""
+        for end in self._ends(low, at, 0):
+            if gap := _GAP.match(text, end):
+                start = _INITIALS.match(text, gap.end()).end()
+                for stop in self._ends(low, start, 1):
+                    if not _GOES_ON.match(text, stop):
+                        return stop
+        families = self._ends(low, at, 1)
+        for end in families:
+            if gap := _GAP.match(text, end + text.startswith(",", end)):
+                for stop in self._ends(low, gap.end(), 0, False):
+                    if not _GOES_ON.match(text, stop):
+                        return _TRAILING.match(text, stop).end()
+        for end in families:
+            if m := _COMMA_INITIALS.match(text, end):
+                return m.end()
+        if m := _LEADING.match(text, at):
+            for stop in self._ends(low, m.end(), 1):
+                if not _GOES_ON.match(text, stop):
+                    return stop
+        return None
+
     def find(self, text: str) -> list[tuple[int, int]]:
         if not self.family:
             return []
-        if self.hint is not None and next(self.hint.iter(text.lower()), None) is None:
+        low = text.lower()
+        if self.hint is not None and next(self.hint.iter(low), None) is None:
             return []
-        return [m.span() for m in self.pattern.finditer(text)]
+        if len(low) != len(text):  # a letter that grows in lower case
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        out, last = [], 0
+        for m in _NAME_START.finditer(text):
+            at = m.start()
+            if at >= last and (end := self._match(text, low, at)) is not None:
+                out.append((at, end))
+                last = end
+        return out
+
+    def canonical(self, surface: str) -> str:
+        """Given names, then initials, then family names, without case, accents and layout."""
+        words = re.findall(r"[^\W\d_]+", fold(surface))
+        if "," not in surface and not (words and words[0] in self.family and words[0] not in self.given and words[-1] not in self.family):
+            return " ".join(words)  # given names stand first already
+        first = [w for w in words if len(w) > 1 and w in self.given and ("," not in surface or w not in re.findall(r"[^\W\d_]+", fold(surface.split(",", 1)[0])))]
+        initials = [w for w in words if len(w) == 1]
+        return " ".join([*first, *initials, *(w for w in words if w not in first and len(w) > 1)])
+
+
+def linked(names: list[str]) -> list[str]:
+    """The canonical names of one text, short forms put to the one longer form that the text also has."""
+
+    def parts(name: str) -> tuple[str, list[str], str]:
+        words = name.split()
+        head = words[0]
+        initials = [w for w in words[1:] if len(w) == 1]
+        return head, initials, " ".join(w for w in words[1:] if len(w) > 1)
+
+    known = {n: parts(n) for n in set(names)}
+    out = {}
+    for name, (head, initials, family) in known.items():
+        longer = [o for o, (h, i, f) in known.items() if o != name and f == family and len(h) > 1 and ((len(head) == 1 and h[0] == head and i[: len(initials)] == initials) or (h == head and not initials and i))]
+        out[name] = longer[0] if len(longer) == 1 else name
+    return [out[out[n]] for n in names]
 
 
 def find(text: str | None, names: Names) -> list[tuple[int, int, str]]:
@@ -186,6 +271,7 @@ def canonical(surface: str, kind: str) -> str:
         if "," in s:
             family, given = s.split(",", 1)
             s = f"{given.strip()} {family.strip()}"
+        return " ".join(re.findall(r"[^\W\d_]+", s))
     return re.sub(r"[\s\xa0,]+", " ", s).strip()
 
 
@@ -212,47 +298,76 @@ def _cased(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.lower() if like.islower() else word
 
 
-def surrogate(surface: str, kind: str, entity: str, key: bytes, names: tuple[list[str], list[str]], attempt: int = 0) -> str:
-    """A replacement of the same kind in the format of the surface."""
+_CONSONANTS, _LAST = "EFGHJKLMNPRSTWXYZ", "ABCD"
+
+
+class Pools:
+    """The lexicon by what a replacement has to be like: part, ending class and script."""
+
+    def __init__(self, given: list[str], family: list[str]) -> None:
+        self.known: dict[str, tuple[int, str]] = {}
+        self.alike: dict[tuple[int, bool, bool], list[str]] = {}
+        self.parts = (given, family)
+        for part, words in enumerate(self.parts):
+            for w in words:
+                self.known[fold(w)] = (part, w)
+                self.alike.setdefault(self._class(part, w), []).append(w)
+
+    @staticmethod
+    def _class(part: int, form: str) -> tuple[int, bool, bool]:
+        # the ending stands for gender where the lexicon does not tell it; accents for the script
+        return part, form[-1].lower() in "ae", form.isascii()
+
+    def word(self, entity: str, word: str, key: bytes, attempt: int) -> str:
+        """What stands for one word of a name, the same in all spellings of the entity."""
+        below = _draw(key, f"name\0{word}", entity, attempt)
+        part, form = self.known.get(word, (1, word))
+        if part and attempt >= 2:  # the lexicon has too few: a made-up family name, longer with each few attempts
+            stems, ends = "bar dol fen gar hol kel lin mor nor pel ral sel tor ul var wen".split(), "berg by dal feld gren holm land lund rud stad vik wald".split()
+            made = "".join(stems[below(16)] for _ in range(3 + (attempt - 2) // 3)) + ends[below(12)]
+            return made.capitalize() + ("" if form.isascii() else "ø")
+        pool = self.alike.get(self._class(part, form)) or self.parts[part]
+        return pool[below(len(pool))]
+
+
+def surrogate(surface: str, kind: str, entity: str, key: bytes, names: Pools, attempt: int = 0) -> str:
+    """The entity's replacement in the format of the surface."""
     below = _draw(key, kind, entity, attempt)
     if kind in ("phone", "id_number"):
-        fresh = [str(below(10)) for _ in range(24)]
-        if not any(c.isdigit() for c in surface):
-            words = list(_WORD_DIGITS)[:10]
-            return re.sub(r"[A-Za-z]+", lambda m: words[int(fresh.pop())], surface)
-        letter = lambda c: "ABCD"[below(4)] if c in "ABCDabcd" else "EFGHJKLMNPRSTWXYZ"[below(17)]  # noqa: E731  # check letters stay in their range
-        head = re.match(r"\+\d{1,3}|00\d{2}|0", surface) if kind == "phone" else None
-        start = head.end() if head else 0
-        return surface[:start] + re.sub(r"\d|[A-Za-z]", lambda m: fresh.pop() if m.group().isdigit() else _cased(m.group() * 2, letter(m.group())), surface[start:])
+        kept = 2 if kind == "phone" else 0  # the first digits tell the kind of number
+        fresh = [c if i < kept else str(below(10)) if c.isdigit() else _LAST[below(4)] if c in "abcd" else _CONSONANTS[below(17)] for i, c in enumerate(entity)]
+        if kind == "phone" and not any(c.isdigit() for c in surface):
+            said = " ".join(list(_WORD_DIGITS)[int(c)] for c in fresh)
+            return said.upper() if surface.isupper() else said
+        start = 2 if kind == "phone" and surface.startswith("00") else 0
+        left = iter(fresh)
+        return surface[:start] + re.sub(r"\d|[A-Za-z]", lambda m: _cased(m.group() * 2, next(left, m.group())), surface[start:])
     if kind == "email":
         syllables = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo zu".split()
-        return re.sub(r"(?<!\w)(?!(?:at|dot|underscore|dash|plus)(?!\w))\w+", lambda m: _cased(m.group(), "".join(syllables[below(20)] for _ in range(max(2, min(4, len(m.group()) // 2))))), surface[: _tail(surface)], flags=re.I) + surface[_tail(surface) :]
+        return re.sub(r"(?<!\w)(?!(?:at|dot|underscore|dash|plus)(?!\w))\w+", lambda m: _cased(m.group(), "".join(syllables[below(20)] for _ in range(max(2, min(4, len(m.group()) // 2)) + attempt // 8))), surface[: _tail(surface)], flags=re.I) + surface[_tail(surface) :]
     if kind == "address":
         stems = "alder birch cedar elm fir hazel linden maple oak pine rowan willow".split()
         ends = "bank bridge cross dale ford hill mead mill side ton well wick".split()
         named = re.sub(
             r"[A-ZÀ-Þ][\w'’-]*",
-            lambda m: m.group() if re.fullmatch(rf"{_STREET}|Rue|RUE|Calle|CALLE|Avenida|Plaza|Paseo|DE|DU|DES|LA", m.group()) else _cased(m.group(), (stems[below(12)] + ends[below(12)]).capitalize()) + (re.search(r"(?i)(?:stra(?:ß|ss)e|weg|allee|platz|gasse|ufer|damm|ring)$|$", m.group()).group()),
+            lambda m: m.group() if re.fullmatch(rf"{_STREET}|Rue|RUE|Calle|CALLE|Avenida|Plaza|Paseo|DE|DU|DES|LA", m.group()) else _cased(m.group(), ("".join(stems[below(12)] for _ in range(1 + attempt // 6)) + ends[below(12)]).capitalize()) + (re.search(r"(?i)(?:stra(?:ß|ss)e|weg|allee|platz|gasse|ufer|damm|ring)$|$", m.group()).group()),
             surface,
         )
         return re.sub(r"\d+", lambda m: str(1 + below(max(9, 10 ** len(m.group()) - 1))), named)
-    given, family = names
-    kinds = {fold(w): "given" for w in given} | {fold(w): "family" for w in family}
+    words = entity.split()
 
     def swap(m: re.Match) -> str:
         word = m.group()
-        if attempt >= 2 and kinds.get(fold(word)) == "family":  # the lexicon has too few: a made-up family name
-            stems, ends = "bar dol fen gar hol kel lin mor nor pel ral sel tor ul var wen".split(), "berg by dal feld gren holm land lund rud stad vik wald".split()
-            made = (stems[below(16)] + stems[below(16)] + ends[below(12)]).capitalize()
-            return _cased(word, made if word.isascii() else made + "ø")
-        if len(word) == 1:
-            return _cased(word * 2, chr(65 + below(26)))
-        pool = given if kinds.get(fold(word)) == "given" else family
-        # the ending stands for gender where the lexicon does not tell it; accents for the script
-        alike = [w for w in pool if (w[-1] in "ae") == (word[-1].lower() in "ae") and w.isascii() == word.isascii()] or pool
-        return _cased(word, alike[below(len(alike))])
+        w = fold(word)
+        if len(w) == 1:
+            full = next((x for x in words if x[0] == w and len(x) > 1 and x != words[-1]), None)
+            return _cased(word * 2, names.word(entity, full, key, attempt)[0].upper() if full else chr(65 + _draw(key, f"initial\0{w}", entity, attempt)(26)))
+        new = names.word(entity, w, key, attempt)
+        if word.isascii() and not new.isascii():
+            new = "".join(c for c in unicodedata.normalize("NFD", "".join(_LETTERS.get(c, c) for c in new)) if not unicodedata.combining(c))
+        return _cased(word, new)
 
-    return re.sub(r"[^\W\d_]+", swap, surface)
+    return re.sub(_LETTERS_OF, swap, surface)
 
 
 def _tail(surface: str) -> int:
@@ -281,33 +396,45 @@ def finds(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(given, family)
         for batch in batches:
-            out = [
-                (table, row, a, b, kind, text[a:b], canonical(text[a:b], kind))
-                for table, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)
-                for a, b, kind in find(text, names)
-            ]
+            out = []
+            for table, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held = find(text, names)
+                people = iter(linked([names.canonical(text[a:b]) for a, b, kind in held if kind == "name"]))
+                out += [(table, row, a, b, kind, text[a:b], next(people) if kind == "name" else canonical(text[a:b], kind)) for a, b, kind in held]
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIND_TYPES, strict=True)], names=["source_table", "row_id", "char_start", "char_end", "kind", "surface", "entity"])
 
     return texts.select("source_table", "row_id", "text").where("text is not null").mapInArrow(scan, _FINDS)
 
 
-def surrogates(found: DataFrame, lexicon: DataFrame, key: str, rounds: int = 6) -> DataFrame:
-    """(kind, entity, code, surrogate): one row per entity, surrogates distinct and none an entity of the text.
-
-    The surrogate is drawn for the least surface of the entity.  After ``rounds``
-    redraws a surrogate that still collides gets the entity's code appended.
-    """
-    names = _lexicon(lexicon)
+def _codes(key: str):  # noqa: ANN202
     secret = key.encode()
 
+    @F.pandas_udf("string")
+    def coded(kind, entity):  # noqa: ANN001, ANN202
+        return kind.combine(entity, lambda k, e: code(secret, k, e))
+
+    return coded
+
+
+def _draws(key: str, lexicon: tuple[list[str], list[str]]):  # noqa: ANN202
+    secret, names = key.encode(), Pools(*lexicon)
+
     @F.pandas_udf("string")
     def draw(surface, kind, entity, attempt):  # noqa: ANN001, ANN202
         return surface.combine(kind, lambda s, k: (s, k)).combine(entity, lambda p, e: (*p, e)).combine(attempt, lambda p, n: surrogate(p[0], p[1], p[2], secret, names, int(n)))
 
-    @F.pandas_udf("string")
-    def coded(kind, entity):  # noqa: ANN001, ANN202
-        return kind.combine(entity, lambda k, e: code(secret, k, e))
+    return draw
+
+
+def surrogates(found: DataFrame, lexicon: DataFrame, key: str, attempts: int = 200) -> DataFrame:
+    """(kind, entity, attempt, code, surrogate): one row per entity, surrogates distinct and none an entity of the text.
+
+    The surrogate shown is that of the entity's least surface; ``attempt`` is the draw that all
+    its surfaces are rendered from.  Collisions are redrawn until none is left; made-up
+    words grow with the attempts, so that there is room for any number of entities.
+    """
+    draw = _draws(key, _lexicon(lexicon))
 
     @F.pandas_udf("string")
     def plain(text, kind):  # noqa: ANN001, ANN202
@@ -316,21 +443,30 @@ def surrogates(found: DataFrame, lexicon: DataFrame, key: str, rounds: int = 6)
     entities = materialize(found.groupBy("kind", "entity").agg(F.min("surface").alias("surface")))
     pending = entities.withColumn("attempt", F.lit(0))
     settled = None
-    for n in range(rounds):
+    for n in range(attempts):
         drawn = pending.withColumn("surrogate", draw("surface", "kind", "entity", "attempt")).withColumn("as_entity", plain("surrogate", "kind"))
         first = drawn.groupBy("kind", "as_entity").agg(F.min("entity").alias("entity"))
         fresh = drawn.join(first, ["kind", "as_entity", "entity"], "left_semi")
         fresh = fresh.join(entities.select("kind", F.col("entity").alias("as_entity")), ["kind", "as_entity"], "left_anti")
         if settled is not None:
             fresh = fresh.join(settled.select("kind", "as_entity"), ["kind", "as_entity"], "left_anti")
-        fresh = materialize(fresh.select("kind", "entity", "surface", "surrogate", "as_entity"))
+        fresh = materialize(fresh.select("kind", "entity", "attempt", "surrogate", "as_entity"))
         settled = fresh if settled is None else settled.unionByName(fresh)
-        pending = pending.join(fresh, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(n + 1))
+        pending = materialize(pending.join(fresh, ["kind", "entity"], "left_anti").withColumn("attempt", F.lit(n + 1)))
         if pending.isEmpty():
-            break
-    last = pending.withColumn("surrogate", F.concat(draw("surface", "kind", "entity", "attempt"), F.lit("-"), coded("kind", "entity"))).withColumn("as_entity", F.col("surrogate"))
-    done = settled.unionByName(last.select("kind", "entity", "surface", "surrogate", "as_entity"))
-    return done.select("kind", "entity", coded("kind", "entity").alias("code"), "surrogate")
+            return settled.select("kind", "entity", "attempt", _codes(key)("kind", "entity").alias("code"), "surrogate")
+    raise RuntimeError(f"some entities found no surrogate of their own in {attempts} attempts")
+
+
+def replaced(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """Every find with the surrogate that replaces it: the columns of ``finds``, code and surrogate.
+
+    The surrogate is in the format of this very surface.
+    """
+    found = materialize(finds(texts, lexicon))
+    known = surrogates(found, lexicon, key).select("kind", "entity", "attempt", "code")
+    draw = _draws(key, _lexicon(lexicon))
+    return found.join(known, ["kind", "entity"]).select(*found.columns, "code", draw("surface", "kind", "entity", "attempt").alias("surrogate"))
 
 
 def redact(texts: DataFrame, lexicon: DataFrame, key: str, realistic: bool = False) -> DataFrame:
@@ -340,10 +476,11 @@ def redact(texts: DataFrame, lexicon: DataFrame, key: str, realistic: bool = Fal
     Placeholders read ``<KIND:code>``, the code being the same wherever the entity stands;
     ``realistic`` puts the surrogates instead.  All other text stays as it is.
     """
-    found = materialize(finds(texts, lexicon))
-    known = surrogates(found, lexicon, key)
-    stand_in = F.col("surrogate") if realistic else F.concat(F.lit("<"), F.upper("kind"), F.lit(":"), F.col("code"), F.lit(">"))
-    each = found.join(known, ["kind", "entity"]).groupBy("source_table", "row_id").agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", stand_in.alias("stand_in")))).alias("spans"))
+    if realistic:
+        each = replaced(texts, lexicon, key).withColumnRenamed("surrogate", "stand_in")
+    else:
+        each = finds(texts, lexicon).withColumn("stand_in", F.concat(F.lit("<"), F.upper("kind"), F.lit(":"), _codes(key)("kind", "entity"), F.lit(">")))
+    each = each.groupBy("source_table", "row_id").agg(F.array_sort(F.collect_set(F.struct("char_start", "char_end", "stand_in"))).alias("spans"))
     each = each.toDF("_table", "_row", "spans")
     joined = texts.select("source_table", "row_id", "text").join(each, F.col("source_table").eqNullSafe(F.col("_table")) & F.col("row_id").eqNullSafe(F.col("_row")))
     # the text up to each find and its stand-in, one after the other

@@ -37,8 +37,8 @@ def _spoken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every distinct find of personal information in each row of text."""
-    found = pii.finds(_spoken_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
+    """Every distinct find of personal information that a surrogate replaces in each row of text."""
+    found = pii.replaced(_spoken_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"), PII_KEY)
     return found.select("source_table", "row_id", "kind", "surface").distinct()
 
 
