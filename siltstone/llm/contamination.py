@@ -10,10 +10,13 @@ its ranks.  Occurrences are located by walking back to sampled suffix positions
 overlapping ones merge into the spans to remove.
 
 Scale: shards are built inside the tasks that scan the corpus, so the corpus is read
-once and never shuffled; a shard holds at most ``SHARD_WORDS`` kept words, so memory
-does not depend on the corpus or on how often one passage was copied.  The passages
-are a stated query set: they are searched in blocks of at most ``BLOCK_WORDS`` words,
-one pass over the corpus for each block, so what is broadcast is bounded too.
+once and never shuffled; a shard holds at most ``SHARD_WORDS`` kept words and texts of
+``SHARD_CHARS`` characters (or one longer text), so memory does not depend on the corpus
+or on how often one passage was copied.  The passages are a stated query set: they are
+searched in blocks of at most ``BLOCK_WORDS`` words (or one longer passage), one pass over
+the corpus for each block.  A full block is searched, its spans written to the shared
+folder and its broadcast let go before the next passage is read, so neither the driver
+nor a task ever holds more than one block, however many passages there are.
 
 Defined results for odd input: null and empty texts and passages match nothing;
 passages under ``least`` words cannot match; repeated documents are each reported;
@@ -31,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.llm.words import word_spans, words
+from siltstone.session import materialize
 
 LEAST_WORDS = 12
 SHARD_WORDS = 2_000_000
+SHARD_CHARS = 32_000_000
 BLOCK_WORDS = 500_000
 SAMPLE_EVERY = 16
 
@@ -146,14 +151,14 @@ def _runs(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return a[long], b[long]
 
 
-def _search_shard(known: _Phrases | SimpleNamespace, shard: list[tuple[int, str, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple]:
-    """shard: (doc_id, text, ids, run starts, run ends); gives (doc_id, item_id, first word, words, char start, char end)."""
+def _search_shard(known: _Phrases | SimpleNamespace, shard: list[tuple[int, str, list[np.ndarray], np.ndarray]]) -> list[tuple]:
+    """shard: (doc_id, text, the ids of its stretches, their first words); gives (doc_id, item_id, first word, words, char start, char end)."""
     pieces, doc_of, start_of, begin_of, at = [], [], [], [], 0
-    for d, (_, _, ids, a, b) in enumerate(shard):
-        for s, e in zip(a.tolist(), b.tolist(), strict=True):
-            pieces += [ids[s:e], np.zeros(1, ids.dtype)]
+    for d, (_, _, stretches, starts) in enumerate(shard):
+        for ids, s in zip(stretches, starts.tolist(), strict=True):
+            pieces += [ids, np.zeros(1, ids.dtype)]
             doc_of.append(d), start_of.append(s), begin_of.append(at)
-            at += e - s + 1
+            at += len(ids) + 1
     index = FmIndex(np.concatenate(pieces), len(known.ids))
     phrase, lo, hi = index.search(known.phrases)
     count = hi - lo
@@ -185,32 +190,21 @@ _SCHEMA = "doc_id bigint, item_id bigint, first_word int, n_words int, char_star
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int32()), ("n_words", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32())])
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The merged spans of each document that hold at least ``least`` consecutive words of a passage.
 
     ``documents``: doc_id, text; ``items``: item_id, passage; further columns are ignored.
     One row per (document, item, span): word and code-point positions in the text.
     """
     spark = documents.sparkSession
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    size = 0
-    for row in items.select("item_id", "passage").where("passage is not null").toLocalIterator():
-        ws = words(row["passage"])
-        if len(ws) < least:
-            continue
-        if size + len(ws) > block_words and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], ws))
-        size += len(ws)
 
-    def one_block(passages: list[tuple[int, list[str]]]) -> DataFrame:
+    def one_block(passages: list[tuple[int, list[str]]], last: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(vars(_Phrases(passages, least)))  # bounded by block_words
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = SimpleNamespace(**shared.value)
             get = known.ids.get
-            shard, kept = [], 0
+            shard, kept, chars = [], 0, 0
             flush = lambda s: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW) if (rows := _search_shard(known, s)) else None
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -219,19 +213,36 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
                         continue
                     ids = np.fromiter((get(w, 0) for w in ws), np.int32, len(ws))
                     a, b = _runs(ids, least)
-                    if len(a):
-                        shard.append((doc_id, text, ids, a, b))
+                    if len(a):  # only the stretches are kept of the ids
+                        shard.append((doc_id, text, [ids[s:e].copy() for s, e in zip(a.tolist(), b.tolist(), strict=True)], a))
                         kept += int((b - a).sum())
-                        if kept >= shard_words:
+                        chars += len(text)
+                        if kept >= shard_words or chars >= shard_chars:
                             if out := flush(shard):
                                 yield out
-                            shard, kept = [], 0
+                            shard, kept, chars = [], 0, 0
             if shard and (out := flush(shard)):
                 yield out
 
-        return documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, _SCHEMA)
+        found = documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, _SCHEMA)
+        if not last:
+            found = materialize(found)
+            shared.destroy()
+        return found
 
-    return reduce(DataFrame.unionByName, [one_block(b) for b in blocks])
+    results: list[DataFrame] = []
+    held: list[tuple[int, list[str]]] = []
+    size = 0
+    for row in items.select("item_id", "passage").where("passage is not null").toLocalIterator():
+        ws = words(row["passage"])
+        if len(ws) < least:
+            continue
+        if held and size + len(ws) > block_words:
+            results.append(one_block(held, False))
+            held, size = [], 0
+        held.append((row["item_id"], ws))
+        size += len(ws)
+    return reduce(DataFrame.unionByName, [*results, one_block(held, True)])
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:

@@ -100,16 +100,12 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     at, value = boundaries(text)
     fewest = 1 + -(-(size - limit) // step)
     best: tuple[int, list[int]] | None = None
-    for n in range(fewest, fewest + 3):
+    n = fewest
+    while best is None or (best[0] < SENTENCE and n < fewest + 3):  # more pieces until one try fits, then two more for stronger boundaries
         found = _snap(text, n, at, value, limit, overlap)
-        if found is None:
-            continue
-        weakest, ends = found
-        if best is None or weakest > best[0]:
-            best = (weakest, ends)
-        if weakest >= SENTENCE:
-            break
-    assert best is not None  # three pieces more than needed always have room
+        if found is not None and (best is None or found[0] > best[0]):
+            best = found
+        n += 1
     return best[1]
 
 

@@ -38,7 +38,7 @@ def run(spark, docs, items, **how):
     return C.leaked_spans(d, q, **how).collect()
 
 
-@pytest.mark.parametrize("how", [{}, {"shard_words": 20}, {"block_words": 30}])
+@pytest.mark.parametrize("how", [{}, {"shard_words": 20}, {"block_words": 30}, {"shard_chars": 200}])
 def test_against_brute_force(spark, how):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(30)]
