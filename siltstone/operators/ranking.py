@@ -31,6 +31,26 @@ def terms(corpus: DataFrame, key: str, text: str) -> DataFrame:
     return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
 
 
+def term_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf, norm): the distinct tokens of every text, counted in the row, and the length of their vector.
+
+    Nothing is shuffled; what joins the result meets rows that are counted already.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().dictionary_encode()
+            lengths = np.asarray(batch.column(1).value_lengths().fill_null(0)).astype(np.int64)
+            row, size = np.repeat(np.arange(batch.num_rows), lengths), max(len(flat.dictionary), 1)
+            each, tf = np.unique(row * size + flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            row, word = each // size, each % size
+            norm = np.sqrt(np.bincount(row, tf * tf, minlength=batch.num_rows))[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), flat.dictionary.take(pa.array(word)), pa.array(tf.astype(np.int64)), pa.array(norm)], names=["key", "token", "tf", "norm"])
+
+    kind = corpus.schema[key].dataType.simpleString()
+    return corpus.select(key, tokens(F.col(text)).alias("t")).mapInArrow(count, f"`{key}` {kind}, token string, tf bigint, norm double")
+
+
 def query_terms(queries: DataFrame, query: str, query_text: str) -> DataFrame:
     """(query, token, qtf)."""
     return queries.select(query, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
@@ -85,11 +105,10 @@ def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query
     Without ``k`` every hit comes out, unranked.
     """
     q = query_terms(queries, query, query_text)
-    p = terms(corpus, key, text).groupBy(key, "token").agg(F.count("*").alias("tf"))
-    norms = p.groupBy(key).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    dots = p.join(q, "token").groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"))
-    scored = dots.join(norms, key).join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    met = term_counts(corpus, key, text).join(q, "token")
+    dots = met.groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.max("norm").alias("norm"))
+    scored = dots.join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return scored if k is None else top(scored, query, key, k)
 
 

@@ -39,14 +39,14 @@ def greedy_budget(items: DataFrame, key: str, score: str, size: str, budget: int
 def prefix_budget(rows: DataFrame, group: str, position: str, size: str, budget: int, separator: int = 1, block: int = 4096) -> DataFrame:
     """The rows of each group, in order, until the next would exceed the budget, with ``used`` so far.
 
-    Positions are whole numbers, one row each, with or without gaps.  What stands before
+    Positions are whole numbers, one row each, with or without gaps; rows without one are in no prefix.  What stands before
     a block of ``block`` positions is a running sum over blocks, so only blocks that the
     budget reaches are looked at row by row, each on its own, whatever the group holds.
     """
     if separator < 1:
         raise ValueError("the separator must cost at least 1")
     cost = F.coalesce(F.col(size), F.lit(0)) + separator
-    here = rows.withColumn("_block", F.floor(F.col(position) / block).cast("bigint"))
+    here = rows.where(F.col(position).isNotNull()).withColumn("_block", F.floor(F.col(position) / block).cast("bigint"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = here.groupBy(group, "_block").agg(F.sum(cost).alias("_cost")).withColumn("_before", F.coalesce(F.sum("_cost").over(before), F.lit(0))).where(F.col("_before") < budget)
     w = Window.partitionBy(group, "_block").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
