@@ -141,6 +141,7 @@ def s25_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] in "alpuwxs" and k[1:3].isdigit()}
 _D = "documents where text is not null"
+_FIRST = lambda c: f"array_to_string(list_filter({c}, lambda x, i: list_position({c}, x) = i)[:3], ',')"
 _OPEN = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(text, '(?ms)^##+ Open Questions[^\\n]*\\n(.*)\\z', 1), '(?ms)^##+ .*\\z', ''), '\\A\\s+', ''), '\\s+\\z', '')"
 ORACLES = {
     "a07_daily_tools": "select strftime(ts, '%Y-%m-%d') \"day\", event_type, count(*) n from events group by 1, 2",
@@ -157,6 +158,7 @@ ORACLES = {
     "w10_first_references": "select source_file, reference, arg_min(turn_id, (line_no, turn_id)) turn_id from (select source_file, line_no, turn_id, unnest(regexp_extract_all(text, 'https?://[^\\s<>\"'']+|[A-Za-z0-9][A-Za-z0-9_.:/?&=%+-]{31,}')) reference from session_turns where source_file is not null and text is not null and line_no is not null) group by 1, 2",
     "w14_cursors": "select user_id, max(event_id) \"cursor\" from events group by 1 order by max(ts) desc, user_id limit 50",
     "x13_symbols": f"select distinct doc_id, unnest(regexp_extract_all(text, '\\b(?:class|interface|trait|enum|function)\\s+([A-Za-z_]\\w*)', 1)) symbol from {_D}",
+    "x16_entities": f"with e as (select entry_id, regexp_extract_all(transcript, '[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\\.[a-z]{{1,5}}') p, regexp_extract_all(transcript, '\\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\\b') c from whisper_history where transcript is not null) select entry_id, {_FIRST('p')} paths, {_FIRST('c')} classes from e",
     "x17_open_work": f"select doc_id, md5(b) open_md5 from (select doc_id, {_OPEN} b from {_D}) where lower(b) not in ('', 'none', '- none', 'n/a', '-', '(none)')",
     "s27_logs": "with d as (select distinct strftime(ts + interval 500 days, '%Y-%m-%d') x from events) select log_date::varchar \"day\", count(*) sections, sum(length(text)) chars, log_date::varchar in (select x from d) has_drawer from daily_chunks where log_date is not null group by 1, 4",
     "s25_taxonomy": "select article_id, md5(concat_ws(chr(10), 'title: ' || nullif(trim(title), ''), 'type: ' || nullif(trim(\"type\"), ''), 'excerpt: ' || nullif(trim(excerpt), ''))) taxonomy_md5 from articles",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import graph, lint, ranking, selection
 from siltstone.operators.search import search
+from siltstone.plans.analytics import ORACLES as ANALYTICS
 from siltstone.plans.analytics import a10_hotspots, a11_cochange, m01_priority
 from siltstone.plans.graphs import page_edges
 from siltstone.plans import quality
@@ -170,6 +171,7 @@ ORACLES = {
     "f10_prefix": f"select doc_id, path from {_D} and starts_with(path, 'concepts/retry-queue')",
     "f11_accessors": "select regexp_matches(name, '^(?:get|set|is|has|add|remove|merge|route)_') accessor, count(*) n from (select unnest(regexp_extract_all(transcript, '\\b([a-z]+_[a-z_]+)', 1)) name from whisper_history) group by 1",
     "j11_preflight": f"with {cosine_sql(_DOCS, 'select item_id qid, passage q from benchmark_items', 'hits')}, t as (select * from hits qualify {_RANK} <= 5) select id doc_id, max(score) score, count(*) passages from t where score >= 0.2 group by 1",
+    "j17_file_deps": f"select p_partkey path, p_brand, coalesce(commits, 0) commits, coalesce(bus_factor, 0) bus_factor, coalesce(c.n, 0) partners from part left join ({ANALYTICS['a10_hotspots']}) h on h.path = p_partkey left join (select path, count(*) n from ({ANALYTICS['a11_cochange']}) group by 1) c on c.path = p_partkey",
     "k14_report": f"select '- **' || severity || '** ' || \"check\" || ': ' || n line from ({quality.ORACLES['lint_totals']})",
     "k16_pruned": "select zone_id from article_zones where slug in (select slug from articles where slug is not null)",
     "p25_citations": f"with {bm25_sql(_DOCS, _QS)} select qid item_id, 'c' || {_RANK} citation, id doc_id from hits qualify {_RANK} <= 4",
