@@ -131,7 +131,19 @@ _TRIMMED = "regexp_replace(regexp_replace({0}, '\\A[\\s\\p{{Z}}]+', ''), '[\\s\\
 _GRAMS = "select distinct {key}, array_to_string(w[i : i + {more}], ' ') g from {rows}, unnest(range(1, len(w) - {more} + 1)) u(i)"
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _SEEN = "regexp_replace({0}, '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{206F}}\\x{{FEFF}}]', '', 'g')"
+_UUID = "regexp_extract(lower({0}), '^\\s*(?:\\{{|urn:uuid:)?([0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})(?:\\}}|\\.jsonl?)?\\s*$', 1)"
+_MICROS = "case when length(trim(ts)) = 10 then try_cast(ts as bigint) * 1000000 when length(trim(ts)) = 13 then try_cast(ts as bigint) * 1000 else epoch_us(try_cast(regexp_replace(ts, '([+-][0-9]{2})([0-9]{2})$', '\\1:\\2') as timestamptz)) end"
+_NOTICE = " or ".join("regexp_matches(flat, '" + p.replace("'", "''") + "')" for p in conversations.NOTICES)
+#: One row per line of a session: its speaker and what kind of turn it is (1 user, 2 assistant's reply, 3 a client's notice).
+_LINES = f"""r as (select turn_id, {_UUID.format('session_id')} sid, coalesce(source_file, '') f, line_no l, {_MICROS} us, coalesce(text, '') text, regexp_replace(coalesce(text, ''), '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g') flat,
+  regexp_replace(lower(coalesce("role", '')), '[\\s\\p{{Z}}:]+', '', 'g') ro from session_turns),
+ k as (select *, case when ro in ('user', 'human', 'you', 'me', 'customer', 'prompt') then 'u' when ro in ('assistant', 'agent', 'ai', 'bot', 'model', 'chatbot') then 'a' when ro in ('tool', 'tool_result', 'tool_use', 'tool_call', 'function', 'function_call', 'system', 'developer', 'environment') then 'o' end who, flat <> '' seen from r where sid <> ''),
+ t as (select sid, f, l, text, min(turn_id) id, min(us) us, bool_or(seen and who is null) nameless, arg_min(case when not seen then 0 when who = 'u' then 1 when who = 'a' and ({_NOTICE}) then 3 when who = 'a' then 2 else 0 end, turn_id) kind from k group by 1, 2, 3, 4),
+ fl as (select sid, f, min(us) began, count(*) = count(distinct l) and min(l) = 1 and max(l) = count(*) whole, bool_or(nameless) nameless from t group by 1, 2),
+ o as (select t.sid, t.id, t.kind, row_number() over w pos, lead(t.kind) over w nxt from t join fl using (sid, f) where kind > 0 window w as (partition by t.sid order by began nulls last, f, l)),
+ good as (select sid from o group by 1 having bool_and(kind <> 1 or coalesce(nxt, 0) = 2) and arg_min(kind, pos) = 1)"""
 ORACLES: dict[str, str] = {
+    "p1_found": f"""with {_LINES} select o.sid session_id, pos::int turn_pos, id turn_id from o where sid in (select sid from good) and sid not in (select sid from fl where not whole or whole is null or nameless) and sid in (select {_UUID.format('session_id')} from agent_sessions where session_id is not null)""",
     "p5_found": f"""with z as (select distinct slug, {_WORDS.format('observed')} w from article_zones where observed is not null and slug in (select slug from articles)),
  g as ({_GRAMS.format(key='slug, w', more=2, rows='z')}), n as (select slug, w, count(*) n from g group by 1, 2),
  c as (select a.slug s1, a.w w1, b.slug s2, b.w w2, count(*) c from g a join g b using (g) where a.slug < b.slug group by 1, 2, 3, 4)
