@@ -174,6 +174,16 @@ def snippet(text: Column, width: int) -> Column:
     return F.when(F.length(flat) <= width, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, width)), F.lit("…")))
 
 
+#: The metadata that a slim hit keeps.
+SLIM_METADATA = ("type", "confidence", "quarantined", "updated", "zone")
+
+
+def slim_hit(text: Column, title: Column, slug: Column, metadata: Column) -> Column:
+    """A hit as readers get it: a snippet of 220 characters, the slug where there is no title, and a few of the metadata (a map)."""
+    kept = F.map_filter(metadata, lambda k, v: k.isin(*SLIM_METADATA) & v.isNotNull())
+    return F.struct(slug.alias("slug"), F.coalesce(F.nullif(F.trim(title), F.lit("")), slug).alias("title"), snippet(text, 220).alias("snippet"), kept.alias("metadata"))
+
+
 def match_context(text: Column, query: str, around: int = 80) -> Column:
     """The text ``around`` characters before and after the first place of the query; null without one."""
     at = F.locate(query, text)

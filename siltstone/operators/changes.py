@@ -24,3 +24,54 @@ def partition_sources(sources: DataFrame, done: DataFrame, failures: DataFrame,
     joined = sources.join(d, key, "left").join(f, key, "left")
     state = F.when(F.col(digest) == F.col("_done"), "done").when((F.col(digest) == F.col("_failed")) & (F.col("_attempts") >= attempts), "exhausted").otherwise("selected")
     return joined.select(key, state.alias("state"))
+
+
+def failure_counts(attempts: DataFrame, key: str, digest: str, order: str, failed: str) -> DataFrame:
+    """(key, digest, attempts) of every key's last content: how often it has failed since it last changed or was done.
+
+    ``attempts``: one row per attempt, ``order`` unique within its key.  A changed digest and
+    a success both start the count anew.  Aggregates only: no key's history is gathered.
+    """
+    rows = attempts.select(F.col(key).alias("_k"), F.col(digest).alias("_d"), F.col(order).alias("_o"), F.coalesce(F.col(failed), F.lit(False)).alias("_f"))
+    last = rows.groupBy("_k").agg(F.max_by("_d", "_o").alias("_last"))
+    known = rows.join(last, "_k")
+    reset = known.groupBy("_k").agg(F.first("_last").alias("_last"), F.max(F.when(~F.col("_d").eqNullSafe(F.col("_last")) | ~F.col("_f"), F.col("_o"))).alias("_reset"))
+    open_ = rows.join(reset, "_k").where(F.col("_reset").isNull() | (F.col("_o") > F.col("_reset")))
+    counted = open_.groupBy("_k").agg(F.count("*").alias("attempts"))
+    return reset.join(counted, "_k", "left").select(F.col("_k").alias(key), F.col("_last").alias(digest), F.coalesce("attempts", F.lit(0)).alias("attempts"))
+
+
+def retry_gate(sources: DataFrame, failures: DataFrame, key: str, digest: str, most: int = 3) -> DataFrame:
+    """``sources`` without those whose content is unchanged since it failed ``most`` times; a changed one goes on."""
+    gone = failures.where(F.col("attempts") >= most).select(key, digest)
+    return sources.join(gone, [key, digest], "left_anti")
+
+
+def independent_tips(touched: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """(branch, path) without the branches that are an ancestor of another branch on the same path.
+
+    ``ancestry``: ancestor, branch.
+    """
+    t = touched.select("branch", "path").distinct()
+    below = t.join(ancestry.select("ancestor", "branch"), "branch").select(F.col("ancestor").alias("branch"), "path").distinct()
+    return t.join(below, ["branch", "path"], "left_anti")
+
+
+def conflicts(touched: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """(path, branches): paths that at least two independent tips touch."""
+    return independent_tips(touched, ancestry).groupBy("path").agg(F.count("*").alias("branches")).where("branches >= 2")
+
+
+def branch_pairs(touched: DataFrame, member: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of branches, none an ancestor of the other, with the communities that both touch.
+
+    ``member``: path, community.  Pairs that share one community by one and the same path
+    only are direct conflicts, not risks, and are left out.  Branches are a stated small set;
+    each is reduced to its distinct communities before it meets another.
+    """
+    t = touched.select("branch", "path").distinct().join(member.select("path", "community"), "path")
+    b = t.groupBy("branch", "community").agg(F.count("*").alias("n"), F.min("path").alias("one"))
+    pairs = b.select(F.col("branch").alias("a"), "community", F.col("n").alias("n_a"), F.col("one").alias("one_a")).join(b.select(F.col("branch").alias("b"), "community", F.col("n").alias("n_b"), F.col("one").alias("one_b")), "community").where("a < b")
+    pairs = pairs.where("not (n_a = 1 and n_b = 1 and one_a = one_b)")
+    related = ancestry.select(F.least("ancestor", "branch").alias("a"), F.greatest("ancestor", "branch").alias("b")).distinct()
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).join(related, ["a", "b"], "left_anti")

@@ -52,8 +52,8 @@ def g03_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g10_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The communities' sizes and hubs, largest first."""
-    return graph.communities(page_edges(spark, sf_dir)).select("community_id", "hub", "size").distinct()
+    """The communities' sizes, hubs and labels, largest first."""
+    return graph.communities(page_edges(spark, sf_dir)).select("community_id", "hub", "size", "label").distinct()
 
 
 def j11_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:

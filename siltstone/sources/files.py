@@ -6,6 +6,8 @@ table's rule says, and nothing is listed or read on the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,11 +101,32 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def tool_events(spark: SparkSession, path: str) -> DataFrame:
     """Tool calls of JSONL files; malformed lines and values that are no objects are skipped."""
-    v = spark.read.text(path).withColumn("v", F.try_parse_json("value")).where("schema_of_variant(v) like 'OBJECT%'")
+    return tool_calls(spark.read.text(path))
+
+
+def tool_calls(lines: DataFrame) -> DataFrame:
+    """Tool calls of JSON lines (value)."""
+    v = lines.withColumn("v", F.try_parse_json("value")).where("schema_of_variant(v) like 'OBJECT%'")
     get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind).alias(name)
     return v.select(get("ts", "string"), get("session_id", "string"), get("tool", "string"), F.to_json(F.try_variant_get("v", "$.input", "variant")).alias("input"), get("result_size", "bigint"), get("ok", "boolean"))
 
 
+def tool_events_of(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """Tool calls of all sessions of one day; a day not written YYYY-MM-DD raises, one without a file gives no rows."""
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day):
+        raise ValueError(f"not a day: {day!r}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{day}.jsonl")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return tool_calls(spark.createDataFrame([], "value string"))
+    return tool_events(spark, f"{folder}/{day}.jsonl")
+
+
+def discover_sessions(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(path, length, modified) of the session files below a root; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return found.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 #: The two dialects of agent histories: which line kinds hold a message, and where.
 DIALECTS = {
     "typed": {"where": "$.type", "kinds": ("user", "assistant"), "role": "$.message.role", "content": "$.message.content", "id": "$.sessionId", "cwd": "$.cwd", "ts": "$.timestamp"},

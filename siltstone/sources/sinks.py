@@ -176,6 +176,34 @@ def append_logs(entries: DataFrame, logs: str, index: str, chunk: Callable[[Data
     return True
 
 
+def zone_rows(rows: DataFrame, zones: tuple[str, ...] = ("observed", "synthesized")) -> DataFrame:
+    """Rows (slug, zone, text) that may be written: blank texts are left out, any other zone raises when it is met."""
+    known = F.when(F.col("zone").isin(*zones), F.col("zone")).otherwise(F.raise_error(F.concat(F.lit("unknown zone "), F.coalesce("zone", F.lit("null")))))
+    return rows.where(F.trim("text") != "").withColumn("zone", known)
+
+
+class CachedTable:
+    """A table made by ``build`` and kept in memory until its sentinel file is touched."""
+
+    def __init__(self, spark: SparkSession, sentinel: str, build: Callable[[], DataFrame]) -> None:
+        self.spark, self.build = spark, build
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(sentinel)
+        self.seen: int | None = None
+        self.held: DataFrame | None = None
+
+    def _modified(self) -> int:
+        fs = self.path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.getFileStatus(self.path).getModificationTime() if fs.exists(self.path) else 0
+
+    def read(self) -> DataFrame:
+        now = self._modified()
+        if self.held is None or now != self.seen:
+            if self.held is not None:
+                self.held.unpersist()
+            self.held, self.seen = self.build().persist(), now
+        return self.held
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Writes the partitions that ``df`` holds and leaves the others as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

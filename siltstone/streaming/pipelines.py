@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.operators.selection import prefix_budget
 from siltstone.sources.sinks import replace_partitions
 
 
@@ -76,6 +77,16 @@ def fresh_turns(turns: DataFrame) -> DataFrame:
     return turns.select("session_id", F.col("ordinal").cast("bigint").alias("ordinal"), "text").groupBy("session_id").applyInPandasWithState(step, schema, "cursor bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def fresh_window(turns: DataFrame, cursors: DataFrame, budget: int) -> DataFrame:
+    """The turns (session_id, ordinal, text) at or after each session's cursor, oldest first, until the budget of characters is used.
+
+    ``cursors``: session_id, cursor; a session without one starts at 0.  Nothing is skipped:
+    the next call goes on where this one stopped.
+    """
+    new = turns.join(cursors.select("session_id", "cursor"), "session_id", "left").where(F.col("ordinal") >= F.coalesce("cursor", F.lit(0))).drop("cursor")
+    return prefix_budget(new.withColumn("_chars", F.length(F.coalesce("text", F.lit("")))), "session_id", "ordinal", "_chars", budget).drop("_chars")
+
+
 def lease_queue(jobs: DataFrame, now_s: int, lease_s: int = 300, attempts: int = 5) -> DataFrame:
     """(job_id, state) of queued jobs, oldest first: corrupt, exhausted, leased or ready.
 
