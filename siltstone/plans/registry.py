@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 
-from siltstone.plans import analytics, catalog, codebase, extras, graphs, instants, quality, search, sessions, text
+from siltstone.plans import analytics, catalog, codebase, extras, graphs, instants, quality, reports, search, sessions, text
 
-MODULES = (instants, text, search, analytics, graphs, quality, catalog, extras, codebase, sessions)
+MODULES = (instants, text, search, analytics, graphs, quality, catalog, extras, codebase, sessions, reports)
 
 
 def _named(name: str) -> str:
