@@ -21,7 +21,7 @@ def test_gives_the_same_rows_again(spark, small, name):
     """Queries without SQL are compared in test_twins and test_pages; here: rows, a schema, and no dependence on partitions."""
     first = QUERIES[name](spark, small)
     rows = sorted(map(str, first.collect()))
-    assert first.columns and rows
+    assert first.columns and (rows or name == "g07_cycles_pages")  # the small documents have no cycle
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         again = QUERIES[name](spark, small)
