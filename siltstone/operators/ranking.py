@@ -19,20 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokens
-from siltstone.session import materialize
+from siltstone.session import broadcast_if_small, materialize
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 QUERY_BLOCK = 4096
 
 
-def terms(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, dl, token): every token of every text, with how many the text has."""
-    t = corpus.select(key, tokens(F.col(text)).alias("t"))
-    return t.select(key, F.size("t").alias("dl"), F.explode("t").alias("token"))
-
-
 def term_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf, norm): the distinct tokens of every text, counted in the row, and the length of their vector.
+    """(key, dl, token, tf, norm): the distinct tokens of every text, counted in the row, with how many the text has and the length of their vector.
 
     Nothing is shuffled; what joins the result meets rows that are counted already.
     """
@@ -45,10 +39,10 @@ def term_counts(corpus: DataFrame, key: str, text: str) -> DataFrame:
             each, tf = np.unique(row * size + flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
             row, word = each // size, each % size
             norm = np.sqrt(np.bincount(row, tf * tf, minlength=batch.num_rows))[row]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), flat.dictionary.take(pa.array(word)), pa.array(tf.astype(np.int64)), pa.array(norm)], names=["key", "token", "tf", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(lengths[row]), flat.dictionary.take(pa.array(word)), pa.array(tf.astype(np.int64)), pa.array(norm)], names=["key", "dl", "token", "tf", "norm"])
 
     kind = corpus.schema[key].dataType.simpleString()
-    return corpus.select(key, tokens(F.col(text)).alias("t")).mapInArrow(count, f"`{key}` {kind}, token string, tf bigint, norm double")
+    return corpus.select(key, tokens(F.col(text)).alias("t")).mapInArrow(count, f"`{key}` {kind}, dl bigint, token string, tf bigint, norm double")
 
 
 def query_terms(queries: DataFrame, query: str, query_text: str) -> DataFrame:
@@ -89,11 +83,8 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str,
     """
     idf, total = corpus_statistics(corpus, text)
     q = query_terms(queries, query, query_text)
-    weighed = q.join(idf, "token")
-    # terms are cut to the queries' tokens in the scan, before anything is shuffled with them
-    met = terms(corpus, key, text).join(q.select("token").distinct(), "token", "left_semi")
-    tf = met.groupBy(key, "dl", "token").agg(F.count("*").alias("tf"))
-    hits = tf.join(weighed, "token").join(F.broadcast(total))  # one row
+    # the texts' tokens are counted in the row and cut to the queries' tokens before anything is shuffled with them
+    hits = term_counts(corpus, key, text).join(broadcast_if_small(q.join(idf, "token")), "token").join(F.broadcast(total))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy(query, key).agg(F.round(F.sum(part), 6).alias("score"))
     return scored if k is None else top(scored, query, key, k)
@@ -104,7 +95,7 @@ def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query
 
     Without ``k`` every hit comes out, unranked.
     """
-    q = query_terms(queries, query, query_text)
+    q = broadcast_if_small(query_terms(queries, query, query_text))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     met = term_counts(corpus, key, text).join(q, "token")
     dots = met.groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.max("norm").alias("norm"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "siltstone", cpus: int | str = "*", memory: str = "8g") -> SparkSession:
@@ -46,6 +47,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` written down and counted; with a hint to broadcast it if it has at most ``rows`` rows, else without.
+
+    A larger side is joined by a shuffle, with the same result.
+    """
+    held = materialize(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
