@@ -66,7 +66,6 @@ _CODE = re.compile(
 _CODE_HINT = re.compile(r"[;{}()=$@\\]|->|::|^\s*(?:import|from|use|package|using|namespace)\s|//|/\*|#!")
 _FRONTMATTER = re.compile(r"\A\s*---[ \t]*\r?\n(.*?\r?\n)??---[ \t]*(?:\r?\n|\Z)", re.S)
 _CLOSED = re.compile(r"[.!?:。！？…؟۔।॥։።။។｡][\"'”’)\]*_`」』）]*\s*$")
-_MARKED = re.compile(r"\s*(?:[-*+•>|#]|\d+[.)])")
 
 
 def _tokens(text: str, unspaced: bool) -> list[str]:
