@@ -72,9 +72,9 @@ def bare_session_id(value: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def visible(text: Column) -> Column:
-    """The text without blank space and invisible characters; null and empty texts give ''."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}\p{Cc}\p{Cf}\x{2800}\x{3164}\x{115F}\x{1160}\x{FFA0}\x{034F}]+", "")
+def is_visible(text: Column) -> Column:
+    """Whether a text holds more than blank space and invisible characters; null and empty texts do not."""
+    return F.coalesce(text, F.lit("")).rlike(r"[^\s\p{Z}\p{Cc}\p{Cf}\x{2800}\x{3164}\x{115F}\x{1160}\x{FFA0}\x{034F}]")
 
 
 def role_class(role: Column) -> Column:
@@ -85,11 +85,10 @@ def role_class(role: Column) -> Column:
 
 def is_notice(text: Column) -> Column:
     """Whether an assistant's text, of whatever length, is only a client's notice of failure, interruption or absence."""
-    flat = F.regexp_replace(text, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")
-    hit = F.lit(False)
-    for pattern in NOTICES:
-        hit = hit | flat.rlike(pattern)
-    return hit
+    edge = r"[\s\p{Z}\p{Cf}]*"
+    # one pattern, looked for once: the text is not copied for each of them
+    any_ = "|".join(p.removeprefix("(?i)^").removesuffix("$") for p in NOTICES)
+    return text.rlike(f"(?i)^{edge}(?:{any_}){edge}$")
 
 
 def row_micros(ts: Column) -> Column:
@@ -105,7 +104,7 @@ def row_micros(ts: Column) -> Column:
 def segments(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """One row per (sid, file, seg): its lines in order and what the graph step has to know of it."""
     text, role = F.col("text"), role_class(F.col("role"))
-    seen = visible(text) != ""
+    seen = is_visible(text)
     rows = turns.select(
         "turn_id",
         bare_session_id(F.col("session_id")).alias("sid"),

@@ -212,9 +212,16 @@ def linked(names: list[str]) -> list[str]:
         return head, initials, " ".join(w for w in words[1:] if len(w) > 1)
 
     known = {n: parts(n) for n in set(names)}
+    families: dict[str, list[str]] = {}
+    for n in sorted(known):
+        families.setdefault(known[n][2], []).append(n)
     out = {}
     for name, (head, initials, family) in known.items():
-        longer = [o for o, (h, i, f) in known.items() if o != name and f == family and len(h) > 1 and ((len(head) == 1 and h[0] == head and i[: len(initials)] == initials) or (h == head and not initials and i))]
+        longer = []
+        for o in families[family]:
+            h, i, _ = known[o]
+            if o != name and len(h) > 1 and ((len(head) == 1 and h[0] == head and i[: len(initials)] == initials) or (h == head and not initials and i)):
+                longer.append(o)
         out[name] = longer[0] if len(longer) == 1 else name
     return [out[out[n]] for n in names]
 
