@@ -10,7 +10,7 @@ hits; vectors of zero length or null have similarity 0 and no rank.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -116,53 +116,71 @@ def fuse(streams: DataFrame, query: str, key: str, k: int, rrf_k: int = RRF_K) -
     return fused.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_seen")
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-10)
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1))
+
+
+def _nearest(cosine: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, of equal scores (6 digits) the least keys."""
+    n = min(k, cosine.shape[1])
+    near = np.round(cosine, 6)
+    row, col = np.nonzero(near >= -np.partition(-near, n - 1, axis=1)[:, n - 1 : n])
+    order = np.lexsort((keys[col], -near[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(cosine)))[row] < n
+    return row[keep], col[keep]
+
+
+def _by_query_blocks(queries: DataFrame, key: str, vector: str, block: int, search: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """The hits of all queries, ``block`` of them at a time, each full block searched and let go before the next is read."""
+
+    def one(part: list[tuple[int, list[float]]]) -> DataFrame:
+        return search(np.array([i for i, _ in part], np.int64), _unit(np.array([v for _, v in part], np.float64).reshape(len(part), -1)))
+
+    results, held = [], []
+    for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            results.append(materialize(one(held)))
+            held = []
+    if held or not results:
+        results.append(one(held))
+    return reduce(DataFrame.unionByName, results).withColumn("cosine", F.round("cosine", 6))
+
+
+_HITS = "query_key bigint, key bigint, cosine double"
+
+
+def _hits(query: np.ndarray, key: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    ok = score > -1.5  # a row is not its own hit
+    return pa.RecordBatch.from_arrays([pa.array(query[ok]), pa.array(key[ok]), pa.array(score[ok])], names=["query_key", "key", "cosine"])
+
+
 def vector_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int | None = None, threshold: float | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_key, key, cosine) exactly: the k nearest or all at ``threshold`` and above; a row is not its own hit.
 
     Queries go to the tasks in blocks of bounded size; each task multiplies matrices and
     keeps only its own k best per query before the final choice.
     """
-    def one(part: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([i for i, _ in part], np.int64)
-        matrix = np.array([v for _, v in part], np.float64).reshape(len(part), -1)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
 
+    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
                 if not len(keys) or not len(ids):
                     continue
-                values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)
-                values /= np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-10)
-                cosine = matrix @ values.T
+                cosine = matrix @ _matrix(batch.column(1), len(keys)).T
                 cosine[ids[:, None] == keys[None, :]] = -2.0
-                if k is not None:
-                    n = min(k, len(keys))
-                    near = np.round(cosine, 6)
-                    row, col = np.nonzero(near >= -np.partition(-near, n - 1, axis=1)[:, n - 1 : n])
-                    # of equal scores the least keys, as the final choice has it
-                    order = np.lexsort((keys[col], -near[row, col], row))
-                    row, col = row[order], col[order]
-                    first = np.searchsorted(row, np.arange(len(ids)))
-                    keep = np.arange(len(row)) - first[row] < n + 1  # one more: the row itself may be among them
-                    row, col = row[keep], col[keep]
-                else:
-                    row, col = np.nonzero(cosine >= threshold - 1e-9)
-                score = cosine[row, col]
-                ok = score > -1.5
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[ok]]), pa.array(keys[col[ok]]), pa.array(score[ok])], names=["query_key", "key", "cosine"])
-
-        return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(scan, "query_key bigint, key bigint, cosine double")
+                row, col = _nearest(cosine, keys, k) if k is not None else np.nonzero(cosine >= threshold - 1e-9)
+                yield _hits(ids[row], keys[col], cosine[row, col])
 
-    results, held = [], []
-    for r in queries.select(key, vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:  # a full block is searched and let go before the next is read
-            results.append(materialize(one(held)))
-            held = []
-    if held or not results:
-        results.append(one(held))
-    found = reduce(DataFrame.unionByName, results).withColumn("cosine", F.round("cosine", 6))
+        return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(scan, _HITS)
+
+    found = _by_query_blocks(queries, key, vector, block, search)
     return found if k is None else top(found, "query_key", "key", k, "cosine")
 
 
@@ -181,35 +199,37 @@ def fit_cells(rows: DataFrame, key: str, vector: str, cells: int, sample: int =
     return centroids
 
 
-def cell_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, centroids: np.ndarray, probes: int, parts: int = 8) -> DataFrame:
+def cell_search(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, centroids: np.ndarray, probes: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_key, key, cosine, rank): the k nearest within the ``probes`` cells nearest to each query.
 
-    Every row is indexed, in its nearest cell; queries go to several cells.  Both meet per
-    (cell, part): rows of a cell are spread over ``parts`` by a hash and queries go to all
-    of them, so a cell that holds a third of the rows is not one group, and each task
-    streams its rows past the queries of its cell.
+    Every row is indexed, in its nearest cell; queries look into several cells.  Rows are
+    not moved: a task puts the rows of a batch into their cells and multiplies each cell
+    with the queries that probe it, so a cell that holds a third of the rows is spread over all tasks.
     """
-    c = centroids
 
-    def cells(many: int):  # noqa: ANN202
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :probes] if len(ids) else np.empty((0, 1), np.int64)
+        probed = np.zeros((len(ids), len(centroids)), bool)
+        probed[np.arange(len(ids))[:, None], near] = True
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                if not len(keys) or not len(ids):
                     continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                near = np.argsort(-(v @ c.T), axis=1, kind="stable")[:, :many]
-                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.reshape(-1).astype(np.int32))], names=["key", "v", "cell"])
-
-        return assign
-
-    schema = "key bigint, v array<float>, cell int"
-    here = lambda d, n: d.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null").mapInArrow(cells(n), schema)
-    indexed = here(rows, 1).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    asked = here(queries, probes).withColumnsRenamed({"key": "query_key", "v": "q"}).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = indexed.join(asked, ["cell", "part"]).where("key <> query_key")
-    scored = met.select("query_key", "key", F.round(1 - cosine_distance(F.col("v"), F.col("q")), 6).alias("cosine"))
-    return top(scored, "query_key", "key", k, "cosine")
+                values = _matrix(batch.column(1), len(keys))
+                cell = (values @ centroids.T).argmax(1)
+                for c in np.unique(cell).tolist():
+                    here, asking = np.flatnonzero(cell == c), np.flatnonzero(probed[:, c])
+                    if len(asking):
+                        cosine = matrix[asking] @ values[here].T
+                        cosine[ids[asking][:, None] == keys[here][None, :]] = -2.0
+                        row, col = _nearest(cosine, keys[here], k)
+                        yield _hits(ids[asking[row]], keys[here[col]], cosine[row, col])
+
+        return rows.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(scan, _HITS)
+
+    return top(_by_query_blocks(queries, key, vector, block, search), "query_key", "key", k, "cosine")
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -3,7 +3,7 @@
 Method: each value is parsed into a *local* wall-clock time plus whatever names its
 zone.  A zone given as an offset or a fixed abbreviation needs no lookup.  All
 other local times are as-of joined to a table of zone-offset intervals, exploded to
-one bucket per (zone, year): two matching intervals mean the local time is ambiguous
+one bucket per (zone, four years): two matching intervals mean the local time is ambiguous
 (the earlier instant is taken), none means it was skipped by a change (the offset
 before the change is used), one gives the offset directly.
 
@@ -44,6 +44,8 @@ ABBREVIATIONS = {
 MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 
 FIRST_YEAR, LAST_YEAR = 1970, 2128
+#: Years of one bucket: fewer rows for the driver against more intervals to look through.
+SPAN = 4
 #: Seconds of a time before any change in the database (1800).
 EARLIEST = -5_364_662_400
 
@@ -119,14 +121,15 @@ def _bucket_table(first: int, last: int) -> pa.Table:
     flat = zone_intervals(first, last)
     zones = flat["zone_key"].to_numpy(zero_copy_only=False)
     start, end, off = (flat[c].to_numpy() for c in ("utc_start", "utc_end", "off"))
-    years = np.arange(first - 1, last + 1)
-    edge = np.array([np.datetime64(f"{y}-01-01", "s").astype(np.int64) for y in range(first - 2, last + 3)])
+    years = np.arange(first - 1, last + 1, SPAN)
+    edge = lambda y: np.array([np.datetime64(f"{x}-01-01", "s").astype(np.int64) for x in y])
+    begins, stops = edge(years - 1), edge(years + SPAN + 1)
     head = np.flatnonzero(np.r_[True, zones[1:] != zones[:-1]])
     keys, counts, members = [], [], []
     for a, b in zip(head, np.r_[head[1:], len(zones)], strict=True):
-        # the intervals that touch the year or its neighbours stand together
-        lo = a + np.searchsorted(end[a:b], edge[:-3], side="right")
-        hi = a + np.searchsorted(start[a:b], edge[3:], side="left")
+        # the intervals that touch the years or their neighbours stand together
+        lo = a + np.searchsorted(end[a:b], begins, side="right")
+        hi = a + np.searchsorted(start[a:b], stops, side="left")
         lo[0] = a  # the first bucket holds all before
         n = hi - lo
         keys += [zones[a]] * len(years)
@@ -135,13 +138,13 @@ def _bucket_table(first: int, last: int) -> pa.Table:
     at = np.concatenate(members)
     structs = pa.StructArray.from_arrays([pa.array(start[at] + off[at]), pa.array(end[at] + off[at]), pa.array(off[at])], ["lo", "hi", "off"])
     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(counts))].astype(np.int32)), structs)
-    return pa.table({"zone_key": keys, "zone_year": pa.array(np.tile(years, len(head)).astype(np.int32)), "intervals": lists})
+    return pa.table({"zone_key": keys, "bucket": pa.array(np.tile(np.arange(len(years)), len(head)).astype(np.int32)), "intervals": lists})
 
 
 def interval_buckets(spark: SparkSession, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
-    """One row per (zone, year): the intervals in local time that touch the year or its neighbours, in order.
+    """One row per (zone, bucket of years): the intervals in local time that touch the years or their neighbours, in order.
 
-    The year before the first stands for all earlier ones.
+    The first bucket stands for all earlier years too.
     """
     return spark.createDataFrame(_bucket_table(first, last))
 
@@ -278,9 +281,10 @@ def to_instant(df: DataFrame, value: str, host_zone: str | None = None, out: str
     parsed = parse_local(df, value, host_zone, p)
     year = F.year(F.date_from_unix_date(F.floor(F.col(f"{p}near") / 86_400_000_000).cast("int")))
     parsed = parsed.withColumn(f"{p}near", _bucket_time(F.col(f"{p}local")))
-    joined = parsed.withColumn(f"{p}year", F.greatest(year, F.when(year.isNotNull(), F.lit(FIRST_YEAR - 1)))).join(
-        buckets.select(F.col("zone_key").alias(f"{p}zone_key"), F.col("zone_year").alias(f"{p}zone_year"), F.col("intervals").alias(f"{p}intervals")),
-        (F.col(f"{p}zone") == F.col(f"{p}zone_key")) & (F.col(f"{p}year") == F.col(f"{p}zone_year")),
+    nth = F.floor((F.greatest(year, F.when(year.isNotNull(), F.lit(FIRST_YEAR - 1))) - (FIRST_YEAR - 1)) / SPAN).cast("int")
+    joined = parsed.withColumn(f"{p}nth", nth).join(
+        buckets.select(F.col("zone_key").alias(f"{p}zone_key"), F.col("bucket").alias(f"{p}bucket"), F.col("intervals").alias(f"{p}intervals")),
+        (F.col(f"{p}zone") == F.col(f"{p}zone_key")) & (F.col(f"{p}nth") == F.col(f"{p}bucket")),
         "left",
     )
     looked_up = lookup_utc(F.col(f"{p}near"), F.col(f"{p}intervals")) + F.col(f"{p}local") - F.col(f"{p}near")
