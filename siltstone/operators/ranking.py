@@ -10,6 +10,7 @@ hits; vectors of zero length or null have similarity 0 and no rank.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.text import tokens
 from siltstone.session import broadcast_if_small, materialize
@@ -103,6 +105,88 @@ def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query
     return scored if k is None else top(scored, query, key, k)
 
 
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+_HUMP, _OTHER = re.compile("([a-z0-9])([A-Z])"), re.compile("[^a-z0-9]+")
+
+
+class _Ids:
+    """The tokens of words as whole numbers; the queries' tokens come first."""
+
+    def __init__(self, known: list[str]) -> None:
+        self.known = {w: i for i, w in enumerate(known)}
+        self.words: dict[str, list[int]] = {}
+
+    def of(self, word: str) -> list[int]:
+        found = self.words.get(word)
+        if found is None:
+            tokens = [t for t in _OTHER.split(_HUMP.sub(r"\1 \2", word).lower()) if len(t) >= 2]
+            found = self.words[word] = [self.known.setdefault(t, len(self.known)) for t in tokens]
+        return found
+
+
+def best_windows(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, size: int, overlap: int, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, key, score, rank): texts by the cosine of token counts of their best window of ``size`` words, k per query.
+
+    Every window of every text meets every query, in the task that scans the text; only each
+    batch's k best texts per query leave it.  Queries go to the tasks in blocks of at most
+    ``block``.  A hit needs a shared token; the windows are those of ``chunking.word_windows``.
+    """
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the window")
+    asked_type = to_arrow_type(queries.schema[query].dataType)
+    kinds = tuple(df.schema[c].dataType.simpleString() for df, c in ((queries, query), (corpus, key)))
+
+    def search(part: list[tuple[object, list[str]]]) -> DataFrame:
+        asked = [q for q, _ in part]
+        vocabulary = sorted({t for _, ts in part for t in ts})
+        place = {t: i for i, t in enumerate(vocabulary)}
+        weights = np.zeros((len(part), len(vocabulary)))
+        for row, (_, ts) in zip(weights, part, strict=True):
+            for t in ts:
+                row[place[t]] += 1
+        weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-10)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = _Ids(vocabulary)
+            for batch in batches:
+                if len(ids.words) > 200_000:  # forgetting words changes no result
+                    ids = _Ids(vocabulary)
+                scores = np.zeros((len(part), batch.num_rows))
+                for j, t in enumerate(batch.column(1).to_pylist()):
+                    words = [ids.of(w) for w in _SPACE.split(t) if w]
+                    ends = np.cumsum([0, *map(len, words)])
+                    flat = np.fromiter((i for w in words for i in w), np.int64, ends[-1])
+                    at = 0
+                    while words:
+                        each, tf = np.unique(flat[ends[at] : ends[min(at + size, len(words))]], return_counts=True)
+                        shared = np.searchsorted(each, len(vocabulary))  # the queries' tokens are the least
+                        if shared:
+                            dots = weights[:, each[:shared]] @ tf[:shared]
+                            np.maximum(scores[:, j], dots / np.sqrt((tf * tf).sum()), out=scores[:, j])
+                        if at + size >= len(words):
+                            break
+                        at += size - overlap
+                near = np.round(scores, 6)
+                row, col = np.nonzero(scores > 0)
+                keys = batch.column(0).take(pa.array(col))
+                order = np.lexsort((keys.to_numpy(zero_copy_only=False), -near[row, col], row))
+                first = np.searchsorted(row[order], np.arange(len(part)))
+                keep = order[np.arange(len(row)) - first[row[order]] < k]
+                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in row[keep].tolist()], asked_type), keys.take(pa.array(keep)), pa.array(near[row[keep], col[keep]])], names=["query", "key", "score"])
+
+        return corpus.select(key, text).where(F.col(text).isNotNull() & F.col(key).isNotNull()).mapInArrow(scan, f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+
+    results, held = [], []
+    for r in queries.select(query, tokens(F.col(query_text))).where(F.col(query_text).isNotNull()).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:  # a full block is searched and let go before the next is read
+            results.append(materialize(search(held)))
+            held = []
+    if held or not results:
+        results.append(search(held))
+    return top(reduce(DataFrame.unionByName, results), query, key, k)
+
+
 def fuse(streams: DataFrame, query: str, key: str, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of (query, stream, key, rank): one vote per stream, at the best rank.
 

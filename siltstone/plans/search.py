@@ -119,12 +119,8 @@ def w12_best_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w11_best_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by their best window of 150 words, ten per question."""
-    from siltstone.operators.chunking import word_windows
-
-    w = word_windows(docs(spark, sf_dir).select("doc_id", "text"), "text", 150, 30).withColumn("wid", F.concat_ws("#", "doc_id", "part"))
-    hits = ranking.bag_cosine(w, "wid", "window", _questions(spark, sf_dir), "item_id", "question", None)
-    best = hits.withColumn("doc_id", F.substring_index("wid", "#", 1).cast("bigint")).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
-    return ranking.top(best, "item_id", "doc_id", 10).select("item_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    best = ranking.best_windows(docs(spark, sf_dir), "doc_id", "text", _questions(spark, sf_dir), "item_id", "question", 150, 30, 10)
+    return best.select("item_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
