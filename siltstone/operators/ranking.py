@@ -95,14 +95,16 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str,
 def bag_cosine(corpus: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int | None) -> DataFrame:
     """(query, key, score, rank) by the cosine of token counts: a sparse vector leg made from text alone.
 
-    Without ``k`` every hit comes out, unranked.
+    With ``k`` the texts are weighed where they are scanned, as one window each; without
+    it every hit comes out, unranked, by a join on tokens.
     """
+    if k is not None:
+        return best_windows(corpus, key, text, queries, query, query_text, 1 << 40, 0, k)
     q = broadcast_if_small(query_terms(queries, query, query_text))
     qnorms = q.groupBy(query).agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
     met = term_counts(corpus, key, text).join(q, "token")
     dots = met.groupBy(query, key).agg(F.sum(F.col("tf") * F.col("qtf")).alias("dot"), F.max("norm").alias("norm"))
-    scored = dots.join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
-    return scored if k is None else top(scored, query, key, k)
+    return dots.join(qnorms, query).select(query, key, F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
 
 
 _SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
