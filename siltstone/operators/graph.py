@@ -207,18 +207,19 @@ def resolve_inherited(calls: DataFrame, methods: DataFrame, parents: DataFrame)
     A class of its own keeps the call, cycles of inheritance end, what nobody has stays as
     it was written.
     """
-    have = methods.select(F.col("cls").alias("up"), "method").distinct().withColumn("has", F.lit(True))
-    open_ = calls.select("src", "cls", "method").distinct().withColumn("up", F.col("cls"))
-    out, tried = None, None
-    while True:
-        met = materialize(open_.join(have, ["up", "method"], "left"))
-        hit = met.where("has").select("src", "cls", "method", F.col("up").alias("target"))
+    have = methods.select(F.col("cls").alias("up"), "method").distinct()
+    # most calls name the class that has the method; only the others climb, each pair of class and method once
+    wanted = calls.select("cls", "method").distinct()
+    open_ = materialize(wanted.join(have.withColumnRenamed("up", "cls"), ["cls", "method"], "left_anti").withColumn("up", F.col("cls")))
+    tried, out = open_, None
+    while not open_.isEmpty():
+        up = open_.join(parents.select(F.col("cls").alias("up"), "parent"), "up").select("cls", "method", F.col("parent").alias("up")).distinct()
+        met = materialize(up.join(tried, ["cls", "method", "up"], "left_anti").join(have.withColumn("has", F.lit(True)), ["up", "method"], "left").select("cls", "method", "up", "has"))
+        hit = met.where("has").select("cls", "method", F.col("up").alias("target"))
         out = hit if out is None else out.unionByName(hit)
-        rest = met.where("has is null").drop("has").join(parents.select(F.col("cls").alias("up"), F.col("parent")), "up")
-        open_ = rest.select("src", "cls", "method", F.col("parent").alias("up")).distinct()
-        seen = met.select("src", "cls", "method", "up")
-        tried = seen if tried is None else tried.unionByName(seen)
-        open_ = materialize(open_.join(tried, ["src", "cls", "method", "up"], "left_anti"))
-        if open_.isEmpty():
-            break
-    return calls.select("src", "cls", "method").distinct().join(out, ["src", "cls", "method"], "left").withColumn("target", F.coalesce("target", "cls"))
+        open_ = met.where("has is null").drop("has")
+        tried = tried.unionByName(met.drop("has"))
+    each = calls.select("src", "cls", "method").distinct()
+    if out is None:
+        return each.withColumn("target", F.col("cls"))
+    return each.join(out, ["cls", "method"], "left").select("src", "cls", "method", F.coalesce("target", "cls").alias("target"))

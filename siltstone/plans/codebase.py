@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import codegraph
-from siltstone.session import table
+from siltstone.session import held, spread, table
 from siltstone.sources import code, files
 
 TODAY = "2001-08-02"
@@ -85,7 +85,7 @@ def php_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text) of the classes and controllers."""
     p = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1).alias("p"))  # keys count from 0
     n = p.agg(F.max("p")).first()[0] or 0  # one number
-    parts = p.withColumn("n", F.lit(n)).select(F.expr(f"concat('src/', {_folder('p')}, '/P', p, '.php')").alias("path"), F.expr(_text(_PART_LINES)).alias("text"))
+    parts = spread(p).withColumn("n", F.lit(n)).select(F.expr(f"concat('src/', {_folder('p')}, '/P', p, '.php')").alias("path"), F.expr(_text(_PART_LINES)).alias("text"))
     s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).alias("s"), F.col("s_nationkey").alias("k"))
     return parts.unionByName(s.select(F.expr("concat('src/Controller/S', s, 'Controller.php')").alias("path"), F.expr(_text(_CONTROLLER_LINES)).alias("text")))
 
@@ -176,7 +176,7 @@ def s21_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s21_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and renders, inherited methods put to the class that has them."""
-    return codegraph.calls(_facts(spark, sf_dir))
+    return codegraph.calls(held(_facts(spark, sf_dir)))
 
 
 def s22_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ def a12_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g12_trace_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call trees of every route for GET and of an unknown one, four steps deep."""
-    f = _facts(spark, sf_dir)
+    f = held(_facts(spark, sf_dir))
     r = codegraph.routes(f)
     asked = r.select(F.lit("get").alias("method"), "path").unionByName(spark.createDataFrame([("GET", "/none"), ("DELETE", "/n0/none")], "method string, path string"))
     asked = asked.unionByName(r.where("array_contains(methods, 'POST')").select(F.lit("DELETE").alias("method"), "path"))
@@ -230,7 +230,7 @@ def g12_trace_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g13_impact_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes and scripts that reach the methods a diff changed, with their risk by the history's hotspots."""
-    f = _facts(spark, sf_dir)
+    f = held(_facts(spark, sf_dir))
     r = codegraph.routes(f)
     hot = codegraph.hotspots(commits(spark, sf_dir), TODAY)
     return codegraph.impact(files.diff_hunks(diff_lines(spark, sf_dir)), f, r, hot, code.match_fetches(code.fetches(js_files(spark, sf_dir)), r))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` written once to the checkpoint folder as compressed batches, of a size that the planner does not guess.
+
+    For rows that are dear to make and read several times.  What a plan expects of rows made
+    in Python may lie far below what comes; here it is told nothing, so a join broadcasts
+    them only when a shuffle has measured that they are few.
+    """
+    schema = df.schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed in batches:
+            for one in packed.column(0):
+                yield from pa.ipc.open_stream(one.as_buffer())
+
+    back = materialize(df.mapInArrow(pack, "batch binary")).mapInArrow(unpack, schema)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(back._jdf.queryExecution().toRdd(), back._jdf.schema(), False), spark)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` written down and counted; with a hint to broadcast it if it has at most ``rows`` rows, else without.
 
