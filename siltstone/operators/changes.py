@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import materialize
+
+#: Branches of a block, and those of one side that are compared at once.
+BLOCK, ROWS = 1024, 256
+
 
 def classify_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): new, changed, same or removed, by one full outer join on the key.
@@ -62,6 +70,90 @@ def conflicts(touched: DataFrame, ancestry: DataFrame) -> DataFrame:
     return independent_tips(touched, ancestry).groupBy("path").agg(F.count("*").alias("branches")).where("branches >= 2")
 
 
+def _incidence(left: pa.ListArray, right: pa.ListArray, rows: slice) -> np.ndarray:
+    """How many values each list of ``left[rows]`` shares with each list of ``right``; a list holds a value once."""
+    some, whole = left.slice(rows.start, rows.stop - rows.start), len(right)
+    values = pa.concat_arrays([some.flatten(), right.flatten()]).dictionary_encode()
+    codes, at = values.indices.to_numpy(), np.concatenate([np.asarray(some.value_parent_indices()), len(some) + np.asarray(right.value_parent_indices())])
+    out = np.zeros((len(some), whole), np.float32)
+    if not len(codes):
+        return out
+    order = np.lexsort((at, codes))
+    codes, at = codes[order], at[order]
+    firsts = np.flatnonzero(np.diff(codes, prepend=-1))
+    middles, lasts = np.searchsorted(codes * (len(some) + whole) + at, codes[firsts].astype(np.int64) * (len(some) + whole) + len(some)), np.append(firsts[1:], len(codes))
+    n, m = middles - firsts, lasts - middles
+    # values that many lists hold meet in one product, the others list by list
+    many = np.flatnonzero(n * m * 64 > len(some) * whole)
+    for k in range(0, len(many), 1024):
+        x, y = np.zeros((len(many[k : k + 1024]), len(some)), np.float32), np.zeros((len(many[k : k + 1024]), whole), np.float32)
+        for row, v in enumerate(many[k : k + 1024]):
+            x[row, at[firsts[v] : middles[v]]] = 1
+            y[row, at[middles[v] : lasts[v]] - len(some)] = 1
+        out += x.T @ y
+    for v in np.flatnonzero((n > 0) & (m > 0) & (n * m * 64 <= len(some) * whole)):
+        out[np.ix_(at[firsts[v] : middles[v]], at[middles[v] : lasts[v]] - len(some))] += 1
+    return out
+
+
+def sharing_pairs(member: DataFrame, unrelated: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared): pairs of branches with the number of communities that both have, a < b.
+
+    ``member``: branch, community and, if it matters, ``alone``: what a branch has of the community
+    if it is but one thing; a community that both have by the same one thing does not count.
+    ``unrelated``: a, b of pairs to leave out.  A branch is one row with its communities; blocks
+    of branches meet pairwise, so every pair is made once, complete, and no pair is shuffled.
+    """
+    known = member.where("branch is not null and community is not null")
+    alone = F.col("alone") if "alone" in member.columns else F.lit(None).cast("string")
+    rows = materialize(known.groupBy("branch").agg(F.collect_set(F.col("community").cast("string")).alias("has"), F.collect_set(F.when(alone.isNotNull(), F.to_json(F.struct(F.col("community").cast("string").alias("c"), alone.alias("o"))))).alias("one")))
+    blocks = max(1, -(-rows.count() // BLOCK))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    kind = rows.schema["branch"].dataType
+    own = rows.withColumn("k", block("branch"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = own.withColumn("o", other).select(F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), (F.col("k") > F.col("o")).alias("right"), "branch", "has", "one", F.lit(None).cast(kind).alias("not"))
+    if unrelated is not None:
+        gone = unrelated.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")).where("a is not null and b is not null").distinct()
+        met = met.unionByName(gone.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), F.lit(None).cast("boolean").alias("right"), F.col("a").alias("branch"), F.col("b").alias("not")), allowMissingColumns=True)
+
+    def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        right = table["right"]
+        sides = [table.filter(pa.compute.equal(right, side)) for side in (False, True)]
+        if key[0].as_py() == key[1].as_py():
+            sides[1] = sides[0]
+        lists = [[pa.concat_arrays(side[c].chunks) if side.num_rows else pa.array([], pa.list_(pa.string())) for c in ("has", "one")] for side in sides]
+        left_ids, right_ids = (side["branch"].to_pylist() for side in sides)
+        ordered = sorted({*left_ids, *right_ids})
+        place = {v: n for n, v in enumerate(ordered)}
+        l, r = (np.array([place[v] for v in ids], np.int64) for ids in (left_ids, right_ids))  # noqa: E741
+        related = table.filter(pa.compute.is_null(right))
+        apart = np.array([sorted((place[x], place[y])) for x, y in zip(related["branch"].to_pylist(), related["not"].to_pylist(), strict=True) if x in place and y in place], np.int64).reshape(-1, 2)
+        at, names, found = {v: n for n, v in enumerate(r.tolist())}, pa.array(ordered, table.schema.field("branch").type), []
+        cut = {}
+        for x, y in apart.tolist():
+            cut.setdefault(x, []).append(y)
+            cut.setdefault(y, []).append(x)
+        for start in range(0, len(l), ROWS):
+            part = slice(start, min(start + ROWS, len(l)))
+            shared = _incidence(lists[0][0], lists[1][0], part)
+            if len(lists[0][1].flatten()) and len(lists[1][1].flatten()):
+                shared -= _incidence(lists[0][1], lists[1][1], part)
+            for n, v in enumerate(l[part].tolist()):
+                if v in cut:
+                    shared[n, [at[x] for x in cut[v] if x in at]] = 0
+            if sides[0] is sides[1]:
+                shared[l[part][:, None] >= r[None, :]] = 0
+            x, y = np.nonzero(shared)
+            n, x, y = shared[x, y].astype(np.int64), l[part][x], r[y]
+            found.append(pa.Table.from_arrays([names.take(pa.array(np.minimum(x, y))), names.take(pa.array(np.maximum(x, y))), pa.array(n)], names=["a", "b", "shared"]))
+        return pa.concat_tables(found) if found else pa.Table.from_arrays([names.slice(0, 0), names.slice(0, 0), pa.array([], pa.int64())], names=["a", "b", "shared"])
+
+    name = kind.simpleString()
+    return met.groupBy("i", "j").applyInArrow(pairs, f"a {name}, b {name}, shared bigint")
+
+
 def branch_pairs(touched: DataFrame, member: DataFrame, ancestry: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of branches, none an ancestor of the other, with the communities that both touch.
 

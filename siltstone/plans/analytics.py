@@ -94,13 +94,11 @@ def j13_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j20_branch_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as branches that touch files of the same community (brand): pairs with the number shared.
 
-    Branches are a small stated set; each is first reduced to its distinct communities, so a
-    pair meets once per community whatever the number of files.
+    A pair meets once with all its communities, block by block, and is not moved.
     """
     li, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     b = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("branch"), F.col("p_brand").alias("community")).distinct()
-    a = b.select(F.col("branch").alias("a"), "community").join(b.select(F.col("branch").alias("b"), "community"), "community").where("a < b")
-    return a.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return changes.sharing_pairs(b)
 
 
 def j21_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
