@@ -158,12 +158,9 @@ def branch_pairs(touched: DataFrame, member: DataFrame, ancestry: DataFrame) ->
     """(a, b, shared): pairs of branches, none an ancestor of the other, with the communities that both touch.
 
     ``member``: path, community.  Pairs that share one community by one and the same path
-    only are direct conflicts, not risks, and are left out.  Branches are a stated small set;
-    each is reduced to its distinct communities before it meets another.
+    only are direct conflicts, not risks, and are left out.
     """
     t = touched.select("branch", "path").distinct().join(member.select("path", "community"), "path")
-    b = t.groupBy("branch", "community").agg(F.count("*").alias("n"), F.min("path").alias("one"))
-    pairs = b.select(F.col("branch").alias("a"), "community", F.col("n").alias("n_a"), F.col("one").alias("one_a")).join(b.select(F.col("branch").alias("b"), "community", F.col("n").alias("n_b"), F.col("one").alias("one_b")), "community").where("a < b")
-    pairs = pairs.where("not (n_a = 1 and n_b = 1 and one_a = one_b)")
-    related = ancestry.select(F.least("ancestor", "branch").alias("a"), F.greatest("ancestor", "branch").alias("b")).distinct()
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).join(related, ["a", "b"], "left_anti")
+    b = t.groupBy("branch", "community").agg(F.when(F.count("*") == 1, F.min("path").cast("string")).alias("alone"))
+    related = ancestry.select(F.least("ancestor", "branch").alias("a"), F.greatest("ancestor", "branch").alias("b"))
+    return sharing_pairs(b, related)

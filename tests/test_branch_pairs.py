@@ -28,7 +28,7 @@ def test_sharing_pairs_against_brute_force(spark, monkeypatch, block):
     assert changes.sharing_pairs(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["j20_branch_pairs"])
+@pytest.mark.parametrize("name", ["j20_branch_pairs", "j20_unrelated_pairs"])
 def test_pairs_are_not_aggregated_after_they_met(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.find("LogicalRDD")]
