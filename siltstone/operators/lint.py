@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import difflib
 import re
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -368,24 +370,67 @@ def best_matches(wanted: DataFrame, known: DataFrame, ratio: float = 0.9) -> Dat
     """(target, best, ratio): the most alike known slug at or above ``ratio`` by matching blocks.
 
     Candidates are those of nearly the same length with a word in common, met by an
-    equi-join on words; ties go to the least slug.
+    equi-join on words; ties go to the least slug.  The pairs stay where they meet: bounds of
+    what blocks can match (a mask of the letters, then the characters and the pairs of neighbours
+    that both hold) leave few to be compared, and one row per target and batch goes on.
     """
     # the folder says nothing: nearly all share it
     word = lambda c: F.explode(F.array_distinct(F.split(F.regexp_replace(c, "^[a-z]+/", ""), "[^a-z0-9]+")))
-    a = wanted.select("target").distinct().withColumn("word", word("target")).where("length(word) > 2")
-    b = known.select(F.col("slug").alias("best")).distinct().withColumn("word", word("best")).where("length(word) > 2")
+    times = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x)))
+    bit = lambda here, at: F.when(here, F.lit(1 << at)).otherwise(F.lit(0)).cast("bigint")
+    # which letters a text holds, and which twice: each bit that differs is a character that matches nothing
+    bits = lambda c: sum((bit(times(c, x) >= n, 26 * (n - 1) + i) for i, x in enumerate(string.ascii_lowercase) for n in (1, 2)), sum(bit(F.contains(c, F.lit(d)), 52 + int(d)) for d in string.digits))
+    a = wanted.select("target").distinct().withColumn("mask_a", bits(F.col("target"))).withColumn("word", word("target")).where("length(word) > 2")
+    b = known.select(F.col("slug").alias("best")).distinct().withColumn("mask_b", bits(F.col("best"))).withColumn("word", word("best")).where("length(word) > 2")
     near = F.least(F.length("target"), F.length("best")) * 2 >= ratio * (F.length("target") + F.length("best"))
-    pairs = a.join(b, "word").where(near).select("target", "best").distinct()
+    both = F.length("target") + F.length("best")
+    alike = F.bit_count(F.col("mask_a").bitwiseXOR(F.col("mask_b"))) <= both - 2 * F.ceil(ratio * both / 2 - 1e-9)
+    pairs = a.join(b, "word").where(near & alike).select("target", "best")
 
-    @F.pandas_udf("double")
-    def alike(x, y):  # noqa: ANN001, ANN202
-        return x.combine(y, lambda p, q: difflib.SequenceMatcher(None, p, q).ratio())
-
-    scored = pairs.withColumn("ratio", alike("target", "best")).where(F.col("ratio") >= ratio)
-    top = scored.groupBy("target").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "best")).alias("m"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets, bests = (c.dictionary_encode() for c in batch.columns)
+            one, other = (np.array(x) for x in (targets.indices, bests.indices))
+            (m, pm), (n, pn) = (character_counts(d.dictionary.to_pylist()) for d in (targets, bests))
+            keep = np.ones(len(one), bool)
+            left, right = m.sum(1).astype(np.int64), n.sum(1).astype(np.int64)
+            whole = left[one] + right[other]
+            for start in range(0, len(one), 4096):
+                x, y, part = one[start : start + 4096], other[start : start + 4096], slice(start, start + 4096)
+                keep[part] = 2 * np.minimum(m[x], n[y]).sum(1) >= ratio * whole[part] - 1e-9
+            at = np.flatnonzero(keep)
+            # with s of the target unmatched or the slug's own, blocks are at most s + 1, and each holds one pair less than characters
+            slack = whole[at] - 2 * np.ceil(ratio * whole[at] / 2 - 1e-9)
+            for start in range(0, len(at), 4096):
+                k, part = at[start : start + 4096], slice(start, start + 4096)
+                keep[k] = np.minimum(pm[one[k]], pn[other[k]]).sum(1) >= np.ceil(ratio * whole[k] / 2 - 1e-9) - (slack[part] + 1)
+            names, slugs, top = targets.dictionary.to_pylist(), bests.dictionary.to_pylist(), {}
+            matcher, last = difflib.SequenceMatcher(None), None
+            for k in sorted(set(zip(other[keep].tolist(), one[keep].tolist(), strict=True))):
+                if k[0] != last:
+                    matcher.set_seq2(slugs[last := k[0]])
+                matcher.set_seq1(names[k[1]])
+                if (r := matcher.ratio()) >= ratio:
+                    top[k[1]] = min(top.get(k[1], (0.0, "")), (-r, slugs[k[0]]))
+            yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in top], pa.string()), pa.array([r for r, _ in top.values()], pa.float64()), pa.array([b for _, b in top.values()], pa.string())], names=["target", "r", "best"])
+
+    scored = pairs.mapInArrow(compare, "target string, r double, best string")
+    top = scored.groupBy("target").agg(F.min(F.struct("r", "best")).alias("m"))
     return top.select("target", F.col("m.best").alias("best"), F.round(-F.col("m.r"), 6).alias("ratio"))
 
 
+def character_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text holds the characters, and the pairs of neighbours, of each of 64 and 128 groups (at most 255 times)."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), lengths)
+    single = np.bincount(row * 64 + codes % 64, minlength=len(texts) * 64).reshape(-1, 64)
+    same = row[1:] == row[:-1]
+    double = np.bincount((row[:-1] * 128 + (codes[:-1] * 31 + codes[1:]) % 128)[same], minlength=len(texts) * 128).reshape(-1, 128)
+    kind = np.uint8 if not len(lengths) or lengths.max() < 256 else np.int64
+    return single.astype(kind), double.astype(kind)
+
+
 def mask_non_prose(text: str) -> str:
     """The text with frontmatter, code and links blanked at the same length, line ends kept."""
     out = text
