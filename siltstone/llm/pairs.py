@@ -3,23 +3,22 @@
 Method: character n-gram models are trained here.  A naive Bayes model gives the
 language posterior of the prompt and of the response (without code, paths and quotes);
 a pair whose response is surely in another language is flagged.  A language that the
-sample does not hold is known by its distance: how likely a text is, per n-gram, under
+table does not hold is known by its distance: how likely a text is, per n-gram, under
 a language is set between n-grams never seen in it and what its own texts get, and a
 text that stays near the lower end of all of them is in none of them.  A model of text endings gives the likelihood
 that a response of its kind ends as this one does; an unlikely end is a truncation, as
 are dangling list marks, open brackets and fences, marks of an ellipsis, and the
 missing tail of a response that had to repeat the prompt.  Refusals are told by a second
 naive Bayes model over sentences, fitted on seed sentences in nine languages and on
-the sentences of the sample that match a few patterns; a response is a refusal when
+the sentences of the table that match a few patterns; a response is a refusal when
 refusing sentences make up a good share of it.  Stand-ins and copies are told by
 comparing words.
 
-All models are fitted on a bounded sample, ``SAMPLE`` rows chosen by a hash of their
-id; languages in it are seeded by function words.  Everything else sees all rows.
+All models are fitted on all rows; languages in them are seeded by function words.
 
-Scale: one scan without a shuffle besides the choice of the sample.  The models are
-fitted in a task and only they, bounded by the sample, go through the driver.  N-grams
-are hashed and scored for whole batches of texts at once.
+Scale: three scans: counts of n-grams, counts of ends, defects.  Counts are added up
+over the tasks by slices of buckets and by n-gram; only sums and the ends that come often
+go through the driver.  N-grams are hashed and scored for whole batches of texts at once.
 
 Defined results for odd input: a null or invisible response is empty; a null prompt
 has no language and cannot be copied; unknown modes are treated like rewrite but are
@@ -40,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8000
 ORDER = 4
 #: Buckets of hashed n-grams, as a power of two; characters scored in one step.
 BUCKETS, STEP = 18, 500_000
+#: Places that endings are marked on, as a power of two; buckets of counts that travel in one row.
+MARKS, SLICE = 22, 1 << 15
 #: N-grams that a text needs to be judged foreign to all languages, and the place between unseen (0) and
 #: usual (1) likelihood below which it is.
 KNOWN_GRAMS, OUTSIDE = 60, 0.35
@@ -201,6 +201,11 @@ def _steps(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def counted(texts: list[str], order: int) -> np.ndarray:
+    """How many n-grams of the texts fall into each bucket."""
+    return sum((np.bincount(hashed(p, order)[0], minlength=1 << BUCKETS) for p in _steps(texts)), np.zeros(1 << BUCKETS, np.int64))
+
+
 class LanguageModel:
     """Character n-gram naive Bayes; posteriors over the languages it was fitted on, and what lies outside of them."""
 
@@ -214,13 +219,16 @@ class LanguageModel:
         for row, lang in zip(counts, languages, strict=True):
             for part in _steps(texts[lang]):
                 row += np.bincount(hashed(part, ORDER)[0], minlength=1 << BUCKETS)
+        return LanguageModel.counted(counts, languages)
+
+    @staticmethod
+    def counted(counts: np.ndarray, languages: tuple[str, ...]) -> LanguageModel:
+        """The model of so many n-grams of each language and bucket."""
         totals = counts.sum(1, keepdims=True) + 0.5 * ((counts > 0).any(0).sum() + 1)
         unseen = np.log(0.5 / totals[:, 0]) / ORDER
-        model = LanguageModel(np.log((counts + 0.5) / totals).astype(np.float32), unseen, unseen.copy(), languages)
-        for k, lang in enumerate(languages):
-            scores, n = model.scores(texts[lang])
-            model.usual[k] = scores[:, k].sum() / max(n.sum(), 1)
-        return model
+        weights = np.log((counts + 0.5) / totals).astype(np.float32)
+        usual = (counts * weights).sum(1) / ORDER / np.maximum(counts.sum(1), 1)
+        return LanguageModel(weights, unseen, usual, languages)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood of each text per language, its n-grams); overlapping n-grams are counted at 1/order each."""
@@ -262,10 +270,13 @@ class RefusalModel:
 
     @staticmethod
     def fit(refusing: list[str], others: list[str]) -> RefusalModel:
-        count = lambda texts: sum((np.bincount(hashed(p, REFUSAL_ORDER)[0], minlength=1 << BUCKETS) for p in _steps(texts)), np.zeros(1 << BUCKETS))
-        yes, no = count(refusing), count(others)
+        return RefusalModel.counted(counted(refusing, REFUSAL_ORDER), counted(others, REFUSAL_ORDER))
+
+    @staticmethod
+    def counted(yes: np.ndarray, no: np.ndarray) -> RefusalModel:
+        """The model of so many n-grams of refusals and of answers in each bucket."""
         # brought to one size first: what few refusals hold says little until the answers would have shown it
-        no *= yes.sum() / max(no.sum(), 1)
+        no = no * (yes.sum() / max(no.sum(), 1))
         return RefusalModel((np.log(yes + 0.5) - np.log(no + 0.5)).astype(np.float32))
 
     def refuses(self, sentences: list[str]) -> np.ndarray:
@@ -306,6 +317,13 @@ class EndModel:
     @staticmethod
     def fit(texts: list[str], order: int = END_ORDER) -> EndModel:
         shapes = [EndModel.shape(t) for t in texts]
+        seen = EndModel.grams(shapes, order, END_SUPPORT)
+        ends = Counter(t[-k:] for t in shapes for k in range(1, min(order, len(t)) + 1))
+        return EndModel(seen, {g: n for g, n in ends.items() if g in seen})
+
+    @staticmethod
+    def grams(shapes: list[str], order: int = END_ORDER, least: int = 1, marked: np.ndarray | None = None) -> dict[str, int]:
+        """The n-grams of the shapes that come ``least`` times and, if given, fall on a place that is ``marked``."""
         lengths, joined = np.array([len(t) for t in shapes], np.int64), "".join(shapes)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         stop, seen = np.cumsum(lengths), {}
@@ -315,10 +333,28 @@ class EndModel:
             if k > 1:
                 whole[(stop - np.minimum(k - 1, lengths))[lengths > 0]] = False  # would run over the end of its text
             at = np.flatnonzero(whole[: len(h)])
+            if marked is not None:
+                at = at[marked[EndModel.place(h[at])]]
             _, first, n = np.unique(h[at], return_index=True, return_counts=True)
-            seen |= {joined[i : i + k]: c for i, c in zip(at[first[n >= END_SUPPORT]].tolist(), n[n >= END_SUPPORT].tolist(), strict=True)}
-        ends = Counter(t[-k:] for t in shapes for k in range(1, min(order, len(t)) + 1))
-        return EndModel(seen, {g: n for g, n in ends.items() if g in seen})
+            seen |= {joined[i : i + k]: c for i, c in zip(at[first[n >= least]].tolist(), n[n >= least].tolist(), strict=True)}
+        return seen
+
+    @staticmethod
+    def place(h: np.ndarray) -> np.ndarray:
+        """Where a hashed n-gram falls among the MARKS."""
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MARKS)).astype(np.int64)
+
+    @staticmethod
+    def marks(grams: list[str]) -> np.ndarray:
+        """The places of n-grams, each once."""
+        out = set()
+        for k in {len(g) for g in grams}:
+            same = [g for g in grams if len(g) == k]
+            codes, h = np.frombuffer("".join(same).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, k), np.zeros(len(same), np.uint64)
+            for c in codes.T:
+                h = h * np.uint64(0x9E3779B97F4A7C15) + c
+            out.update(EndModel.place(h).tolist())
+        return np.array(sorted(out), np.int64)
 
     def likelihood(self, text: str, order: int = END_ORDER) -> float:
         """Of ending here, by the longest ending seen often enough."""
@@ -337,27 +373,109 @@ def seed_language(plain: str) -> str | None:
     return score[0][1] if score[0][0] >= 3 and score[0][0] >= 1.5 * score[1][0] else None
 
 
-def fit(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[LanguageModel, dict[str, EndModel]]:
-    """The models of languages and of ends from (transcript, prompt, mode) of the sample."""
+def sort_texts(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """(texts by language, prompts by mode) that the models are fitted on, of (transcript, prompt, mode)."""
     texts: dict[str, list[str]] = {lang: [] for lang in SEEDS}
-    ends: dict[str, list[str]] = defaultdict(list)
-    for transcript, prompt, mode in rows:
+    for transcript, prompt, _ in rows:
         for text in (transcript, prompt):
             if text and (lang := seed_language(plain := prose(text))):
                 texts[lang].append(plain)
+    return texts, sort_ends(rows)
+
+
+def sort_ends(rows: list[tuple[str | None, str | None, str | None]]) -> dict[str, list[str]]:
+    """The prompts by mode, without those that bear a mark of a cut."""
+    ends: dict[str, list[str]] = defaultdict(list)
+    for _, prompt, mode in rows:
         if prompt and (end := prompt.rstrip()) and not (end[-1] in _CUT_ENDS and _CUT_MARK.search(end)):
             ends[mode or ""].append(prompt)
-    return LanguageModel.fit({k: v for k, v in texts.items() if v}), {m: EndModel.fit(v) for m, v in ends.items()}
+    return ends
 
 
-def fit_refusals(prompts: list[str | None]) -> RefusalModel:
-    """The model of refusals from the seeds and the sentences of the sample's prompts."""
-    each = lambda text: [s.strip() for line in text.splitlines() for s in line.split("|")]
-    refusing, others = [masked(s) for s in each(REFUSING)] * SEED_WEIGHT, [masked(s) for s in each(ANSWERING)] * SEED_WEIGHT
+def sort_sentences(prompts: list[str | None]) -> tuple[list[str], list[str]]:
+    """(refusing, others): the prompts' sentences by the patterns."""
+    refusing, others = [], []
     for prompt in prompts:
         for s in sentences(prompt or ""):
             (refusing if _matches(s) else others).append(masked(s))
-    return RefusalModel.fit(refusing, others)
+    return refusing, others
+
+
+def seed_sentences() -> tuple[list[str], list[str]]:
+    """(refusing, others) of the seeds, as often as they count."""
+    each = lambda text: [masked(s.strip()) for line in text.splitlines() for s in line.split("|")]
+    return each(REFUSING) * SEED_WEIGHT, each(ANSWERING) * SEED_WEIGHT
+
+
+def fit(rows: list[tuple[str | None, str | None, str | None]]) -> tuple[LanguageModel, dict[str, EndModel]]:
+    """The models of languages and of ends from (transcript, prompt, mode) of a few rows."""
+    texts, ends = sort_texts(rows)
+    return LanguageModel.fit({k: v for k, v in texts.items() if v}), {m: EndModel.fit(v) for m, v in ends.items()}
+
+
+def fit_refusals(prompts: list[str | None]) -> RefusalModel:
+    """The model of refusals from the seeds and the sentences of a few prompts."""
+    (yes, no), (seed_yes, seed_no) = sort_sentences(prompts), seed_sentences()
+    return RefusalModel.fit(seed_yes + yes, seed_no + no)
+
+
+def train(rows: DataFrame) -> tuple[LanguageModel, dict[str, EndModel], RefusalModel]:
+    """The models from all rows (transcript, enhanced_prompt, mode): counts of every task are added up.
+
+    An end is only asked for where a text ends, so n-grams are counted at the ends that some
+    text has: these are marked in one pass, and what falls on a mark is counted in the next.
+    """
+    kinds = [f"language {lang}" for lang in sorted(SEEDS)] + ["refusing", "others", "marks"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for chosen in parts(batches):
+            texts, ends = sort_texts(chosen)
+            found = [(f"language {lang}", counted(t, ORDER)) for lang, t in texts.items() if t]
+            found += [(kind, counted(t, REFUSAL_ORDER)) for kind, t in zip(("refusing", "others"), sort_sentences([r[1] for r in chosen]), strict=True) if t]
+            for kind, n in found:
+                total[kind] = total.get(kind, 0) + n
+            tails = list({t[-k:] for prompts in ends.values() for p in prompts for t in [EndModel.tail(p)] for k in range(1, min(END_ORDER, len(t)) + 1)})
+            total.setdefault("marks", np.zeros(1 << MARKS, np.int64))[EndModel.marks(tails)] = 1
+        cut = [(kind, k, n[k : k + SLICE]) for kind, n in total.items() for k in range(0, len(n), SLICE) if n[k : k + SLICE].any()]
+        for kind, k, n in cut:
+            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([k], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=["kind", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        n = np.zeros(SLICE, np.int64)
+        for x in table["n"]:
+            n += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        kind = table["kind"][0].as_py()
+        return pa.table({"kind": [kind], "at": pa.array([table["at"][0].as_py()], pa.int32()), "n": [zlib.compress((np.minimum(n, 1) if kind == "marks" else n).tobytes(), 1)]})
+
+    shape = "kind string, at int, n binary"
+    sums = {k: np.zeros(1 << (MARKS if k == "marks" else BUCKETS), np.int64) for k in kinds}
+    for r in rows.mapInArrow(count, shape).groupBy("kind", "at").applyInArrow(add, shape).collect():  # as many rows as there are slices
+        sums[r["kind"]][r["at"] : r["at"] + SLICE] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+    marks = rows.sparkSession.sparkContext.broadcast(np.packbits(sums["marks"] > 0).tobytes())  # half a MB
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(np.frombuffer(marks.value, np.uint8)).astype(bool)
+        for chosen in parts(batches):
+            for mode, prompts in sort_ends(chosen).items():
+                shapes = [EndModel.shape(p) for p in prompts]
+                seen, ends = EndModel.grams(shapes, marked=marked), Counter(t[-k:] for t in shapes for k in range(1, min(END_ORDER, len(t)) + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([mode] * len(seen)), pa.array(list(seen)), pa.array(list(seen.values()), pa.int64()), pa.array([ends.get(g, 0) for g in seen], pa.int64())], names=["mode", "gram", "seen", "ends"])
+
+    known = rows.mapInArrow(tally, "mode string, gram string, seen bigint, ends bigint").groupBy("mode", "gram").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    modes: dict[str, EndModel] = {}
+    for r in known.where((F.col("seen") >= END_SUPPORT) & (F.col("ends") > 0)).toLocalIterator():  # usual ends only
+        end = modes.setdefault(r["mode"], EndModel({}, {}))
+        end.seen[r["gram"]], end.ends[r["gram"]] = r["seen"], r["ends"]
+    languages = tuple(lang for lang in sorted(SEEDS) if sums[f"language {lang}"].any())
+    counts = np.array([sums[f"language {lang}"] for lang in languages]).reshape(-1, 1 << BUCKETS)
+    yes, no = (counted(t, REFUSAL_ORDER) for t in seed_sentences())
+    return LanguageModel.counted(counts, languages), modes, RefusalModel.counted(yes + sums["refusing"], no + sums["others"])
 
 
 # --- defects -------------------------------------------------------------------------------
@@ -495,20 +613,12 @@ def defects_of(
     return kinds
 
 
-def defects(history: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def defects(history: DataFrame) -> DataFrame:
     """(entry_id, defect) of the defective entries.  ``history``: entry_id, transcript, enhanced_prompt, mode."""
     rows = history.select("entry_id", "transcript", "enhanced_prompt", "mode")
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]  # at most the sample
-        language, ends = fit(chosen)
-        odds = fit_refusals([r[1] for r in chosen]).odds
-        model = (language.weights, language.unseen, language.usual, language.languages, {m: (e.seen, e.ends) for m, e in ends.items()}, odds)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], names=["model"])
-
-    chosen = rows.orderBy(F.xxhash64("entry_id"), "entry_id").limit(sample).select("transcript", "enhanced_prompt", "mode").coalesce(1)
-    trained = chosen.mapInArrow(train, "model binary").first()
-    shared = history.sparkSession.sparkContext.broadcast(bytes(trained["model"]) if trained else b"")  # bounded by the sample
+    language, ends, refuse = train(rows.drop("entry_id"))
+    fitted = (language.weights, language.unseen, language.usual, language.languages, {m: (e.seen, e.ends) for m, e in ends.items()}, refuse.odds)
+    shared = history.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(fitted), 1))  # bounded by buckets and by usual ends
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, unseen, usual, languages, modes, odds = pickle.loads(zlib.decompress(shared.value))
