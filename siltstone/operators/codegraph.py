@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scoring as S
 from siltstone.operators import graph, joins
+from siltstone.session import broadcast_if_small, materialize
 
 #: Commits that no decision is looked for in, and the kinds of decisions in order; the first that matches counts.
 AUTOMATED = r"(?i)^(?:Merge|Bump|chore|ci|style|build|release)\b"
@@ -30,14 +31,19 @@ def routes(facts: DataFrame) -> DataFrame:
     return r.groupBy("path").agg(F.max(F.struct("file", "action", "methods", "template")).alias("r")).select("path", "r.methods", "r.action", "r.file", "r.template")
 
 
-def calls(facts: DataFrame) -> DataFrame:
-    """(src, dst, kind) of all edges; calls go to the nearest ancestor class that has the method."""
+def _edges(facts: DataFrame) -> DataFrame:
+    """As ``calls``, but an edge may come repeatedly: the walks drop repeated ones themselves."""
     e = facts.where("kind = 'edge'").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("kind"))
     call = e.where("kind = 'call'").select("src", F.substring_index("dst", "::", 1).alias("cls"), F.substring_index("dst", "::", -1).alias("method"))
     methods = facts.where("kind = 'symbol'").select(F.substring_index("a", "::", 1).alias("cls"), F.substring_index("a", "::", -1).alias("method"))
     parents = facts.where("kind = 'class' and b is not null").select(F.col("a").alias("cls"), F.col("b").alias("parent"))
     found = graph.resolve_inherited(call, methods, parents)
-    return found.select("src", F.concat("target", F.lit("::"), "method").alias("dst"), F.lit("call").alias("kind")).unionByName(e.where("kind <> 'call'")).distinct()
+    return found.select("src", F.concat("target", F.lit("::"), "method").alias("dst"), F.lit("call").alias("kind")).unionByName(e.where("kind <> 'call'"))
+
+
+def calls(facts: DataFrame) -> DataFrame:
+    """(src, dst, kind) of all edges; calls go to the nearest ancestor class that has the method."""
+    return _edges(facts).distinct()
 
 
 def is_accessor(symbol: Column) -> Column:
@@ -55,7 +61,7 @@ def trace_routes(asked: DataFrame, all_routes: DataFrame, facts: DataFrame, max_
     q = asked.select(F.upper("method").alias("method"), "path").distinct().join(all_routes, "path", "left")
     error = F.when(F.col("action").isNull(), "no such route").when((F.size("methods") > 0) & ~F.array_contains("methods", F.col("method")), F.concat(F.lit("handles "), F.array_join("methods", ", ")))
     q = q.select("method", "path", F.when(error.isNull(), F.col("action")).alias("root"), error.alias("error"))
-    walked = graph.trace(calls(facts).select("src", "dst"), q.where("root is not null").select("root").distinct(), max_depth)
+    walked = graph.trace(_edges(facts).select("src", "dst"), q.where("root is not null").select("root").distinct(), max_depth)
     last = F.element_at("path", -1)
     known = facts.where("kind = 'symbol'").select(F.col("a").alias("last")).distinct().withColumn("known", F.lit(True))
     leaves = walked.select("root", F.col("path").alias("trail"), last.alias("last"), "leaf").join(known, "last", "left")
@@ -76,14 +82,18 @@ def impact(hunks: DataFrame, facts: DataFrame, all_routes: DataFrame, hotspots:
     """
     spans = facts.where("kind = 'symbol'").select(F.col("path").alias("file"), F.col("a").alias("symbol"), F.col("first_line").cast("bigint").alias("start"), F.col("last_line").cast("bigint").alias("end"))
     changed = joins.overlap_join(spans, hunks.select("file", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")), "file", 64).select("file", "symbol").distinct()
-    edges = calls(facts).where("kind = 'call'").select("src", "dst")
+    changed = materialize(changed)
+    edges = _edges(facts).where("kind = 'call'").select("src", "dst")
     if fetches is not None:
         edges = edges.unionByName(fetches.where("action is not null").select("src", F.col("action").alias("dst")))
     callers = graph.reach(edges, changed.select(F.col("symbol").alias("seed")), max_depth, reverse=True)
-    weighed = callers.join(changed.withColumnRenamed("symbol", "seed"), "seed").join(hotspots.select("file", "score"), "file", "left")
+    reached = callers.join(changed.withColumnRenamed("symbol", "seed").hint("merge"), "seed").select("file", "node", "depth")
     risk = F.coalesce("score", F.lit(1.0)) / F.greatest("depth", F.lit(1))
-    hit = weighed.join(all_routes.select(F.col("action").alias("node"), F.col("path").alias("name")), "node").select(F.lit("route").alias("kind"), "name", "depth", risk.alias("risk"))
-    js = weighed.where(F.col("node").startswith("js:")).select(F.lit("script").alias("kind"), F.col("node").alias("name"), "depth", F.lit(None).cast("double").alias("risk"))
+    # few files have changed, so the history of others is dropped where it is read; scripts have no risk and need none of it
+    hotspots = hotspots.select("file", "score").join(broadcast_if_small(changed.select("file").distinct()), "file", "left_semi")
+    hit = reached.join(all_routes.select(F.col("action").alias("node"), F.col("path").alias("name")).hint("merge"), "node")
+    hit = hit.join(hotspots.hint("merge"), "file", "left").select(F.lit("route").alias("kind"), "name", "depth", risk.alias("risk"))
+    js = reached.where(F.col("node").startswith("js:")).select(F.lit("script").alias("kind"), F.col("node").alias("name"), "depth", F.lit(None).cast("double").alias("risk"))
     both = hit.unionByName(js).groupBy("kind", "name")
     return both.agg(F.count("*").alias("reaches"), F.min("depth").cast("bigint").alias("least_depth"), F.round(F.sum("risk"), 2).alias("risk"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import codegraph
-from siltstone.session import held, spread, table
+from siltstone.session import held, materialize, spread, table
 from siltstone.sources import code, files
 
 TODAY = "2001-08-02"
@@ -115,11 +115,14 @@ MESSAGES = ("Extract the parser", "Migrate to the new store", "Replace the lock"
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, line_no, value): the history as numbered lines of ``git log --numstat``, one file per commit."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumn("l_partkey", F.col("l_partkey") + 1)
-    f = li.select("l_orderkey", F.expr(f"concat(cast(l_quantity as int), '\\t1\\tsrc/', {_folder('l_partkey')}, '/P', l_partkey, '.php')").alias("line"))
-    changed = f.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))  # the lines of one order
+    # keyed by the path of the log from the start, so that the lines stay where its header is carried to them; they become text there
+    log = lambda key: F.concat(F.lit("log/"), key).alias("path")
+    f = li.select(log("l_orderkey"), F.col("l_quantity").cast("int").alias("n"), F.col("l_partkey").alias("p")).repartition("path")
+    line = f"concat(x.n, '\\t1\\tsrc/', {_folder('x.p')}, '/P', x.p, '.php')"
+    changed = f.groupBy("path").agg(F.expr(f"array_sort(array_compact(transform(collect_list(struct(n, p)), x -> {line})))").alias("lines"))  # the lines of one order
     message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("o_orderkey") % 10 + 1).cast("int"))
     head = F.concat_ws("\t", F.lit("commit"), F.concat(F.lit("c"), "o_orderkey"), F.concat(F.lit("a"), "o_custkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), message)
-    whole = o.join(changed, o["o_orderkey"] == changed["l_orderkey"]).select(F.concat(F.lit("log/"), "o_orderkey").alias("path"), F.concat(F.array(head), "lines").alias("lines"))
+    whole = o.select(log("o_orderkey"), head.alias("head")).join(changed.hint("merge"), "path").select("path", F.concat(F.array("head"), "lines").alias("lines"))
     return whole.select("path", F.posexplode("lines").alias("line_no", "value"))
 
 
@@ -138,6 +141,10 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.php_facts(php_files(spark, sf_dir))
 
 
+def _held_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held(_facts(spark, sf_dir), "kind", code.FACT_KINDS)
+
+
 _INT = lambda c: F.col(c).cast("bigint").alias(c)
 
 
@@ -221,8 +228,8 @@ def a12_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g12_trace_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The call trees of every route for GET and of an unknown one, four steps deep."""
-    f = held(_facts(spark, sf_dir))
-    r = codegraph.routes(f)
+    f = _held_facts(spark, sf_dir)
+    r = materialize(codegraph.routes(f))
     asked = r.select(F.lit("get").alias("method"), "path").unionByName(spark.createDataFrame([("GET", "/none"), ("DELETE", "/n0/none")], "method string, path string"))
     asked = asked.unionByName(r.where("array_contains(methods, 'POST')").select(F.lit("DELETE").alias("method"), "path"))
     return codegraph.trace_routes(asked, r, f, 4)
@@ -230,8 +237,8 @@ def g12_trace_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g13_impact_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes and scripts that reach the methods a diff changed, with their risk by the history's hotspots."""
-    f = held(_facts(spark, sf_dir))
-    r = codegraph.routes(f)
+    f = _held_facts(spark, sf_dir)
+    r = materialize(codegraph.routes(f))
     hot = codegraph.hotspots(commits(spark, sf_dir), TODAY)
     return codegraph.impact(files.diff_hunks(diff_lines(spark, sf_dir)), f, r, hot, code.match_fetches(code.fetches(js_files(spark, sf_dir)), r))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,30 +51,47 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def held(df: DataFrame) -> DataFrame:
+def held(df: DataFrame, by: str | None = None, values: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written once to the checkpoint folder as compressed batches, of a size that the planner does not guess.
 
     For rows that are dear to make and read several times.  What a plan expects of rows made
     in Python may lie far below what comes; here it is told nothing, so a join broadcasts
-    them only when a shuffle has measured that they are few.
+    them only when a shuffle has measured that they are few.  With a string column ``by`` and
+    all its ``values`` (others raise), batches hold one value each, and a filter for one
+    value unpacks no others.
     """
     schema = df.schema
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+            parts = [(None, batch)]
+            if by is not None:
+                column = batch.column(batch.schema.get_field_index(by))
+                if other := set(column.unique().to_pylist()) - set(values):
+                    raise ValueError(f"unknown values of {by}: {other}")
+                parts = [(v, batch.filter(pc.equal(column, v))) for v in values]
+            for value, part in parts:
+                if not part.num_rows and by is not None:
+                    continue
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["value", "batch"])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for packed in batches:
             for one in packed.column(0):
                 yield from pa.ipc.open_stream(one.as_buffer())
 
-    back = materialize(df.mapInArrow(pack, "batch binary")).mapInArrow(unpack, schema)
-    spark = df.sparkSession
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(back._jdf.queryExecution().toRdd(), back._jdf.schema(), False), spark)
+    def unsized(packed: DataFrame) -> DataFrame:
+        back = packed.select("batch").mapInArrow(unpack, schema)
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(back._jdf.queryExecution().toRdd(), back._jdf.schema(), False), spark)
+
+    spark, kept = df.sparkSession, materialize(df.mapInArrow(pack, "value string, batch binary"))
+    if by is None:
+        return unsized(kept)
+    each = [unsized(kept.where(F.col("value") == v)).withColumn(by, F.lit(v)) for v in values]
+    return reduce(DataFrame.unionByName, each)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:

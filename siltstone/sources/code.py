@@ -181,6 +181,8 @@ def parse_php(path: str, text: str) -> dict[str, list[tuple]]:
     return out
 
 
+#: All kinds of facts.
+FACT_KINDS = ("symbol", "edge", "class", "route", "rationale")
 _CODE = "path string, kind string, a string, b string, c string, d string, first_line int, last_line int, confidence double"
 
 
