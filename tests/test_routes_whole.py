@@ -38,6 +38,10 @@ def test_g13_reads_and_moves_the_history_once(spark):
     assert "Exchange" not in "".join(x.split()[0] for x in lines[window : next(i for i in range(window, len(lines)) if "Join" in lines[i])])
 
 
+def test_g12_unpacks_symbols_only_and_routes_once(spark):
+    assert len(re.findall(r"Scan ExistingRDD\[path#\d+,a#\d+|" + FACTS, static_plan(entry.queries()["g12_trace_routes"](spark, SMALL)))) == 1
+
+
 def test_impact_counts_all(spark):
     """Scripts count like routes without the history; a method in two files counts twice, a file without history weighs 1."""
     facts = spark.createDataFrame(
