@@ -24,6 +24,16 @@ def test_s21_calls_broadcasts_nothing_on_a_guess(spark):
     assert "BroadcastHashJoin" not in static_plan(entry.queries()["s21_calls"](spark, "/root/testdata/sf0.001"))
 
 
+def test_g12_broadcasts_nothing_on_a_guess(spark, monkeypatch):
+    """Neither the answer nor any table that is made on the way to it."""
+    made, frame = [], type(spark.range(1))
+    checkpoint = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda df, *a, **k: made.append(static_plan(df)) or checkpoint(df, *a, **k))
+    answer = static_plan(entry.queries()["g12_trace_routes"](spark, "/root/testdata/sf0.001"))
+    assert "Join" in answer and sum("Join" in x for x in made) >= 5
+    assert not [x for x in [*made, answer] if "Broadcast" in x]
+
+
 def test_only_missing_methods_climb(spark):
     calls = spark.createDataFrame([("a", "C", "own"), ("a", "C", "up"), ("b", "C", "up"), ("b", "C", "nobody"), ("b", "L1", "x"), ("b", "X", "y")], "src string, cls string, method string")
     methods = spark.createDataFrame([("C", "own"), ("A", "up"), ("A", "own")], "cls string, method string")
